@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from lakewright.llm import ngram_join
+from lakewright.llm import byte_bpe, decontaminate, ngram_join, secrets, toxicity
 
 QUERIES = {
+    "op2_credential_linking": secrets.op2,
+    "op5_toxicity": toxicity.op5,
+    "op7_byte_bpe": byte_bpe.op7,
+    "op8_decontamination": decontaminate.op8,
     "op10_ngram_jaccard_join": ngram_join.op10,
 }
 
