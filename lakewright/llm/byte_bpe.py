@@ -38,6 +38,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lakewright.llm._common import table
 
@@ -300,7 +301,7 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 def with_tokens(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """docs with a column token_ids (array of int)."""
     ranks = _broadcast(docs.sparkSession, ranks_path)
-    schema = docs.drop("token_ids").schema.add("token_ids", "array<int>")
+    schema = docs.drop("token_ids").schema.add("token_ids", T.ArrayType(T.IntegerType()))
     kept = docs.drop("token_ids")
     return kept.mapInArrow(_tokens(ranks, pattern, kept.columns.index("text")), schema)
 
