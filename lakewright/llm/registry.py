@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from lakewright.llm import byte_bpe, decontaminate, ngram_join, secrets, toxicity
+from lakewright.llm import byte_bpe, chat, decontaminate, importance, language_id, ngram_join, order_minhash, secrets, toxicity
 
 QUERIES = {
+    "op1_importance_resampling": importance.op1,
     "op2_credential_linking": secrets.op2,
+    "op3_reply_trees": chat.op3,
+    "op4_order_minhash": order_minhash.op4,
     "op5_toxicity": toxicity.op5,
+    "op6_cross_parsing_language": language_id.op6,
     "op7_byte_bpe": byte_bpe.op7,
     "op8_decontamination": decontaminate.op8,
     "op10_ngram_jaccard_join": ngram_join.op10,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_reply_trees": chat.OP3_SQL}
