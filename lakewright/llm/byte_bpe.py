@@ -16,7 +16,7 @@ have merged across the border and the pair is not stable.
 
 Ranks come as a parameter (a tiktoken file read on the driver and broadcast:
 bounded by the vocabulary).  Texts are cut by the tokenizer's own pattern; special
-tokens are never recognised.  Encodings of pieces are remembered per worker in
+tokens are never recognised.  Encodings of pieces are remembered per task in
 a table of at most ``MEMORY`` entries, emptied when full.
 
 Defined results: a null text is empty and has no tokens; a null doc_id stays;
@@ -42,7 +42,7 @@ from pyspark.sql import types as T
 
 from lakewright.llm._common import table
 
-MEMORY = 800_000
+MEMORY = 250_000
 _LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 
 
@@ -105,7 +105,7 @@ class Vocabulary:
                 border, a = a, pa_[1]
             else:
                 border, b = b + 1, pb[0]
-        if len(self.stable) > 2_000_000:
+        if len(self.stable) > MEMORY:
             self.stable.clear()
         self.stable[left, right] = ok
         return ok
@@ -210,6 +210,11 @@ class Encoder:
             return b"".join(plain)
         return b"".join(map(self.known.__getitem__, text.replace(" ", "\0 ").split("\0")))
 
+    def forget(self) -> None:
+        """Give the remembered stretches back, so that an idle worker holds little."""
+        self.known.clear()
+        self.pieces.clear()
+
     def decode(self, packed: bytes) -> bytes:
         return b"".join(map(self.v.bytes_of.__getitem__, np.frombuffer(packed, dtype="<u4").tolist()))
 
@@ -270,6 +275,7 @@ def _digests(ranks, pattern):
             cols = list(zip(*rows, strict=True)) or [()] * 4
             types = (pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        encoder.forget()
 
     return run
 
@@ -283,6 +289,7 @@ def _tokens(ranks, pattern, at):
                 pa.array(np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])]), pa.int32()), pa.array(np.frombuffer(b"".join(packed), dtype="<u4").astype(np.int32))
             )
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, "token_ids"])
+        encoder.forget()
 
     return run
 
