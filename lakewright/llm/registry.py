@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lakewright.llm import byte_bpe, chat, decontaminate, importance, language_id, ngram_join, order_minhash, secrets, toxicity
+from lakewright.llm import byte_bpe, chat, decontaminate, importance, language_id, ngram_join, order_minhash, secrets, substring_dedup, toxicity
 
 QUERIES = {
     "op1_importance_resampling": importance.op1,
@@ -13,7 +13,8 @@ QUERIES = {
     "op6_cross_parsing_language": language_id.op6,
     "op7_byte_bpe": byte_bpe.op7,
     "op8_decontamination": decontaminate.op8,
+    "op9_substring_dedup": substring_dedup.op9,
     "op10_ngram_jaccard_join": ngram_join.op10,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_reply_trees": chat.OP3_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_reply_trees": chat.OP3_SQL, "op9_substring_dedup": substring_dedup.OP9_SQL}
