@@ -42,6 +42,6 @@ def earned_premium(policies: DataFrame, payments: DataFrame, as_of: dt.date) ->
         {
             "earned_year_month": year_month(F.col("month_start")),
             "earned_premium_thb": F.round(F.col("written_premium_thb") * F.col("days_on_risk") / F.col("term_days"), 2),
-            "exposure_policy_years": F.round(F.col("days_on_risk") / F.lit(365.25), 6),
+            "exposure_policy_years": F.round(F.col("days_on_risk") / F.lit(365.25), 6).cast("decimal(18,6)"),
         }
     )

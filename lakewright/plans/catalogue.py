@@ -15,7 +15,8 @@ from pyspark.sql.window import Window
 
 from lakewright import functions as L
 from lakewright import kpi, quality
-from lakewright.operators import asof, cdc, dedupe, exposure, harmonise, merge, scd2
+from lakewright.operators import asof, cdc, dedupe, exposure, merge, scd2
+from lakewright.operators.harmonise import harmonise
 from lakewright.plans import marts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -249,7 +250,7 @@ def harmonise_union(spark, sf_dir):
         "b": {"order_id": "OrderNumber", "status": "Status", "day": "OrderDate", "priority": "Prio"},
         "c": {"order_id": "nomor", "status": "keadaan", "day": "tanggal"},
     }
-    return harmonise.harmonise({"a": a, "b": b, "c": c}, names)
+    return harmonise({"a": a, "b": b, "c": c}, names)
 
 
 def _changes(spark, sf_dir):
