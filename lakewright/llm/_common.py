@@ -39,3 +39,19 @@ def sized(small: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 def crc_bucket(doc_id: Column) -> Column:
     """crc32 of the decimal text of doc_id, modulo 5; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(5))
+
+
+#: Rows of an Arrow batch between the JVM and Python: whole documents, so a thousand are megabytes.
+BATCH_ROWS = 1000
+
+
+def map_arrow(df: DataFrame, f, schema) -> DataFrame:
+    """df.mapInArrow with batches of at most BATCH_ROWS rows, unless the session asks for fewer.
+
+    The default of 10000 would put tens of megabytes of text into each of the buffers that
+    every task holds on both sides.
+    """
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df.mapInArrow(f, schema)

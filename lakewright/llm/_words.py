@@ -74,7 +74,7 @@ def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return offsets - offsets[0], raw[offsets[0] : offsets[-1]]
 
 
-def slices(column, max_bytes: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def slices(column, max_bytes: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut a column between rows into (first, last + 1, offsets, bytes) of about max_bytes."""
     offsets, data = buffers(column)
     lo, n = 0, len(offsets) - 1

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakewright.llm._common import table
+from lakewright.llm._common import map_arrow, table
 
 MEMORY = 250_000
 _LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
@@ -302,7 +302,7 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, digest of the ids and digest of the bytes they decode to, a row each."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ranks = _broadcast(docs.sparkSession, ranks_path)
-    return texts.mapInArrow(_digests(ranks, pattern), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_arrow(texts, _digests(ranks, pattern), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def with_tokens(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -310,7 +310,7 @@ def with_tokens(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     ranks = _broadcast(docs.sparkSession, ranks_path)
     schema = docs.drop("token_ids").schema.add("token_ids", T.ArrayType(T.IntegerType()))
     kept = docs.drop("token_ids")
-    return kept.mapInArrow(_tokens(ranks, pattern, kept.columns.index("text")), schema)
+    return map_arrow(kept, _tokens(ranks, pattern, kept.columns.index("text")), schema)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

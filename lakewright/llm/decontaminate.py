@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakewright.llm._common import table
+from lakewright.llm._common import map_arrow, table
 from lakewright.llm._words import U, mix, slices, tokens
 
 STEPS, SAMPLES, REPEATS = 40, 20, 3
@@ -259,7 +259,7 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
     for block in _blocks(benchmark):
-        part = texts.mapInArrow(_pairs(block), _PAIRS)
+        part = map_arrow(texts, _pairs(block), _PAIRS)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -267,7 +267,7 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that hold no benchmark item; columns as they are."""
     for block in _blocks(benchmark):
-        docs = docs.mapInArrow(_clean(block, docs.columns.index("text")), docs.schema)
+        docs = map_arrow(docs, _clean(block, docs.columns.index("text")), docs.schema)
     return docs
 
 

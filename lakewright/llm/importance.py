@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakewright.llm._common import cut, table
+from lakewright.llm._common import cut, map_arrow, table
 from lakewright.llm._words import U, hash_words, ngrams, slices, tokens
 
 BUCKETS, SAMPLE, SHARE, SEED = 1 << 14, 20_000, 0.5, 1
@@ -66,7 +66,7 @@ def log_ratios(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.n
     texts = docs.select(F.col("doc_id").cast("long").alias("_of"), F.col("text").cast("string").alias("text"))
     # Bounded by the sample.
     marked = texts.join(F.broadcast(good), F.col("_of") == F.col("_id"), "left").select("text", F.col("_id").isNotNull().alias("target"))
-    counts = marked.mapInArrow(_count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()
+    counts = map_arrow(marked, _count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for r in counts:
         raw[r["bucket"]], target[r["bucket"]] = r["raw"], r["target"]
@@ -127,7 +127,7 @@ def resample(docs: DataFrame, labels: DataFrame, share: float = SHARE, seed: int
         F.col("text").cast("string").alias("text"),
         F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.lit(seed)), F.lit(1 << 40)).alias("noise"),
     )
-    keyed = cut(rows.mapInArrow(_weigh(ratios), "doc_id long, n_grams long, log_weight double, gumbel_key double"))
+    keyed = cut(map_arrow(rows, _weigh(ratios), "doc_id long, n_grams long, log_weight double, gumbel_key double"))
     least = kth_greatest(keyed, "gumbel_key", math.ceil(share * keyed.count()))
     return keyed.withColumn("selected", F.col("gumbel_key") >= F.lit(math.inf if least is None else least))
 

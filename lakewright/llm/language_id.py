@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lakewright.llm._common import crc_bucket, table
+from lakewright.llm._common import crc_bucket, map_arrow, table
 
 CHARS, ALL_CHARS, TEXTS, PER_TEXT = 40_000, 400_000, 64, 1500
 STRETCH, ALPHABET = 512, 96
@@ -196,7 +196,7 @@ def predict(docs: DataFrame) -> DataFrame:
     samples, held_back = learn(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("held_out", crc_bucket(F.col("doc_id")) == 0)
-    return rows.mapInArrow(_predict(samples, held_back), "doc_id long, held_out boolean, lang_pred string, score double")
+    return map_arrow(rows, _predict(samples, held_back), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakewright.llm._common import cut, sized, table
+from lakewright.llm._common import cut, map_arrow, sized, table
 from lakewright.llm._graph import connected
 from lakewright.llm._words import U, hash_words, mix, ngrams, slices, tokens
 
@@ -196,8 +196,11 @@ def ngram_jaccard_join(docs: DataFrame, words: int = WORDS, threshold: float = T
     n_grams."""
     bands, rows = plan_bands(threshold, recall)
     signed = cut(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        .mapInArrow(_signer(words, bands, rows), "doc_id long, key binary, bands array<long>, n_grams long")
+        map_arrow(
+            docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")),
+            _signer(words, bands, rows),
+            "doc_id long, key binary, bands array<long>, n_grams long",
+        )
     )
     full, bare = signed.where("key is not null"), signed.where("key is null")
     classes = cut(full.groupBy("key").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n_docs"), F.first("bands").alias("bands")))
@@ -208,11 +211,8 @@ def ngram_jaccard_join(docs: DataFrame, words: int = WORDS, threshold: float = T
     sizes = found.groupBy("label").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("n_blocks"))
     wanted = cut(found.join(sizes, "label").join(classes.drop("bands"), found.node == classes.key).select("key", "label", "n_blocks", "n_docs", "class_id"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = (
-        texts.join(sized(wanted), texts.doc_id.eqNullSafe(wanted.class_id))
-        .select("text", "key", "label", "n_blocks", "n_docs")
-        .mapInArrow(_set_maker(words), "key binary, label binary, n_blocks int, n_docs long, grams binary")
-    )
+    chosen = texts.join(sized(wanted), texts.doc_id.eqNullSafe(wanted.class_id)).select("text", "key", "label", "n_blocks", "n_docs")
+    sets = map_arrow(chosen, _set_maker(words), "key binary, label binary, n_blocks int, n_docs long, grams binary")
     block_of = F.pmod(F.xxhash64("key"), F.col("n_blocks")).cast("int")
     dealt = (
         sets.withColumn("block", block_of)

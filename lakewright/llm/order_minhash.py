@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakewright.llm._common import table
+from lakewright.llm._common import map_arrow, table
 from lakewright.llm._words import U, mix
 
 K, BINS, PICK = 8, 64, 2
@@ -157,7 +157,7 @@ def next_documents(docs: DataFrame) -> DataFrame:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, a row each."""
-    return next_documents(docs).mapInArrow(
+    return map_arrow(next_documents(docs), 
         _stream, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     )
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakewright.llm._common import table
+from lakewright.llm._common import map_arrow, table
 
 REACH = 200
 KINDS = ("assign", "access", "hex", "ident", "endpoint", "weak")
@@ -135,7 +135,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_assign, n_access, n_hex, base_sha256, spans
     (base and linked) and n_linked."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(_scan, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_linked long")
+    return map_arrow(texts, _scan, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_linked long")
 
 
 def redact(text: str) -> str:
@@ -170,7 +170,7 @@ def _redactor(at: int, length: int):
 def redacted(docs: DataFrame) -> DataFrame:
     """docs with secrets redacted in text, and n_chars (if there) of changed texts renewed."""
     names = docs.columns
-    return docs.mapInArrow(_redactor(names.index("text"), names.index("n_chars") if "n_chars" in names else -1), docs.schema)
+    return map_arrow(docs, _redactor(names.index("text"), names.index("n_chars") if "n_chars" in names else -1), docs.schema)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakewright.llm._common import cut, sized, table
+from lakewright.llm._common import cut, map_arrow, sized, table
 from lakewright.llm._fm_index import FMIndex, matching_statistics
 from lakewright.llm._words import U, hash_words, mix, ngrams, slices, tokens
 
@@ -200,7 +200,7 @@ def repeated_intervals(docs: DataFrame, shard_words: int = SHARD_WORDS, hot: int
     first and last start of repeated windows of the document with word hash seq; a last
     of -1 means to its end."""
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("place"), F.col("text").cast("string").alias("text"))
-    seen = cut(texts.mapInArrow(_survey, "place long, seq binary, n_words long, anchors array<long>").where(F.col("n_words") >= WINDOW))
+    seen = cut(map_arrow(texts, _survey, "place long, seq binary, n_words long, anchors array<long>").where(F.col("n_words") >= WINDOW))
     same = cut(seen.groupBy("seq").agg(F.min("place").alias("least"), F.max("place").alias("most")).where("least < most").select("seq", "least"))
     copies = seen.select("place", "seq").join(sized(same), "seq").where("place > least").select("place", "seq").distinct()
     one = seen.join(sized(same), "seq", "left").where("least is null or place = least").select("place", F.explode("anchors").alias("anchor"))
@@ -217,10 +217,10 @@ def repeated_intervals(docs: DataFrame, shard_words: int = SHARD_WORDS, hot: int
     n_shards = max(1, -(-(n_rare or 0) * 30 // shard_words))
     found = [copies.select("place", "seq", F.lit(0).alias("first"), F.lit(-1).alias("last"))]
     if n_rare:
-        cut_up = few.mapInArrow(_cut_passages(n_shards), "shard int, place long, seq binary, start int, words binary")
+        cut_up = map_arrow(few, _cut_passages(n_shards), "shard int, place long, seq binary, start int, words binary")
         found.append(cut_up.groupBy("shard").applyInArrow(_search_shard, "place long, seq binary, first int, last int"))
     if n_hot:
-        windows = few.mapInArrow(_cut_windows, "one long, two long, place long, seq binary, start int")
+        windows = map_arrow(few, _cut_windows, "one long, two long, place long, seq binary, start int")
         first = windows.groupBy("one", "two").agg(F.min(F.struct("place", "seq", "start")).alias("least"))
         later = windows.join(first, ["one", "two"]).where(F.struct("place", "seq", "start") != F.col("least"))
         found.append(later.select("place", "seq", F.col("start").alias("first"), F.col("start").alias("last")).distinct())
@@ -235,7 +235,7 @@ def deduplicated(docs: DataFrame, **how) -> DataFrame:
     found = repeated_intervals(docs, **how).select(F.col("place").alias("_place"), "found")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     joined = texts.join(sized(found), F.coalesce("doc_id", F.lit(_NULL)) == F.col("_place"), "left").select("doc_id", "text", "found")
-    return joined.mapInArrow(_finish, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return map_arrow(joined, _finish, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

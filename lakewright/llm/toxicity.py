@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakewright.llm._common import crc_bucket, table
+from lakewright.llm._common import crc_bucket, map_arrow, table
 
 SAMPLE = 4000
 LEXICON = 2000
@@ -177,14 +177,21 @@ def _stems(text: str | None) -> set[str]:
 
 
 def _count_stems(batches):
-    for batch in batches:
-        seen = (Counter(), Counter())
-        for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            seen[toxic].update(_stems(text))
+    seen = (Counter(), Counter())
+
+    def told():
         terms = list(seen[0] | seen[1])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(terms, pa.string()), pa.array([seen[1][t] for t in terms], pa.int64()), pa.array([seen[0][t] for t in terms], pa.int64())], ["term", "toxic", "clean"]
-        )
+        counts = [pa.array([c[t] for t in terms], pa.int64()) for c in (seen[1], seen[0])]
+        for c in seen:
+            c.clear()
+        return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *counts], ["term", "toxic", "clean"])
+
+    for batch in batches:
+        for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            seen[toxic].update(_stems(text.as_py()))
+            if len(seen[0]) + len(seen[1]) > 200_000:
+                yield told()
+    yield told()
 
 
 def choose_terms(counts: list[tuple[str, int, int]], n_toxic: int, n_clean: int) -> list[str]:
@@ -245,7 +252,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[lis
         if not seen.get(1) or not seen.get(0):
             return [], None
         counts = (
-            chosen.mapInArrow(_count_stems, "term string, toxic long, clean long")
+            map_arrow(chosen, _count_stems, "term string, toxic long, clean long")
             .groupBy("term")
             .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
             .where((F.col("toxic") >= 3) & (F.col("toxic") * seen[0] > 4.0 * F.col("clean") * seen[1]))
@@ -262,7 +269,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[lis
                 cols = list(zip(*x, strict=True)) or [()] * 3
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.float64()) for c in cols), batch.column(1).cast(pa.int32())], ["a", "b", "c", "toxic"])
 
-        rows = chosen.mapInArrow(feature_rows, "a double, b double, c double, toxic int").collect()
+        rows = map_arrow(chosen, feature_rows, "a double, b double, c double, toxic int").collect()
     finally:
         chosen.unpersist()
     # Task order is not fixed: sort, so that the sums are the same each time.
@@ -287,7 +294,7 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     terms, weights = learn(docs, labels)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("held_out", crc_bucket(F.col("doc_id")) == 0)
-    return rows.mapInArrow(_scores(terms, weights), "doc_id long, held_out boolean, score double, predicted int")
+    return map_arrow(rows, _scores(terms, weights), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def _keep(terms, weights, at):
@@ -302,7 +309,7 @@ def _keep(terms, weights, at):
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the learned score does not reject; columns as they are."""
     terms, weights = learn(docs, labels)
-    return docs.mapInArrow(_keep(terms, weights, docs.columns.index("text")), docs.schema)
+    return map_arrow(docs, _keep(terms, weights, docs.columns.index("text")), docs.schema)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
