@@ -20,7 +20,7 @@ FIELDS: dict[str, tuple[T.DataType, str, str]] = {
     "arr": (_MONEY, "Annual recurring revenue", r"\bARR\b"),
     "number_of_clients": (_COUNT, "Active clients", r"number of clients|n[úu]mero de clientes"),
     "leads_generated": (_COUNT, "Leads of the period", r"leads generated|leads generados"),
-    "revenue": (_MONEY, "Revenue, last twelve months preferred", r"revenue \(LTM\)|ingresos \(LTM\)|revenue|ingresos(?: del trimestre)?"),
+    "revenue": (_MONEY, "Revenue, last twelve months preferred", r"revenue \(LTM\)|ingresos \(LTM\)|revenue(?! churn)|ingresos(?: del trimestre)?"),
     "ebitda": (_MONEY, "EBITDA, last twelve months", r"(?<!/)\bEBITDA(?: \(LTM\)| últimos 12 meses)?"),
     "ebit": (_MONEY, "EBIT, last twelve months", r"\bEBIT\b(?: \(LTM\))?"),
     "corporate_tax": (_MONEY, "Corporate tax, last twelve months", r"corporate tax(?: \(LTM\))?|impuesto de sociedades"),
@@ -73,6 +73,18 @@ def parse_number(c: Column) -> Column:
     return plain.try_cast("decimal(28,6)") * F.when(unit == "m", 1_000_000).when(unit == "k", 1_000).otherwise(1)
 
 
+def _alternatives(pattern: str) -> list[str]:
+    """The pattern cut at its outermost bars."""
+    out, depth = [""], 0
+    for prev, ch in zip(" " + pattern, pattern, strict=False):
+        depth += (ch == "(") - (ch == ")") if prev != "\\" else 0
+        if ch == "|" and not depth:
+            out.append("")
+        else:
+            out[-1] += ch
+    return out
+
+
 def extracted(text: Column) -> Column:
     """A record from free text or a table: per field the first number after its label, within a line or row."""
     flat = F.regexp_replace(text, r"\*\*", "")
@@ -81,7 +93,7 @@ def extracted(text: Column) -> Column:
         # In a table row the value is the last cell, in prose the next number.
         # Alternatives are tried in their order, so that the preferred label wins wherever it stands.
         found: Column = F.lit(None).cast("string")
-        for one in label.split("|") if "(" not in label.replace("\\(", "").replace("(?", "") else [label]:
+        for one in _alternatives(label):
             row = F.regexp_extract(flat, rf"(?im)^\s*\|?\s*(?:{one})\s*\|(?:[^|\n]*\|)*?\s*([^|\n]*\d[^|\n]*)\|?\s*$", 1)
             prose = F.regexp_extract(flat, rf"(?i)(?:{one})[^\d\n|]{{0,60}}?({_NUMBER}\s?[MmKk%x]?)", 1)
             found = F.coalesce(found, F.nullif(row, F.lit("")), F.nullif(prose, F.lit("")))

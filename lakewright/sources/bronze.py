@@ -162,6 +162,13 @@ class Bronze:
         batch = batch or batch_id()
         return [self.ingest(s.name, batch) for s in self.registry.sources if not only or s.name in only]
 
+    def read(self, name: str) -> DataFrame:
+        """A landing table; without any landed file yet, an empty frame of the metadata columns."""
+        table = self.table(name)
+        if table.exists():
+            return table.read()
+        return self.spark.createDataFrame([], "_ingested_at timestamp, _source_file string, _batch_id string, _record_hash string, _source_name string, _batch_date date")
+
     def inspect(self) -> DataFrame:
         """Rows landed and refused per source and batch."""
         return self.manifest.read().groupBy("source_name", "batch_id").agg(F.count("*").alias("files"), F.sum("row_count").alias("rows"), F.sum("quarantined_count").alias("quarantined"))
