@@ -187,6 +187,8 @@ class Items:
             done[row, n] = at + most
             first, last = int(offsets[row]), int(offsets[row + 1])
             at = min(max(at, first), last)
+            while first < at < last and data[at] & 0xC0 == 0x80:  # inside a code point
+                at -= 1
             left = data[max(first, at - 8 * most - 3) : at].tobytes().decode("utf-8", "ignore")
             left = left[max(0, len(left) - 2 * most) :]
             right = data[at : min(last, at + 4 * (len(self.texts[n]) + 2 * most))].tobytes().decode("utf-8", "ignore")
