@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakewright.llm._common import cut, map_arrow, sized, table
+from lakewright.llm._common import BROADCAST_ROWS, cut, map_arrow, sized, table
 from lakewright.llm._fm_index import FMIndex, matching_statistics
 from lakewright.llm._words import U, hash_words, mix, ngrams, slices, tokens
 
@@ -174,6 +174,24 @@ def _cut_windows(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["one", "two", "place", "seq", "start"])
 
 
+def _merge(batches):
+    """Intervals of a document that touch as one: few are left of thousands of windows."""
+    for batch in batches:
+        out = []
+        for found in batch.column(1).to_pylist():
+            kept: list[dict] = []
+            for x in sorted(found, key=lambda x: (x["seq"], x["last"] >= 0, x["first"], x["last"])):
+                if kept and kept[-1]["seq"] == x["seq"] and (kept[-1]["last"] < 0 or x["first"] <= kept[-1]["last"] + WINDOW):
+                    # Windows less than WINDOW apart cover every word between them.
+                    if kept[-1]["last"] >= 0:
+                        kept[-1]["last"] = max(kept[-1]["last"], x["last"])
+                else:
+                    kept.append(x)
+            out.append(kept)
+        kind = pa.list_(pa.struct([("seq", pa.binary()), ("first", pa.int32()), ("last", pa.int32())]))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], ["place", "found"])
+
+
 def _finish(batches):
     for batch in batches:
         rows = []
@@ -227,14 +245,18 @@ def repeated_intervals(docs: DataFrame, shard_words: int = SHARD_WORDS, hot: int
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
-    return cut(out.groupBy("place").agg(F.collect_list(F.struct("seq", "first", "last")).alias("found")))
+    gathered = out.groupBy("place").agg(F.collect_list(F.struct("seq", "first", "last")).alias("found"))
+    return cut(map_arrow(gathered, _merge, "place long, found array<struct<seq: binary, first: int, last: int>>"))
 
 
 def deduplicated(docs: DataFrame, **how) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 for every row of docs."""
     found = repeated_intervals(docs, **how).select(F.col("place").alias("_place"), "found")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    joined = texts.join(sized(found), F.coalesce("doc_id", F.lit(_NULL)) == F.col("_place"), "left").select("doc_id", "text", "found")
+    # Broadcast only if the intervals, not just the documents, are known to be few.
+    n = found.agg(F.sum(F.size("found"))).first()[0] or 0
+    side = F.broadcast(found) if n <= BROADCAST_ROWS else found.hint("shuffle_merge")
+    joined = texts.join(side, F.coalesce("doc_id", F.lit(_NULL)) == F.col("_place"), "left").select("doc_id", "text", "found")
     return map_arrow(joined, _finish, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
