@@ -17,7 +17,7 @@ have merged across the border and the pair is not stable.
 Ranks come as a parameter (a tiktoken file read on the driver and broadcast:
 bounded by the vocabulary).  Texts are cut by the tokenizer's own pattern; special
 tokens are never recognised.  Encodings of pieces are remembered per task in
-a table of at most ``MEMORY`` entries, emptied when full.
+a table of at most ``MEMORY`` entries.
 
 Defined results: a null text is empty and has no tokens; a null doc_id stays;
 repeated rows are encoded each; other columns are ignored by ``encoded`` and
@@ -42,7 +42,7 @@ from pyspark.sql import types as T
 
 from lakewright.llm._common import map_arrow, table
 
-MEMORY = 250_000
+MEMORY = 300_000
 _LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 
 
@@ -59,13 +59,20 @@ class Vocabulary:
         self.longest = max(map(len, ranks))
         self.bytes_of = {r: b for b, r in ranks.items()}
         self.size_of = {r: len(b) for b, r in ranks.items()}
+        # All tokens' bytes end to end, for decoding by look-up.
+        order = [self.bytes_of.get(r, b"") for r in range(max(self.bytes_of) + 1)]
+        self.sizes = np.array([len(b) for b in order], dtype=np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.all_bytes = np.frombuffer(b"".join(order), dtype=np.uint8)
         self.split: dict[int, tuple[int, int]] = {}
-        self.stable: dict[tuple[int, int], bool] = {}
+        #: Of each token, whether it is stable after the tokens asked about so far.
+        self.stable: dict[int, dict[int, bool]] = {r: {} for r in ranks.values()}
+        self.asked = 0
         #: Finds, byte by byte, every token that ends there (latin-1 text stands for bytes).
         self.suffixes = ahocorasick.Automaton()
         for b, r in ranks.items():
             if len(b) == 1 or self.parts(r) != (-1, -1):
-                self.suffixes.add_word(b.decode("latin-1"), (r, len(b)))
+                self.suffixes.add_word(b.decode("latin-1"), (r, len(b), self.stable[r]))
         self.suffixes.make_automaton()
 
     def parts(self, token: int) -> tuple[int, int] | None:
@@ -87,7 +94,7 @@ class Vocabulary:
 
     def is_stable(self, left: int, right: int) -> bool:
         """Whether BPE on the bytes of both tokens gives exactly [left, right]."""
-        if (known := self.stable.get((left, right))) is not None:
+        if (known := self.stable[right].get(left)) is not None:
             return known
         # Undo the latest merge of either side, one at a time: `border` is the rank below
         # which a merge across the border would have come first.
@@ -105,9 +112,12 @@ class Vocabulary:
                 border, a = a, pa_[1]
             else:
                 border, b = b + 1, pb[0]
-        if len(self.stable) > MEMORY:
-            self.stable.clear()
-        self.stable[left, right] = ok
+        if self.asked >= MEMORY:
+            self.asked = 0
+            for known_ in self.stable.values():
+                known_.clear()
+        self.asked += 1
+        self.stable[right][left] = ok
         return ok
 
 
@@ -120,23 +130,21 @@ class Piece:
 
     def append(self, more: bytes) -> None:
         v, last = self.v, self.last
-        stable, old = v.stable, len(self.data)
+        old = len(self.data)
         self.data += more
         from_ = max(0, old - v.longest + 1)
         settled = old - 1
-        for end, (token, n) in v.suffixes.iter(self.data[from_:].decode("latin-1")):
+        for end, (token, n, after) in v.suffixes.iter((self.data[from_:] if from_ else self.data).decode("latin-1")):
             end += from_
             if end <= settled:
                 continue
-            if end + 1 == n:
-                last.append(token)
-                settled = end
-                continue
-            before = last[end - n]
-            ok = stable.get((before, token))
-            if v.is_stable(before, token) if ok is None else ok:
-                last.append(token)
-                settled = end
+            if end + 1 != n:
+                before = last[end - n]
+                ok = after.get(before)
+                if not (v.is_stable(before, token) if ok is None else ok):
+                    continue
+            last.append(token)
+            settled = end
 
     def tokens(self, end: int | None = None) -> list[int]:
         """The encoding of the first end bytes (all by default)."""
@@ -155,19 +163,23 @@ _ODD_ASCII = tuple(map(chr, (0, 9, 11, 12, 13, *range(28, 32), 127)))
 
 
 class _Memory(dict):
-    """Packed ids by stretch of text; at most MEMORY entries, emptied when full."""
+    """Packed ids by stretch of text, in two generations of at most MEMORY / 2 entries:
+    what was asked for since the last change of generation survives the next."""
 
     def __init__(self, encoder: Encoder) -> None:
-        self.encoder = encoder
+        self.encoder, self.old = encoder, {}
 
     def __missing__(self, s: str) -> bytes:
         e = self.encoder
-        if s.isascii() and (s[1:].isalpha() if s[:1] == " " else s.isalpha()):
+        if (got := self.old.get(s)) is not None:
+            pass
+        elif s.isascii() and (s[1:].isalpha() if s[:1] == " " else s.isalpha()):
             got = e.piece(s)
         else:
             got = b"".join([e.piece(p) for p in e.all(s)])
         if len(s) < 64:
-            if len(self) >= MEMORY:
+            if len(self) >= MEMORY // 2:
+                self.old = dict(self)
                 self.clear()
             self[s] = got
         return got
@@ -213,10 +225,15 @@ class Encoder:
     def forget(self) -> None:
         """Give the remembered stretches back, so that an idle worker holds little."""
         self.known.clear()
+        self.known.old = {}
         self.pieces.clear()
 
     def decode(self, packed: bytes) -> bytes:
-        return b"".join(map(self.v.bytes_of.__getitem__, np.frombuffer(packed, dtype="<u4").tolist()))
+        ids = np.frombuffer(packed, dtype="<u4")
+        size = self.v.sizes[ids]
+        ends = np.cumsum(size)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.v.starts[ids] - (ends - size), size)
+        return self.v.all_bytes[at].tobytes()
 
 
 class Encoded:
