@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lakewright.operators.merge import merge_upsert
 from lakewright.operators.scd2 import scd2_apply
@@ -33,6 +34,8 @@ class Version:
     operation: str
     files: tuple[str, ...]
     metrics: dict
+    #: Schema (JSON) of each data folder, so that reading asks no footers.
+    schemas: dict[str, str]
 
 
 class Table:
@@ -65,15 +68,15 @@ class Table:
             d = json.loads(self._io.toString(stream, "UTF-8"))
         finally:
             stream.close()
-        return Version(number, d["timestamp"], d["operation"], tuple(d["files"]), d["metrics"])
+        return Version(number, d["timestamp"], d["operation"], tuple(d["files"]), d["metrics"], d["schemas"])
 
     def history(self) -> DataFrame:
         """version, timestamp, operation and metrics (JSON), newest first."""
         rows = [(v.number, v.timestamp, v.operation, json.dumps(v.metrics, sort_keys=True)) for v in map(self.version, reversed(self.versions()))]
         return self.spark.createDataFrame(rows, "version int, timestamp string, operation string, metrics string")
 
-    def _commit(self, base: int, operation: str, files: Sequence[str], metrics: dict) -> Version:
-        entry = {"timestamp": dt.datetime.now(dt.UTC).isoformat(), "operation": operation, "files": list(files), "metrics": metrics}
+    def _commit(self, base: int, operation: str, files: dict[str, str], metrics: dict) -> Version:
+        entry = {"timestamp": dt.datetime.now(dt.UTC).isoformat(), "operation": operation, "files": list(files), "metrics": metrics, "schemas": files}
         try:
             out = self._fs.create(self._Path(f"{self.path}/_log/{base + 1:08d}.json"), False)
         except Exception as e:
@@ -84,38 +87,41 @@ class Table:
             out.close()
         return self.version(base + 1)
 
-    def _write(self, df: DataFrame, partition_by: Sequence[str] = ()) -> str:
+    def _write(self, df: DataFrame, partition_by: Sequence[str] = ()) -> dict[str, str]:
         name = f"data/{uuid.uuid4().hex}"
         writer = df.write.mode("errorifexists")
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{self.path}/{name}")
-        return name
+        return {name: df.schema.json()}
 
     # ------------------------------------------------------------ reading
 
     def read(self, version: int | None = None) -> DataFrame:
         """The newest or the given version; columns added over time are null where they were not yet."""
         v = self.version(version)
-        frames = [self.spark.read.option("mergeSchema", "true").parquet(f"{self.path}/{f}") for f in v.files]
+        frames = [self._folder(f, v.schemas[f]) for f in v.files]
         out = frames[0]
         for f in frames[1:]:
             out = out.unionByName(f, allowMissingColumns=True)
         return out
 
+    def _folder(self, name: str, schema: str) -> DataFrame:
+        return self.spark.read.schema(T.StructType.fromJson(json.loads(schema))).parquet(f"{self.path}/{name}")
+
     # ------------------------------------------------------------ writing
 
-    def _rows(self, name: str) -> int:
-        return self.spark.read.parquet(f"{self.path}/{name}").count()
+    def _rows(self, written: dict[str, str]) -> int:
+        return sum(self._folder(name, schema).count() for name, schema in written.items())
 
     def append(self, df: DataFrame, partition_by: Sequence[str] = ()) -> Version:
         known = self.versions()
-        files = self.version().files if known else ()
+        held = self.version().schemas if known else {}
         new = self._write(df, partition_by)
-        return self._commit(known[-1] if known else -1, "APPEND", (*files, new), {"rows_added": self._rows(new)})
+        return self._commit(known[-1] if known else -1, "APPEND", held | new, {"rows_added": self._rows(new)})
 
     def overwrite(self, df: DataFrame, operation: str = "OVERWRITE", partition_by: Sequence[str] = (), metrics: dict | None = None) -> Version:
         known = self.versions()
         new = self._write(df, partition_by)
-        return self._commit(known[-1] if known else -1, operation, (new,), (metrics or {}) | {"rows": self._rows(new)})
+        return self._commit(known[-1] if known else -1, operation, new, (metrics or {}) | {"rows": self._rows(new)})
 
     def merge(self, source: DataFrame, keys: Sequence[str], deleted: Column | None = None) -> Version:
         """Upsert by key; see `merge_upsert`.  On a new table it is the first write."""
