@@ -69,12 +69,11 @@ def reply_paths(messages: DataFrame, top: int | None = None) -> DataFrame:
     )
     ups, left = [jump], jump.where("far is not null").count()
     while left and len(ups) < _MAX_ROUNDS:
+        # Only messages whose ancestor so far up exists look further; the others are done.
         over = jump.select(F.col("tree").alias("o_tree"), F.col("id").alias("o_id"), F.col("far").alias("o_far"), F.col("gained").alias("o_gained"), F.col("hops").alias("o_hops"))
-        jump = cut(
-            jump.join(over, _same(("tree", "o_tree"), ("far", "o_id")), "left").select(
-                "tree", "id", F.col("o_far").alias("far"), (F.col("gained") + F.coalesce("o_gained", F.lit(0.0))).alias("gained"), (F.col("hops") + F.coalesce("o_hops", F.lit(0))).alias("hops")
-            )
-        )
+        further = jump.where("far is not null").join(over, _same(("tree", "o_tree"), ("far", "o_id")))
+        further = further.select("tree", "id", F.col("o_far").alias("far"), (F.col("gained") + F.col("o_gained")).alias("gained"), (F.col("hops") + F.col("o_hops")).alias("hops"))
+        jump = cut(jump.where("far is null").unionByName(further))
         was, left = left, jump.where("far is not null").count()
         if left == was:  # what is left runs in circles
             break
