@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lakewright.llm._common import cut, map_arrow, sized, table
 from lakewright.llm._graph import connected
@@ -189,11 +190,22 @@ def _verifier(threshold: float):
     return run
 
 
-def ngram_jaccard_join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, class_id (least doc_id with the
-    same gram set), n_links (other documents with Jaccard similarity of at least
-    threshold, copies included), group_id (least doc_id of its connected group) and
-    n_grams."""
+def _keyer(k: int, at: int):
+    """Batches with the class key of their text (column at) as a last column, null without words."""
+
+    def run(batches):
+        for batch in batches:
+            for lo, hi, offsets, data in slices(batch.column(at)):
+                part = batch.slice(lo, hi - lo)
+                keys = pa.array([_class_key(s) if len(s) else None for s in _gram_sets(offsets, data, k)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns, keys], names=[*part.schema.names, "_key"])
+
+    return run
+
+
+def _judged(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+    """The rows of ngram_jaccard_join with the class key and the label of the connected
+    group, which no other group shares, whatever its ids; both are null without words."""
     bands, rows = plan_bands(threshold, recall)
     signed = cut(
         map_arrow(
@@ -224,34 +236,50 @@ def ngram_jaccard_join(docs: DataFrame, words: int = WORDS, threshold: float = T
     groups = connected(verified.where("other is not null").select(F.col("key").alias("a"), F.col("other").alias("b")))
     named = groups.join(classes, groups.node == classes.key)
     least = named.groupBy("label").agg(F.min("class_id").alias("group_id"))
-    told = named.join(least, "label").select(F.col("node").alias("key"), "group_id").join(links, "key", "left")
+    told = named.join(least, "label").select(F.col("node").alias("key"), "group_id", "label").join(links, "key", "left")
     known = classes.drop("bands").join(told, "key", "left")
+    n_links, none = F.col("n_docs") - 1 + F.coalesce("links", F.lit(0)), F.lit(None).cast("binary")
     of_full = full.join(known, "key").select(
-        "doc_id", "class_id", (F.col("n_docs") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("group_id", "class_id").alias("group_id"), "n_grams"
+        "doc_id", "class_id", n_links.alias("n_links"), F.coalesce("group_id", "class_id").alias("group_id"), "n_grams", "key", F.coalesce("label", "key").alias("label")
     )
-    return of_full.unionByName(bare.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("group_id"), "n_grams"))
+    return of_full.unionByName(
+        bare.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("group_id"), "n_grams", none.alias("key"), none.alias("label"))
+    )
+
+
+def ngram_jaccard_join(docs: DataFrame, **how) -> DataFrame:
+    """One row per row of docs (doc_id, text): doc_id, class_id (least doc_id with the
+    same gram set), n_links (other documents with Jaccard similarity of at least
+    threshold, copies included), group_id (least doc_id of its connected group) and
+    n_grams.  how: words, threshold, recall and block."""
+    return _judged(docs, **how).drop("key", "label")
 
 
-def one_per_group(docs: DataFrame, **how) -> DataFrame:
+def one_per_group(docs: DataFrame, words: int = WORDS, **how) -> DataFrame:
     """The rows of docs without all but one of each group of near-duplicates.
 
-    The row with the least doc_id stays.  Rows without words stay.  If one
-    doc_id names several rows of a group, equal rows are reduced to one and
-    different texts to the first by hash, so that exactly one stays.
+    The row with the least doc_id stays, one with a null doc_id only if no other is
+    there.  Rows without words stay.  Rows are told apart by doc_id and class key, so
+    what happens to one never touches an unlinked row of the same, or no, doc_id.  If a
+    doc_id names several rows of a group, the first class by key stays, and of its
+    rows the first by hash, so that exactly one stays.
     """
-    judged = ngram_jaccard_join(docs, **how)
-    judged = cut(judged.where("n_grams > 0 and n_links > 0"))
-    drop = judged.where(~F.col("doc_id").eqNullSafe(F.col("group_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(sized(drop), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
-    twice = judged.where(F.col("doc_id").eqNullSafe(F.col("group_id"))).groupBy("group_id").count().where("count > 1").select(F.col("group_id").alias("_twice"))
-    twice = cut(twice)
+    judged = cut(_judged(docs, words, **how).where("n_grams > 0 and n_links > 0").select("doc_id", "key", "label"))
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    kept = judged.groupBy("label").agg(F.min(row).alias("_stays")).select(F.col("_stays.doc_id").alias("_id"), F.col("_stays.key").alias("_of"))
+    rows = judged.groupBy("doc_id", "key").count()
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_of"))
+    gone = cut(rows.join(kept, same, "left_anti").select(F.col("doc_id").alias("_id"), F.col("key").alias("_of")))
+    twice = cut(rows.where("count > 1").join(kept, same, "left_semi").select(F.col("doc_id").alias("_id"), F.col("key").alias("_of")))
+    keyed = map_arrow(docs, _keyer(words, docs.columns.index("text")), T.StructType([*docs.schema.fields, T.StructField("_key", T.BinaryType())]))
+    this = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_of"))
+    left = keyed.join(sized(gone), this, "left_anti")
     if twice.isEmpty():
-        return left
+        return left.drop("_key")
     again = sized(twice)
-    plain = left.join(again, F.col("doc_id").eqNullSafe(F.col("_twice")), "left_anti")
-    doubled = left.join(again, F.col("doc_id").eqNullSafe(F.col("_twice")), "left_semi")
-    first = doubled.withColumn("_row", F.struct(F.xxhash64("text").alias("h"), F.struct(*docs.columns).alias("r")))
-    return plain.unionByName(first.groupBy("doc_id").agg(F.min("_row").alias("_row")).select("_row.r.*"))
+    plain = left.join(again, this, "left_anti").drop("_key")
+    first = left.join(again, this, "left_semi").withColumn("_row", F.struct(F.xxhash64("text").alias("h"), F.struct(*docs.columns).alias("r")))
+    return plain.unionByName(first.groupBy("doc_id", "_key").agg(F.min("_row").alias("_row")).select("_row.r.*"))
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

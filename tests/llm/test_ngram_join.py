@@ -72,6 +72,19 @@ def test_one_stays_of_each_group(spark):
     assert kept[0].asDict().keys() == {"doc_id", "text", "key", "label"}
 
 
+def test_unlinked_rows_of_a_shared_or_null_id_stay(spark):
+    r = random.Random(4)
+    text = [" ".join(f"v{r.randrange(10**6)}" for _ in range(40)) for _ in range(8)]
+    # a null id copies row 3; id 7 copies row 3 and has a text of its own; null ids copy each other;
+    # id 1 is the least of two groups.  Beside them: unique texts and empties of the same ids.
+    rows = [(3, text[0]), (None, text[0]), (7, text[0]), (7, text[1]), (7, ""), (None, text[2]), (None, None), (None, "")]
+    rows += [(None, text[3]), (None, text[3]), (None, text[4]), (1, text[5]), (11, text[5]), (1, text[6]), (12, text[6]), (1, text[7])]
+    want = [(3, text[0]), (7, text[1]), (7, ""), (None, text[2]), (None, None), (None, ""), (None, text[3]), (None, text[4]), *((1, t) for t in text[5:])]
+    kept = ngram_join.one_per_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    order = lambda x: (x[0] is None, x[0] or 0, x[1] is None, x[1] or "")
+    assert sorted(map(tuple, kept), key=order) == sorted(want, key=order)
+
+
 def test_empty_table(spark):
     assert ngram_join.ngram_jaccard_join(spark.createDataFrame([], SCHEMA)).collect() == []
 
