@@ -10,7 +10,10 @@
 * Each hit is weighed by a window of ``WINDOW`` words to either side: quotation
   marks or reporting verbs around it make it a quotation (weight ``QUOTED``)
   rather than abuse (1).
-* A logistic model on the weighed hits gives the score.
+* A misspelt hit is evidence for its term, at the fixed share ``MISSPELT`` of an exact
+  hit, and so can only raise a score.  Forms near a term that the clean learning texts
+  use as words of their own (not far more frequent in toxic ones) are no misspellings.
+* A logistic model on the weighed evidence, its weights not negative, gives the score.
 
 Learning uses a bounded sample: at most about ``SAMPLE`` labelled texts of each
 class (chosen by hash of the id), only from rows whose crc32(doc_id) mod 5 is not
@@ -38,6 +41,8 @@ from lakewright.llm._common import crc_bucket, map_arrow, table
 SAMPLE = 4000
 LEXICON = 2000
 WINDOW, QUOTED = 8, 0.3
+#: Evidence of a misspelt hit against an exact one.  Fixed: labelled texts hold too few to fit it.
+MISSPELT = 0.8
 STEM = range(4, 11)
 _STRIP = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "“”„‘’«»…–—¿¡"
 #: Marks and verbs (lower case) that announce somebody else's words.
@@ -125,20 +130,24 @@ class Lexicon:
 class Scorer:
     """Features and score of a text under a learned model."""
 
-    def __init__(self, terms: list[str], weights: list[float] | None) -> None:
-        self.lexicon, self.weights, self.known = Lexicon(terms), weights, {}
+    def __init__(self, terms: list[str], weights: list[float] | None, ordinary: frozenset[str] = frozenset()) -> None:
+        self.lexicon, self.weights, self.ordinary, self.known = Lexicon(terms), weights, ordinary, {}
 
     def kind(self, token: str) -> int:
         got = self.known.get(token)
         if got is None:
-            got = self.lexicon.match(token.strip(_STRIP))
+            word = token.strip(_STRIP)
+            got = self.lexicon.match(word)
+            if got == 1 and word in self.ordinary:
+                got = 0
             if len(self.known) >= 200_000:
                 self.known.clear()
             self.known[token] = got
         return got
 
     def features(self, text: str | None) -> tuple[float, float, float]:
-        """Logs of 1 + the weighed exact hits, of 1 + the weighed misspellings, and exact hits a hundred words."""
+        """Log of 1 + the evidence (weighed exact hits and MISSPELT of the weighed misspellings), log of
+        1 + the weighed misspellings alone (told only, no part of the score), and evidence a hundred words."""
         words = (text or "").lower().split()
         known, kind = self.known, self.kind
         hits = {}
@@ -152,7 +161,8 @@ class Scorer:
         for i, w in enumerate(words):
             if k := hits.get(w):
                 sums[k] += QUOTED if self.quoted(words, i) else 1.0
-        return math.log1p(sums[2]), math.log1p(sums[1]), min(100.0 * sums[2] / len(words), 10.0)
+        evidence = sums[2] + MISSPELT * sums[1]
+        return math.log1p(evidence), math.log1p(sums[1]), min(100.0 * evidence / len(words), 10.0)
 
     @staticmethod
     def quoted(words: list[str], i: int) -> bool:
@@ -163,7 +173,7 @@ class Scorer:
     def score(self, text: str | None) -> float:
         if not self.weights:
             return 0.0
-        z = self.weights[0] + sum(w * x for w, x in zip(self.weights[1:], self.features(text), strict=True))
+        z = self.weights[0] + sum(w * x for w, x in zip(self.weights[1:], self.features(text)[::2], strict=True))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
@@ -194,6 +204,20 @@ def _count_stems(batches):
     yield told()
 
 
+def _count_near(terms):
+    """Numbers of toxic and clean texts that hold each form within a term's edits."""
+
+    def run(batches):
+        lexicon, seen = Lexicon(terms), (Counter(), Counter())
+        for batch in batches:
+            for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                seen[toxic].update(w for w in {w.strip(_STRIP) for w in (text.as_py() or "").lower().split()} if lexicon.match(w) == 1)
+        forms = list(seen[0] | seen[1])
+        yield pa.RecordBatch.from_arrays([pa.array(forms, pa.string()), *(pa.array([c[w] for w in forms], pa.int64()) for c in (seen[1], seen[0]))], ["form", "toxic", "clean"])
+
+    return run
+
+
 def choose_terms(counts: list[tuple[str, int, int]], n_toxic: int, n_clean: int) -> list[str]:
     """Stems that significantly mark toxic texts; of nested ones the longest that loses
     at most a twentieth of the texts, and none that a shorter chosen stem covers."""
@@ -217,7 +241,18 @@ def choose_terms(counts: list[tuple[str, int, int]], n_toxic: int, n_clean: int)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, prior: float) -> list[float]:
-    """Ridge logistic regression by Newton's method; the intercept is moved to the prior."""
+    """Ridge logistic regression by Newton's method, refitted without columns of a negative
+    weight (theirs is 0), so that no hit lowers a score; the intercept is moved to the prior."""
+    w = _newton(x, y)
+    while (w[1:] < 0).any():
+        x = x * (w[1:] > 0)
+        w = _newton(x, y)
+    share = y.mean()
+    w[0] += math.log(prior / (1 - prior)) - math.log(share / (1 - share))
+    return w.tolist()
+
+
+def _newton(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     x = np.hstack([np.ones((len(x), 1)), x])
     w, ridge = np.zeros(x.shape[1]), np.array([1e-3] + [0.5] * (x.shape[1] - 1))
     for _ in range(30):
@@ -226,13 +261,11 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, prior: float) -> list[float]:
         w += step
         if np.abs(step).max() < 1e-8:
             break
-    share = y.mean()
-    w[0] += math.log(prior / (1 - prior)) - math.log(share / (1 - share))
-    return w.tolist()
+    return w
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[str], list[float] | None]:
-    """Terms and weights from at most about sample labelled texts of each class."""
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[str], list[float] | None, frozenset[str]]:
+    """Terms, weights and ordinary forms near terms from at most about sample labelled texts of each class."""
     truth = (
         labels.where("doc_id is not null and toxic is not null")
         .groupBy(F.col("doc_id").cast("long").alias("_id"))
@@ -241,7 +274,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[lis
     )
     n = {r["_toxic"]: r["n"] for r in truth.groupBy("_toxic").agg(F.count("*").alias("n")).collect()}
     if not n.get(1) or not n.get(0):
-        return [], None
+        return [], None, frozenset()
     chance = F.when(F.col("_toxic") == 1, F.lit(sample / n[1])).otherwise(F.lit(sample / n[0]))
     taken = truth.where(F.pmod(F.xxhash64("_id", F.lit(5)), F.lit(1 << 20)) < chance * (1 << 20))
     # Bounded by the sample: twice SAMPLE ids in expectation.
@@ -250,7 +283,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[lis
     try:
         seen = {r["_toxic"]: r["n"] for r in chosen.groupBy("_toxic").agg(F.count("*").alias("n")).collect()}
         if not seen.get(1) or not seen.get(0):
-            return [], None
+            return [], None, frozenset()
         counts = (
             map_arrow(chosen, _count_stems, "term string, toxic long, clean long")
             .groupBy("term")
@@ -262,8 +295,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[lis
         )
         terms = choose_terms([tuple(r) for r in counts], seen[1], seen[0])
 
+        near = map_arrow(chosen, _count_near(terms), "form string, toxic long, clean long").groupBy("form").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+        ordinary = frozenset(r["form"] for r in near.where(F.col("toxic") * seen[0] <= 4.0 * F.col("clean") * seen[1]).select("form").collect())
+
         def feature_rows(batches):
-            scorer = Scorer(terms, None)
+            scorer = Scorer(terms, None, ordinary)
             for batch in batches:
                 x = [scorer.features(t) for t in batch.column(0).to_pylist()]
                 cols = list(zip(*x, strict=True)) or [()] * 3
@@ -274,12 +310,12 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[lis
         chosen.unpersist()
     # Task order is not fixed: sort, so that the sums are the same each time.
     data = np.array(sorted(tuple(r) for r in rows))
-    return terms, fit_logistic(data[:, :3], data[:, 3], n[1] / (n[0] + n[1]))
+    return terms, fit_logistic(data[:, [0, 2]], data[:, 3], n[1] / (n[0] + n[1])), ordinary
 
 
-def _scores(terms, weights):
+def _scores(model):
     def run(batches):
-        scorer = Scorer(terms, weights)
+        scorer = Scorer(*model)
         for batch in batches:
             got = [scorer.score(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
@@ -291,15 +327,15 @@ def _scores(terms, weights):
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs."""
-    terms, weights = learn(docs, labels)
+    model = learn(docs, labels)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("held_out", crc_bucket(F.col("doc_id")) == 0)
-    return map_arrow(rows, _scores(terms, weights), "doc_id long, held_out boolean, score double, predicted int")
+    return map_arrow(rows, _scores(model), "doc_id long, held_out boolean, score double, predicted int")
 
 
-def _keep(terms, weights, at):
+def _keep(model, at):
     def run(batches):
-        scorer = Scorer(terms, weights)
+        scorer = Scorer(*model)
         for batch in batches:
             yield batch.filter(pa.array([scorer.score(t.as_py()) < 0.5 for t in batch.column(at)], pa.bool_()))
 
@@ -308,8 +344,8 @@ def _keep(terms, weights, at):
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the learned score does not reject; columns as they are."""
-    terms, weights = learn(docs, labels)
-    return map_arrow(docs, _keep(terms, weights, docs.columns.index("text")), docs.schema)
+    model = learn(docs, labels)
+    return map_arrow(docs, _keep(model, docs.columns.index("text")), docs.schema)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

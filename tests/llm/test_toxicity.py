@@ -49,6 +49,21 @@ def test_held_out_accuracy(spark):
     assert right / n > 0.93 and hit >= 0.5 * toxic
 
 
+def test_misspelt_terms_alone_are_toxic(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    model = X.learn(docs, labels)
+    scorer = X.Scorer(*model)
+    texts = [r[0] for r in docs.join(labels, "doc_id").where("toxic = 0 and crc32(cast(cast(doc_id as string) as binary)) % 5 = 0").select("text").collect()]
+    clean = [t for t in texts if not scorer.features(t)[0]]
+    assert len(clean) > 0.9 * len(texts) and sum(scorer.score(t) >= 0.5 for t in texts) <= 0.01 * len(texts)
+    short = [t for t in clean if len(t.split()) <= 200]
+    bad = "1diot stup1d pathet1c"
+    assert short and all(scorer.score(f"{t} {bad}") >= 0.5 for t in short)
+    nine = bad + " w0rthless disgust1ng idi0t stvpid pathetlc worthles"
+    assert all(scorer.score(f"{t} {nine}") >= 0.5 for t in clean)
+    assert all(scorer.score(t) < scorer.score(f"{t} {bad}") <= scorer.score(f"{t} idiot stupid pathetic") for t in clean)
+
+
 def test_odd_rows(spark):
     rows = [(i, f"plain words number {i} here " + ("you moronic fool" if i % 4 == 0 else "kind friend"), None, "x") for i in range(300)]
     rows += [(None, None, None, None), (900, "", None, None), (901, "so moronic", None, None), rows[0]]
