@@ -70,6 +70,28 @@ def test_finds_edited_items_and_leaves_clean_texts(spark, share):
     assert kept.columns == SCHEMA.names and {x["doc_id"] for x in kept.collect()} == set(range(120)) - {d for d, _ in found}
 
 
+def recall(pairs):
+    """Share of the (item, edited copy) within MAX_EDITS that are found between other words."""
+    r = random.Random(8)
+    items = D.Items(list(enumerate(i for i, _ in pairs)))
+    texts = [f"{words(r, 10)} {copy} {words(r, 10)}" for _, copy in pairs]
+    within = {n for n, (i, _) in enumerate(pairs) if D.edit_place(i, texts[n], int(D.MAX_EDITS * len(i)))}
+    raw = [t.encode() for t in texts]
+    found = items.matches(np.cumsum([0, *map(len, raw)]), np.frombuffer(b"".join(raw), dtype=np.uint8))
+    return len(within & {row for row, n, *_ in found if n == row}) / len(within)
+
+
+def test_recall_at_the_greatest_share_and_with_spread_edits():
+    r = random.Random(20)
+    items = [words(r, r.randint(15, 50)) for _ in range(150)]
+    even = lambda t, step: "".join("#" if i % step == step // 2 else c for i, c in enumerate(t))
+    assert recall([(t, spoil(r, t, 0.2)) for t in items]) >= 0.97
+    assert recall([(t, even(t, 8)) for t in items]) >= 0.97
+    assert recall([(t, even(t, 6)) for t in items]) >= 0.9
+    short = [t for t in (words(r, 5) for _ in range(150)) if len(t.encode()) >= D.MIN_ITEM]
+    assert recall([(t, t[: len(t) // 2] + "#" + t[len(t) // 2 + 1 :]) for t in short]) >= 0.95
+
+
 def test_odd_rows(spark):
     r = random.Random(9)
     item = words(r, 30)
