@@ -5,7 +5,8 @@ writes the current byte and then moves on by the random bit R_j(byte).  Two
 strings at edit distance k stay, with good probability, at Hamming distance
 O(k**2), because after an edit both walks meet again.  Here
 
-* windows start at every word of a text and at every word of every item;
+* windows start at every word of a text and at every word of every item, and at every
+  code point of words over ``LONG`` bytes (scripts without spaces, URLs, code);
 * each of ``REPEATS`` repetitions walks ``STEPS`` steps with its own R and keys
   the window by ``SAMPLES`` sampled outputs.  A key shared with an item's
   window says where in the text the item would begin;
@@ -45,6 +46,7 @@ from lakewright.llm._words import U, mix, slices, tokens
 STEPS, SAMPLES, REPEATS = 40, 16, 8
 MAX_EDITS = 0.2
 MIN_ITEM = 24
+LONG = 16
 BLOCK_BYTES = 8 << 20
 _TILE, _GRAM = 1 << 15, 3
 
@@ -62,6 +64,21 @@ def _walks(seed: int = 8):
     return out
 
 
+def window_starts(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """Byte starts of all words, and of all code points of words over LONG bytes."""
+    starts, ends, _ = tokens(offsets, data)
+    long = ends - starts > LONG
+    if not long.any():
+        return starts
+    step = np.zeros(len(data) + 1, dtype=np.int8)
+    step[starts[long]] += 1
+    step[ends[long]] -= 1
+    inside = np.cumsum(step[:-1], dtype=np.int8) > 0
+    inside &= (data & 0xC0) != 0x80
+    inside[starts] = True
+    return np.flatnonzero(inside)
+
+
 def walk_keys(data: np.ndarray, starts: np.ndarray, walk) -> tuple[np.ndarray, np.ndarray]:
     """Sampled-output keys of the windows at starts, and the byte each walk ends on."""
     mul, add, sampled = walk
@@ -133,7 +150,7 @@ class Items:
         self.walks, keyed = _walks(), [[] for _ in range(REPEATS)]
         for n, b in enumerate(raw):
             data = np.frombuffer(b, dtype=np.uint8)
-            starts = tokens(np.array([0, len(b)]), data)[0]
+            starts = window_starts(np.array([0, len(b)]), data)
             complete = 0
             for r, walk in enumerate(self.walks):
                 keys, ends = walk_keys(data, starts, walk)
@@ -157,7 +174,7 @@ class Items:
 
     def candidates(self, offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
         """(row, item, byte where the item would begin), distinct up to the allowed edits."""
-        starts = tokens(offsets, data)[0]
+        starts = window_starts(offsets, data)
         found = []
         for walk, (keys, places, seen) in zip(self.walks, self.tables, strict=True):
             if not len(keys):

@@ -92,6 +92,17 @@ def test_recall_at_the_greatest_share_and_with_spread_edits():
     assert recall([(t, t[: len(t) // 2] + "#" + t[len(t) // 2 + 1 :]) for t in short]) >= 0.95
 
 
+def test_finds_items_inside_runs_without_spaces():
+    r = random.Random(40)
+    han = lambda n: "".join(chr(r.randrange(0x4E00, 0x9FA5)) for _ in range(n))
+    code = lambda n: "".join(r.choice("abcdefghij/.-_0123456789") for _ in range(n))
+    items = [f(n) for f in (han, code) for n in (30, 40, 80) for _ in range(10)]
+    texts = [(han if n < 30 else code)(70) + t + (han if n < 30 else code)(50) for n, t in enumerate(items)]
+    raw = [t.encode() for t in texts]
+    found = D.Items(list(enumerate(items))).matches(np.cumsum([0, *map(len, raw)]), np.frombuffer(b"".join(raw), dtype=np.uint8))
+    assert found == [(n, n, 0, 70, 70 + len(t)) for n, t in enumerate(items)]
+
+
 def test_odd_rows(spark):
     r = random.Random(9)
     item = words(r, 30)
