@@ -3,15 +3,22 @@
 1. Each text becomes the set of its word 5-grams (a text of 1-4 words: one
    gram of all its words); texts of equal sets form a class, found by one
    aggregation, so exact copies cost one row however many there are.
-2. One representative per class is banded.  ``plan_bands`` picks the fewest
-   hash functions whose bands reach the target recall at the threshold.
-   Rows are shuffled on band hashes; classes sharing a bucket are tied to the
-   bucket's least class (a star, linear in the bucket) and the components of
-   these ties bound where links can be.
-3. Within a component full n-gram sets are compared.  A component of more
-   than ``BLOCK`` classes is split into blocks and every pair of blocks is a
-   task of its own; a task returns link counts and a spanning forest of its
-   links, never the pairs, so a group of g near copies costs O(g) rows.
+2. One representative per class is banded.  ``plan_bands`` picks bands and rows for
+   the target recall at the threshold.  Classes are shuffled on band hashes; those that
+   share a bucket are tied to the bucket's least class (a star), the ties of a class
+   are reduced to its least hub, and the components of these ties bound where links can be.
+3. Full n-gram sets are compared within units:
+   a component of one block (``BLOCK`` classes and ``GRAMS`` grams) is one unit;
+   a larger one whose buckets hold fewer pairs than itself is taken bucket by bucket, a
+   pair being compared in the first bucket it shares only; a larger dense one is one
+   unit.  A unit of several blocks is dealt as pairs of blocks.  All banded pairs are
+   compared in every case, so which way is taken changes costs and no result but
+   that a whole component also shows links that banding missed.  Tasks return link
+   counts and a spanning forest of their links, never the pairs, so a group of g near
+   copies costs O(g) rows of output.
+
+Comparing g texts of one dense group takes g**2 / 2 set intersections, in
+g**2 / (2 * BLOCK**2) tasks of bounded memory; link counts of all its members need that.
 
 Defined results: a null or empty text has no grams, is in no class but its
 own row's and has no links; rows of a null doc_id take part, and show null
@@ -23,22 +30,21 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lakewright.llm._common import cut, map_arrow, sized, table
 from lakewright.llm._graph import connected
 from lakewright.llm._words import U, hash_words, mix, ngrams, slices, tokens
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.999
-#: Classes in a block of a large component: bounds the memory of a task.
-BLOCK = 512
+#: Classes and grams in a block, on average: they bound the memory of a task.
+BLOCK, GRAMS = 512, 2_000_000
 
 
 def plan_bands(threshold: float, recall: float, max_rows: int = 12) -> tuple[int, int]:
-    """(bands, rows): 1 - (1 - t**rows)**bands >= recall with at most about 150 hash
-    functions and as many rows a band as that allows, i.e. the fewest false candidates."""
+    """(bands, rows) with 1 - (1 - t**rows)**bands >= recall: as many rows a band, i.e. as
+    few false candidates, as at most 150 hash functions allow."""
     best = (1, 1)
     for rows in range(1, max_rows + 1):
         hit = threshold**rows
@@ -85,7 +91,7 @@ def _signer(k: int, bands: int, rows: int):
 
     def run(batches):
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
+            ids, marks, texts = batch.column(0), batch.column(1), batch.column(2)
             for lo, hi, offsets, data in slices(texts):
                 keys, signs, sizes = [], [], []
                 for s in _gram_sets(offsets, data, k):
@@ -93,36 +99,34 @@ def _signer(k: int, bands: int, rows: int):
                     keys.append(_class_key(s) if len(s) else None)
                     signs.append(sign(s) if len(s) else None)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, hi - lo).cast(pa.int64()), pa.array(keys, pa.binary()), pa.array(signs, pa.list_(pa.int64())), pa.array(sizes, pa.int64())],
-                    ["doc_id", "key", "bands", "n_grams"],
+                    [ids.slice(lo, hi - lo), marks.slice(lo, hi - lo), pa.array(keys, pa.binary()), pa.array(signs, pa.list_(pa.int64())), pa.array(sizes, pa.int64())],
+                    ["doc_id", "mark", "key", "bands", "n_grams"],
                 )
 
     return run
 
 
 def _set_maker(k: int):
+    """Batches (text, key, ...) with the text replaced by its gram set, if that has the key."""
+
     def run(batches):
         for batch in batches:
-            cols = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            for lo, hi, offsets, data in slices(cols["text"]):
+            for lo, hi, offsets, data in slices(batch.column(0)):
                 sets = list(_gram_sets(offsets, data, k))
-                part = {n: c.slice(lo, hi - lo) for n, c in cols.items()}
-                same = pa.array([(_class_key(s) if len(s) else None) == w for s, w in zip(sets, part["key"].to_pylist(), strict=True)], pa.bool_())
-                out = pa.RecordBatch.from_arrays(
-                    [part["key"].cast(pa.binary()), part["label"].cast(pa.binary()), part["n_blocks"].cast(pa.int32()), part["n_docs"].cast(pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                    ["key", "label", "n_blocks", "n_docs", "grams"],
-                )
-                yield out.filter(same)
+                part = batch.slice(lo, hi - lo)
+                same = [(_class_key(s) if len(s) else None) == w for s, w in zip(sets, part.column(1).to_pylist(), strict=True)]
+                out = pa.RecordBatch.from_arrays([pa.array([s.tobytes() for s in sets], pa.binary()), *part.columns[1:]], names=["grams", *part.schema.names[1:]])
+                yield out.filter(pa.array(same, pa.bool_()))
 
     return run
 
 
-def links_within(sets: list[np.ndarray], side: np.ndarray, weight: np.ndarray, threshold: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
+def links_within(sets: list[np.ndarray], side: np.ndarray, weight: np.ndarray, threshold: float, before: np.ndarray | None = None) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """Link counts (weighted by copies) of every member and a spanning forest of the links.
 
     side is 0/1 for a pair of different blocks (only links across count) or
-    -1 throughout for a block with itself.  Sizes prune first: a set below
-    threshold times another's size cannot reach it.
+    -1 throughout for a block with itself.  before holds the bands of each
+    member that come before the unit's own: pairs that agree in one of these belong there.
     """
     n = len(sets)
     size = np.array([len(s) for s in sets], dtype=np.int64)
@@ -147,6 +151,9 @@ def links_within(sets: list[np.ndarray], side: np.ndarray, weight: np.ndarray, t
     np.fill_diagonal(linked, False)
     if side[0] >= 0:
         linked &= side[:, None] != side[None, :]
+    if before is not None:
+        for band in before.T:
+            linked &= band[:, None] != band[None, :]
     counts = linked @ weight
     root = np.arange(n)
 
@@ -170,9 +177,8 @@ _VERIFIED = pa.schema([("key", pa.binary()), ("other", pa.binary()), ("links", p
 
 def _verifier(threshold: float):
     def run(group: pa.Table) -> pa.Table:
-        # One row per class and task: a repeated representative row adds nothing.
-        keys, blocks = group.column("key").to_pylist(), group.column("block").to_pylist()
-        at = sorted({k: i for i, k in enumerate(keys)}.values(), key=lambda i: keys[i])
+        keys, blocks, bands = (group.column(c).to_pylist() for c in ("key", "block", "bands"))
+        at = sorted(range(len(keys)), key=lambda i: keys[i])
         grams, docs = group.column("grams"), group.column("n_docs").to_pylist()
         sets = [np.frombuffer(grams[i].as_py(), dtype=U) for i in at]
         side = np.array([blocks[i] for i in at])
@@ -182,7 +188,11 @@ def _verifier(threshold: float):
             side[:] = -1
         else:
             side = (side != side.min()).astype(np.int64)
-        counts, forest = links_within(sets, side, np.array([docs[i] for i in at], dtype=np.int64), threshold)
+        before = None
+        if bands[0] is not None:
+            before = np.array([bands[i] for i in at], dtype=np.int64)
+            before = before[:, : int(np.flatnonzero(before[0] == group.column("unit")[0].as_py())[0])]
+        counts, forest = links_within(sets, side, np.array([docs[i] for i in at], dtype=np.int64), threshold, before)
         rows = [(keys[i], None, int(c)) for i, c in zip(at, counts, strict=True) if c]
         rows += [(keys[at[a]], keys[at[b]], 0) for a, b in forest]
         return pa.Table.from_pylist([dict(zip(("key", "other", "links"), r, strict=True)) for r in rows], schema=_VERIFIED)
@@ -190,60 +200,77 @@ def _verifier(threshold: float):
     return run
 
 
-def _keyer(k: int, at: int):
-    """Batches with the class key of their text (column at) as a last column, null without words."""
-
-    def run(batches):
-        for batch in batches:
-            for lo, hi, offsets, data in slices(batch.column(at)):
-                part = batch.slice(lo, hi - lo)
-                keys = pa.array([_class_key(s) if len(s) else None for s in _gram_sets(offsets, data, k)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*part.columns, keys], names=[*part.schema.names, "_key"])
-
-    return run
-
-
-def _judged(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
-    """The rows of ngram_jaccard_join with the class key and the label of the connected
-    group, which no other group shares, whatever its ids; both are null without words."""
+def _units(classes: DataFrame, block: int, grams: int) -> DataFrame:
+    """(code, units) for every class that shares a bucket: the units it is compared in, as
+    structs of unit, n_blocks and banded.  A code is a 64-bit name of a class that serves
+    candidate search alone: should two classes share one, they are compared once more."""
+    bucket = classes.select("code", "n_grams", F.explode("bands").alias("bucket"))
+    blocks = lambda n, g: F.ceil(F.greatest(n / F.lit(block), g / F.lit(grams))).cast("int")
+    stars = bucket.groupBy("bucket").agg(F.min("code").alias("hub"), F.count("*").alias("n"), F.sum("n_grams").alias("g")).where("n > 1")
+    stars = cut(stars.select(F.col("bucket").alias("unit"), "hub", "n", blocks(F.col("n"), F.col("g")).alias("n_blocks")))
+    shared = bucket.join(stars, F.col("bucket") == F.col("unit")).groupBy("code").agg(F.max("n_grams").alias("n_grams"), F.min("hub").alias("least"), F.collect_set(F.struct("unit", "hub", "n_blocks")).alias("buckets"))
+    shared = cut(shared)
+    ties = shared.select(F.explode(F.array_append(F.col("buckets.hub"), F.col("code"))).alias("a"), F.col("least").alias("b"))
+    # A hub that shares no bucket with another class does not exist, so every code has a label.
+    labels = connected(ties)
+    named = shared.join(labels, F.col("code") == F.col("node")).select("code", "n_grams", "label", "buckets")
+    pairs = stars.join(labels, F.col("hub") == F.col("node")).groupBy("label").agg(F.sum(F.col("n") * F.col("n").cast("double")).alias("in_buckets")).withColumnRenamed("label", "of")
+    size = named.groupBy("label").agg(F.count("*").alias("n"), F.sum("n_grams").alias("g")).join(pairs, F.col("label") == F.col("of"))
+    split = (blocks(F.col("n"), F.col("g")) > 1) & (F.col("in_buckets") < F.col("n") * F.col("n").cast("double"))
+    plan = cut(size.select(F.col("label").alias("of"), blocks(F.col("n"), F.col("g")).alias("n_blocks"), split.alias("split")))
+    whole = F.array(F.struct(F.col("label").alias("unit"), "n_blocks", F.lit(False).alias("banded")))
+    by_bucket = F.transform("buckets", lambda b: F.struct(b["unit"].alias("unit"), b["n_blocks"].alias("n_blocks"), F.lit(True).alias("banded")))
+    return named.join(plan, F.col("label") == F.col("of")).select("code", F.when(F.col("split"), by_bucket).otherwise(whole).alias("units"))
+
+
+def _rep(doc_id: str = "doc_id", mark: str = "mark"):
+    """Names a row by id and text hash; a null id comes last."""
+    return F.struct(F.col(doc_id).isNull().alias("none"), F.coalesce(doc_id, F.lit(0)).alias("id"), F.col(mark).alias("mark"))
+
+
+def _judged(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK, grams: int = GRAMS) -> DataFrame:
+    """The rows of ngram_jaccard_join with the hash of the text, the class key and the label
+    of the connected group, which no other group shares, whatever its ids; key and label
+    are null without words."""
     bands, rows = plan_bands(threshold, recall)
-    signed = cut(
-        map_arrow(
-            docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")),
-            _signer(words, bands, rows),
-            "doc_id long, key binary, bands array<long>, n_grams long",
-        )
-    )
-    full, bare = signed.where("key is not null"), signed.where("key is null")
-    classes = cut(full.groupBy("key").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n_docs"), F.first("bands").alias("bands")))
-    bucket = classes.select("key", F.explode("bands").alias("bucket"))
-    stars = bucket.groupBy("bucket").agg(F.min("key").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    ties = bucket.join(stars, "bucket").where("key != hub").select(F.col("key").alias("a"), F.col("hub").alias("b"))
-    found = connected(ties)
-    sizes = found.groupBy("label").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("n_blocks"))
-    wanted = cut(found.join(sizes, "label").join(classes.drop("bands"), found.node == classes.key).select("key", "label", "n_blocks", "n_docs", "class_id"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    chosen = texts.join(sized(wanted), texts.doc_id.eqNullSafe(wanted.class_id)).select("text", "key", "label", "n_blocks", "n_docs")
-    sets = map_arrow(chosen, _set_maker(words), "key binary, label binary, n_blocks int, n_docs long, grams binary")
+    texts = texts.select("doc_id", F.xxhash64("text").alias("mark"), "text")
+    signed = cut(map_arrow(texts, _signer(words, bands, rows), "doc_id long, mark long, key binary, bands array<long>, n_grams long"))
+    full, bare = signed.where("key is not null"), signed.where("key is null")
+    classes = full.groupBy("key").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n_docs"), F.min(_rep()).alias("rep"), F.first("bands").alias("bands"), F.first("n_grams").alias("n_grams"))
+    classes = cut(classes.withColumn("code", F.xxhash64("key")))
+    of_code = _units(classes, block, grams).withColumnRenamed("code", "of")
+    wanted = cut(classes.join(of_code, F.col("code") == F.col("of")).select("rep.*", "key", "n_docs", "bands", "units").withColumnRenamed("mark", "r_mark"))
+    # Rows that repeat the representative row are dropped here, with map-side combine.
+    same = (F.coalesce("doc_id", F.lit(0)) == F.col("id")) & (F.col("doc_id").isNull() == F.col("none")) & (F.col("mark") == F.col("r_mark"))
+    chosen = texts.join(sized(wanted, 250_000), same).groupBy("key").agg(*(F.first(c).alias(c) for c in ("text", "n_docs", "bands", "units")))
+    sets = map_arrow(
+        chosen.select("text", "key", "n_docs", "bands", "units"),
+        _set_maker(words),
+        "grams binary, key binary, n_docs long, bands array<long>, units array<struct<unit: long, n_blocks: int, banded: boolean>>",
+    )
     block_of = F.pmod(F.xxhash64("key"), F.col("n_blocks")).cast("int")
     dealt = (
-        sets.withColumn("block", block_of)
+        sets.select("key", "n_docs", "grams", "bands", F.inline("units"))
+        .withColumn("bands", F.when(F.col("banded"), F.col("bands")))
+        .withColumn("block", block_of)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-        .select("key", "label", "n_docs", "grams", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
+        .select("unit", "banded", "key", "n_docs", "grams", "bands", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
     )
-    verified = cut(dealt.groupBy("label", "bi", "bj").applyInArrow(_verifier(threshold), "key binary, other binary, links long"))
+    verified = cut(dealt.groupBy("unit", "banded", "bi", "bj").applyInArrow(_verifier(threshold), "key binary, other binary, links long"))
     links = verified.where("other is null").groupBy("key").agg(F.sum("links").alias("links"))
     groups = connected(verified.where("other is not null").select(F.col("key").alias("a"), F.col("other").alias("b")))
-    named = groups.join(classes, groups.node == classes.key)
-    least = named.groupBy("label").agg(F.min("class_id").alias("group_id"))
-    told = named.join(least, "label").select(F.col("node").alias("key"), "group_id", "label").join(links, "key", "left")
-    known = classes.drop("bands").join(told, "key", "left")
+    named = cut(groups.join(classes, groups.node == classes.key).select("key", "label", "class_id"))
+    least = cut(named.groupBy("label").agg(F.min("class_id").alias("group_id")))
+    told = named.join(least, "label").select("key", "group_id", "label").join(links, "key", "left")
+    # Cut here, so that the join below has two plain sides and adaptive execution may split a class of many copies.
+    known = cut(classes.select("key", "class_id", "n_docs").join(told, "key", "left"))
     n_links, none = F.col("n_docs") - 1 + F.coalesce("links", F.lit(0)), F.lit(None).cast("binary")
     of_full = full.join(known, "key").select(
-        "doc_id", "class_id", n_links.alias("n_links"), F.coalesce("group_id", "class_id").alias("group_id"), "n_grams", "key", F.coalesce("label", "key").alias("label")
+        "doc_id", "class_id", n_links.alias("n_links"), F.coalesce("group_id", "class_id").alias("group_id"), "n_grams", "mark", "key", F.coalesce("label", "key").alias("label")
     )
     return of_full.unionByName(
-        bare.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("group_id"), "n_grams", none.alias("key"), none.alias("label"))
+        bare.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("group_id"), "n_grams", "mark", none.alias("key"), none.alias("label"))
     )
 
 
@@ -251,35 +278,36 @@ def ngram_jaccard_join(docs: DataFrame, **how) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, class_id (least doc_id with the
     same gram set), n_links (other documents with Jaccard similarity of at least
     threshold, copies included), group_id (least doc_id of its connected group) and
-    n_grams.  how: words, threshold, recall and block."""
-    return _judged(docs, **how).drop("key", "label")
+    n_grams.  how: words, threshold, recall, block and grams."""
+    return _judged(docs, **how).drop("mark", "key", "label")
 
 
 def one_per_group(docs: DataFrame, words: int = WORDS, **how) -> DataFrame:
     """The rows of docs without all but one of each group of near-duplicates.
 
     The row with the least doc_id stays, one with a null doc_id only if no other is
-    there.  Rows without words stay.  Rows are told apart by doc_id and class key, so
-    what happens to one never touches an unlinked row of the same, or no, doc_id.  If a
-    doc_id names several rows of a group, the first class by key stays, and of its
-    rows the first by hash, so that exactly one stays.
+    there.  Rows without words stay.  Rows are told apart by doc_id and text, so what
+    happens to one never touches an unlinked row of the same, or no, doc_id.  If a
+    doc_id names several rows of a group, the first by hash of the text stays; of rows
+    that agree in both, one: the first by the columns that have an order.
     """
-    judged = cut(_judged(docs, words, **how).where("n_grams > 0 and n_links > 0").select("doc_id", "key", "label"))
-    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
-    kept = judged.groupBy("label").agg(F.min(row).alias("_stays")).select(F.col("_stays.doc_id").alias("_id"), F.col("_stays.key").alias("_of"))
-    rows = judged.groupBy("doc_id", "key").count()
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_of"))
-    gone = cut(rows.join(kept, same, "left_anti").select(F.col("doc_id").alias("_id"), F.col("key").alias("_of")))
-    twice = cut(rows.where("count > 1").join(kept, same, "left_semi").select(F.col("doc_id").alias("_id"), F.col("key").alias("_of")))
-    keyed = map_arrow(docs, _keyer(words, docs.columns.index("text")), T.StructType([*docs.schema.fields, T.StructField("_key", T.BinaryType())]))
-    this = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_of"))
-    left = keyed.join(sized(gone), this, "left_anti")
+    judged = cut(_judged(docs, words, **how).where("n_grams > 0 and n_links > 0").select("label", _rep().alias("row")))
+    kept = judged.groupBy("label").agg(F.min("row").alias("row")).select("row")
+    rows = judged.groupBy("row").count()
+    gone = cut(rows.join(kept, "row", "left_anti").select("row.*"))
+    twice = cut(rows.where("count > 1").join(kept, "row", "left_semi").select("row.*"))
+    marked = docs.withColumn("_row", F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64(F.col("text").cast("string")).alias("mark")))
+    same = [F.col(f"_row.{c}") == F.col(f"`_gone_{c}`") for c in ("none", "id", "mark")]
+    named = lambda x: x.select(*(F.col(c).alias(f"_gone_{c}") for c in ("none", "id", "mark")))
+    left = marked.join(sized(named(gone)), same, "left_anti")
     if twice.isEmpty():
-        return left.drop("_key")
-    again = sized(twice)
-    plain = left.join(again, this, "left_anti").drop("_key")
-    first = left.join(again, this, "left_semi").withColumn("_row", F.struct(F.xxhash64("text").alias("h"), F.struct(*docs.columns).alias("r")))
-    return plain.unionByName(first.groupBy("doc_id", "_key").agg(F.min("_row").alias("_row")).select("_row.r.*"))
+        return left.drop("_row")
+    again = sized(named(twice))
+    plain = left.join(again, same, "left_anti").drop("_row")
+    ordered = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    # A limit of one row a window is also applied before the shuffle.
+    first = left.join(again, same, "left_semi").withColumn("_nth", F.row_number().over(Window.partitionBy("_row").orderBy(*ordered)))
+    return plain.unionByName(first.where("_nth = 1").drop("_row", "_nth"))
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
