@@ -11,23 +11,21 @@ SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("tex
 
 
 def slow(text):
-    """The same sketch, element by element."""
+    """The same sketch, element by element, each of its own order."""
     k = min(len(text), O.K)
     if not text:
-        return [0] * O.BINS
+        return [0] * O.SKETCHES
     one = lambda x: int(mix(np.array([x & (2**64 - 1)], dtype=U))[0])
-    seen, bins = {}, [[] for _ in range(O.BINS)]
+    seen, elements = {}, []
     for i in range(len(text) - k + 1):
         g = one(sum((ord(c) + 1) * int(O._POWERS[j]) for j, c in enumerate(text[i : i + k])) + k) >> 24
         n = seen[g] = seen.get(g, -1) + 1
-        e = one((g << 24) + n * 0xD1B54A32D192ED03)
-        bins[e >> 58].append((e >> 24, i))
+        elements.append((one((g << 24) + n * 0xD1B54A32D192ED03) >> 24, i))
     out = []
-    for b in bins:
-        chosen = [e for e, _ in sorted(sorted(b)[: O.PICK], key=lambda x: x[1])]
-        if not chosen:
-            out.append(0)
-        elif len(chosen) == 1:
+    for sketch in range(O.SKETCHES):
+        order = lambda x: ((x[0] - (sketch << 34)) % (1 << 40), x[1])  # noqa: B023, E731
+        chosen = [e for e, _ in sorted(sorted(elements, key=order)[: O.PICK], key=lambda x: x[1])]
+        if len(chosen) == 1:
             out.append((one(chosen[0] ^ 0x5851F42D4C957F2D) & 0xFFFF) or 1)
         else:
             out.append((one(one(chosen[0]) + chosen[1]) & 0xFFFF) or 1)
@@ -52,6 +50,52 @@ def test_likeness_follows_edits_and_order():
     assert O.likeness(base, swapped) < 0.8
 
 
+def test_short_texts_keep_order_too():
+    """A moved block lowers the likeness of 100 characters as sketches of independent orders do."""
+    r = random.Random(12)
+
+    def independent(a, b, n=600):
+        def tuples(t):
+            seen, out = {}, []
+            for i in range(len(t) - O.K + 1):
+                k = seen[t[i : i + O.K]] = seen.get(t[i : i + O.K], -1) + 1
+                out.append((t[i : i + O.K], k))
+            return out
+
+        x, y = tuples(a), tuples(b)
+        same = 0
+        for _ in range(n):
+            order = {e: r.random() for e in {*x, *y}}
+            pick = lambda z: [e for _, _, e in sorted((i, 0, e) for i, e in enumerate(z) if e in set(sorted(z, key=order.get)[: O.PICK]))]  # noqa: B023, E731
+            same += pick(x) == pick(y)
+        return same / n
+
+    got, want = [], []
+    for _ in range(12):
+        t = "".join(r.choice("abcdefghij") for _ in range(100))
+        moved = t[50:] + t[:50]
+        got.append(O.likeness(O.fingerprint(O._points(t)), O.fingerprint(O._points(moved))))
+        want.append(independent(t, moved, 60))
+    assert abs(sum(got) - sum(want)) / 12 < 0.1 and max(got) < 0.75
+
+
+def test_ranges_of_ids(spark):
+    """An outlier, the least and greatest long, and one id or null in a third of the rows."""
+    ids = [*range(600), 1 << 60, -(1 << 63), (1 << 63) - 1, *[77] * 300, *[None] * 300]
+    rows = [(i, f"text {i} {k % 7}", None, None) for k, i in enumerate(ids)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    dealt = O.next_documents(docs).groupBy("part").count().collect()
+    assert max(r["count"] for r in dealt) < 200 and len(dealt) >= 12
+    order = sorted(set(ids), key=lambda i: (i is not None, i or 0))
+    first = {i: min(t for j, t, *_ in rows if j == i) for i in order}
+    got = sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["edited_sha256"]) for r in O.fingerprints(docs).collect())
+    want = []
+    for i, t, *_ in rows:
+        q, other = len(t) // 4, first[order[(order.index(i) + 1) % len(order)]]
+        want.append((i is not None, i or 0, hashlib.sha256((t[: len(t) - q] + other[:q]).encode()).hexdigest()))
+    assert got == sorted(want)
+
+
 def test_pairs_with_the_next_document(spark):
     r = random.Random(3)
     texts = ["", None, "x", "same text here", "same text here"] + ["".join(r.choice("abcdé 🙂") for _ in range(r.randint(0, 200))) for _ in range(60)]
