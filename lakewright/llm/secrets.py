@@ -7,14 +7,16 @@ their own and so only candidates:
 * ``ident``   - an access identifier: a value assigned to user, login, account
   or client id, or a base ``access`` match,
 * ``endpoint`` - a URL with a host, or a host with a port,
-* ``weak``    - 20-128 characters of a key alphabet, with lower case, upper case
-  and a digit, that no base span covers.
+* ``weak``    - a whole run of 20 or more characters of a key alphabet, with lower case,
+  upper case and a digit, that no base span or endpoint touches.
 
 Parts are joined by intervals: each part reaches ``REACH`` code points beyond
 its ends, never over a blank line (its scope).  A weak secret is reported if an
 identifier or endpoint lies in reach; an identifier or endpoint if any secret
-does.  The join is a sweep over each text's sorted parts, so it costs their
-sort, not their pairs, and needs no shuffle: texts are independent rows.
+does.  Parts that overlap are one piece of text and do not complement each other: a digest
+inside a URL, or an identifier whose value is the secret, is no pair.  The join is a sweep
+over each text's sorted parts, so it costs their sort, not their pairs, and needs no
+shuffle: texts are independent rows.  All patterns take time linear in the text.
 
 Defined results: a null text is empty and has no spans; a null doc_id stays;
 repeated rows are scanned each; other columns are ignored, or kept by
@@ -25,7 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -46,8 +48,10 @@ _ASSIGN = re.compile(f"({_either('password|passwd|secret|token|api_?key')})" + r
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 _IDENT = re.compile(f"(?<![A-Za-z0-9])(?:{_either('user|user_?name|login|account|client_?id|access_?id')})" + r"[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=@-]+)")
-_ENDPOINT = re.compile(r"[A-Za-z][A-Za-z0-9+]*://[^\s\"'<>]+|(?<![A-Za-z0-9.-])[a-z0-9-]+(?:\.[a-z0-9-]+)+:[0-9]{2,5}(?![0-9])")
-_WEAK = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,128}(?![A-Za-z0-9+/_=-])")
+_SCHEME_END = re.compile(r"://[^\s\"'<>]+")
+_HOST_PORT = re.compile(r"(?<![A-Za-z0-9.-])[a-z0-9-]+(?:\.[a-z0-9-]+)+:[0-9]{2,5}(?![0-9])")
+_SCHEME = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+")
+_WEAK = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 _BLANK = re.compile(r"\n[\x20\t\r]*\n")
 _MARKS = ("passw", "secret", "token", "apikey", "api_key")
 _IDENT_MARKS = ("user", "login", "account", "client", "access")
@@ -64,18 +68,40 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return spans
 
 
-def _near(parts: list[tuple[int, int]], start: int, end: int, blanks: list[int]) -> bool:
-    """Whether one of parts (sorted, disjoint) lies within REACH of [start, end) in its scope."""
-    i = bisect_left(parts, (start, start))
-    for s, e in parts[max(0, i - 1) : i + 1]:
-        lo, hi = (min(e, end), max(s, start)) if e <= start or s >= end else (0, 0)
-        if hi - lo <= REACH and bisect_left(blanks, lo) == bisect_left(blanks, max(lo, hi)):
-            return True
-    return False
+def endpoints(text: str) -> list[tuple[int, int]]:
+    """URLs with a scheme (letters, digits and +, a letter first), and hosts with a port outside of them."""
+    found: list[tuple[int, int]] = []
+    for m in _SCHEME_END.finditer(text) if "://" in text else ():
+        start, floor = m.start(), found[-1][1] if found else 0
+        while start > floor and text[start - 1] in _SCHEME:
+            start -= 1
+        while start < m.start() and not text[start].isalpha():
+            start += 1
+        if start < m.start():
+            found.append((start, m.end()))
+    urls = _merged(found)
+    for m in _HOST_PORT.finditer(text):
+        i = bisect_left(urls, (m.end(), 0))
+        if not (i and urls[i - 1][1] > m.start()):
+            found.append((m.start(), m.end()))
+    return sorted(found)
+
+
+class _Sorted:
+    """Spans by start and by end, so that the nearest on either side that do not overlap are neighbours."""
+
+    def __init__(self, spans) -> None:
+        self.starts, self.ends = sorted(s for s, _ in spans), sorted(e for _, e in spans)
+
+    def near(self, start: int, end: int, blanks: list[int]) -> bool:
+        """Whether one lies within REACH of [start, end), in its scope and without overlap."""
+        i, j = bisect_right(self.ends, start), bisect_left(self.starts, end)
+        gaps = [(x, start) for x in self.ends[max(0, i - 1) : i]] + [(end, x) for x in self.starts[j : j + 1]]
+        return any(hi - lo <= REACH and bisect_left(blanks, lo) == bisect_left(blanks, hi) for lo, hi in gaps)
 
 
 def _merged(spans) -> list[tuple[int, int]]:
-    """Sorted disjoint cover, so that the nearest part is a neighbour in the order."""
+    """Sorted disjoint cover."""
     out: list[tuple[int, int]] = []
     for s, e in sorted(spans):
         if out and s < out[-1][1]:
@@ -89,7 +115,7 @@ def linked_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int,
     """Spans of weak parts whose complementary parts co-occur in scope."""
     low = text.lower()
     idents = [(m.start(), m.end()) for m in _IDENT.finditer(text)] if any(m in low for m in _IDENT_MARKS) else []
-    ends = [(m.start(), m.end()) for m in _ENDPOINT.finditer(text)] if ":" in text else []
+    ends = endpoints(text) if ":" in text else []
     access = [(s, e) for s, e, k in base if k == "access"]
     if not idents and not ends and not access:
         return []
@@ -102,12 +128,12 @@ def linked_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int,
             if not (i and covered[i - 1][1] > m.start()):
                 weak.append((m.start(), m.end()))
     blanks = [m.start() for m in _BLANK.finditer(text)]
-    keys = _merged(idents + ends + access)
-    weak = [w for w in weak if _near(keys, *w, blanks)]
-    secrets = _merged([(s, e) for s, e, k in base if k != "access"] + weak)
+    keys = _Sorted(idents + ends + access)
+    weak = [w for w in weak if keys.near(*w, blanks)]
+    secrets = _Sorted([(s, e) for s, e, k in base if k != "access"] + weak)
     out = [(s, e, "weak") for s, e in weak]
     for kind, parts in (("ident", idents), ("endpoint", ends)):
-        out += [(s, e, kind) for s, e in parts if secrets and _near(secrets, s, e, blanks)]
+        out += [(s, e, kind) for s, e in parts if secrets.near(s, e, blanks)]
     return out
 
 
