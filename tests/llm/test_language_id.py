@@ -9,27 +9,36 @@ SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("tex
 
 
 def naive(sample, text):
-    """Greedy longest matches by substring search, restarted every STRETCH characters."""
-    n = 0
-    for lo in range(0, len(text), L.STRETCH):
-        part, i = text[lo : lo + L.STRETCH], 0
-        while i < len(part):
-            j = i + 1
-            while j <= len(part) and part[i:j] in sample:
-                j += 1
-            i = max(j - 1, i + 1)
-            n += 1
+    """Greedy longest matches by substring search, over the bytes of the whole text."""
+    sample, part, n, i = sample.lower().encode(), text.lower().encode(), 0, 0
+    while i < len(part):
+        j = i + 1
+        while j <= len(part) and part[i:j] in sample:
+            j += 1
+        i = max(j - 1, i + 1)
+        n += 1
     return n
 
 
 def test_phrases_match_substring_search():
     r = random.Random(1)
     make = lambda a, n: "".join(r.choice(a) for _ in range(n))
-    samples = {"x": make("abcd ", 700), "y": make("bcde ", 500)}
+    samples = {"x": make("abcd ", 700), "y": make("bcde ", 500), "z": make("語文字漢🙂 a", 300)}
     parser = L.Parser(samples)
-    texts = [make("abcdef ", r.choice([1, 5, 300, 1300])) for _ in range(25)] + ["", "zzz", samples["x"][100:300]]
+    texts = [make("abcdef 字漢🙂é", r.choice([1, 5, 300, 1300, 4000])) for _ in range(25)] + ["", "zzz", samples["x"][100:300], samples["x"] * 5, samples["z"] * 9]
     got = parser.phrases([parser.codes(t) for t in texts])
-    assert got.tolist() == [[naive(samples[k], t) for k in ("x", "y")] for t in texts]
+    assert got.tolist() == [[naive(samples[k], t) for k in ("x", "y", "z")] for t in texts]
+
+
+def test_scripts_of_many_characters_are_told_apart():
+    r = random.Random(2)
+    words = lambda lo: ["".join(chr(r.randrange(lo, lo + 2500)) for _ in range(r.randint(1, 3))) for _ in range(250)]
+    one, two, smile = words(0x4E00), words(0x4E00), words(0x1F300)
+    say = lambda w, n: "".join(r.choice(w) for _ in range(n))
+    parser = L.Parser({"one": say(one, 900), "smile": say(smile, 900), "two": say(two, 900)})
+    texts = [say(w, 120) for w in (one, smile, two) for _ in range(20)]
+    langs, scores = parser.judge(["abc " + t for t in texts])
+    assert langs == ["one"] * 20 + ["smile"] * 20 + ["two"] * 20 and min(scores) > 0.2
 
 
 def test_automaton_accepts_exactly_the_substrings():
