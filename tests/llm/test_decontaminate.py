@@ -44,7 +44,7 @@ def test_distance_is_exact():
 
 def test_walk_keys_of_equal_windows_agree():
     a = np.frombuffer(b"zz the quick brown fox jumps over the lazy dog and more words follow here", dtype=np.uint8)
-    for walk in D._walks():
+    for walk in D._walks(*D.WALKS) + D._walks(*D.SHORT_WALKS):
         assert D.walk_keys(a, np.array([3]), walk)[0] == D.walk_keys(a[3:], np.array([0]), walk)[0]
 
 
@@ -88,10 +88,31 @@ def test_recall_at_the_greatest_share_and_with_spread_edits():
     assert recall([(t, spoil(r, t, 0.2)) for t in items]) >= 0.97
     assert recall([(t, even(t, 8)) for t in items]) >= 0.97
     assert recall([(t, even(t, 6)) for t in items]) >= 0.9
-    short = [t for t in (words(r, 5) for _ in range(150)) if len(t.encode()) >= D.MIN_ITEM]
+    short = [words(r, 5) for _ in range(150)]
     assert recall([(t, t[: len(t) // 2] + "#" + t[len(t) // 2 + 1 :]) for t in short]) >= 0.95
 
 
+@pytest.mark.parametrize("n, least", [(5, 0.85), (8, 0.93), (12, 0.95), (20, 0.97), (40, 0.97)])
+def test_recall_by_length(n, least):
+    r = random.Random(n)
+    items = [words(r, n) for _ in range(100)]
+    assert recall([(t, spoil(r, t, 0.15)) for t in items]) >= max(least, 0.95)
+    assert recall([(t, spoil(r, t, 0.2)) for t in items]) >= least
+
+
+def test_tiny_items_are_found_completely():
+    r = random.Random(3)
+    items = list({words(r, 2)[:20].strip() for _ in range(40)})
+    items = [t for t in items if 2 <= len(t) and len(t.encode()) < D.TINY]
+    texts = [f"{words(r, 6)} {spoil(r, t, 0.2)} {words(r, 6)}" for t in items]
+    raw = [t.encode() for t in texts]
+    got = {(a, b): d for a, b, d, *_ in D.Items(list(enumerate(items))).matches(np.cumsum([0, *map(len, raw)]), np.frombuffer(b"".join(raw), dtype=np.uint8))}
+    for a, text in enumerate(texts):
+        for b, item in enumerate(items):
+            d = best(item, text)
+            assert got.get((a, b)) == (d if d <= int(0.2 * len(item)) else None)
+
+
 def test_finds_items_inside_runs_without_spaces():
     r = random.Random(40)
     han = lambda n: "".join(chr(r.randrange(0x4E00, 0x9FA5)) for _ in range(n))
@@ -106,7 +127,7 @@ def test_finds_items_inside_runs_without_spaces():
 def test_odd_rows(spark):
     r = random.Random(9)
     item = words(r, 30)
-    docs = [(1, "a " + item, None, None), (1, "a " + item, None, None), (None, item, None, None), (2, None, None, None), (3, "", None, None), (4, "has tiny one inside", None, None), (5, "has t1ny one", None, None)]
+    docs = [(1, "a " + item, None, None), (1, "a " + item, None, None), (None, item, None, None), (2, None, None, None), (3, "", None, None), (4, "has tiny one inside", None, None), (5, "has t1ny 0ne", None, None)]
     items = [(10, item, None), (11, item, None), (10, item, None), (12, None, None), (13, "", None), (None, item, None), (14, "tiny one", None)]
     got = D.benchmark_matches(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, ITEMS)).collect()
     key = lambda x: (x["doc_id"] or 0, x["item_id"] or 0, x["start"], x["distance"])
