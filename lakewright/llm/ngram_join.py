@@ -76,7 +76,9 @@ def _class_key(s: np.ndarray) -> bytes:
     return np.array([mix(s).sum(dtype=U), mix(s ^ U(0xA5A5A5A5A5A5A5A5)).sum(dtype=U) + U(len(s))], dtype=U).tobytes()
 
 
-def _signer(k: int, bands: int, rows: int):
+def signer(k: int, bands: int, rows: int):
+    """Batches (doc_id, mark, text) as (doc_id, mark, key, bands, n_grams): MinHash bands of the
+    sets of k-word grams; key and bands are null without words."""
     rng = np.random.default_rng(10)
     mul = (rng.integers(0, 1 << 32, bands * rows, dtype=np.uint32) | np.uint32(1))[:, None]
     add = rng.integers(0, 1 << 32, bands * rows, dtype=np.uint32)[:, None]
@@ -235,7 +237,7 @@ def _judged(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, r
     bands, rows = plan_bands(threshold, recall)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = texts.select("doc_id", F.xxhash64("text").alias("mark"), "text")
-    signed = cut(map_arrow(texts, _signer(words, bands, rows), "doc_id long, mark long, key binary, bands array<long>, n_grams long"))
+    signed = cut(map_arrow(texts, signer(words, bands, rows), "doc_id long, mark long, key binary, bands array<long>, n_grams long"))
     full, bare = signed.where("key is not null"), signed.where("key is null")
     classes = full.groupBy("key").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n_docs"), F.min(_rep()).alias("rep"), F.first("bands").alias("bands"), F.first("n_grams").alias("n_grams"))
     classes = cut(classes.withColumn("code", F.xxhash64("key")))

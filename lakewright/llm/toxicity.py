@@ -5,8 +5,9 @@
 * All terms share one trie.  The Levenshtein automaton of every term, intersected
   with the trie, is determinised lazily: a state is the set of (trie node, edits)
   reached, and a word is accepted as an exact hit (it begins with a term) or as a
-  misspelling (the whole word is within 1 edit of a term of 5-7, 2 of 8 or more
-  characters).  Most words die after a few characters, whatever the lexicon's size.
+  misspelling: the whole word is within 1 edit of a term of 5-7, 2 of 8 or more
+  characters, or its beginning within 1 edit of a term of 8 or more (inflected forms).
+  Most words die after a few characters, whatever the lexicon's size.
 * Each hit is weighed by a window of ``WINDOW`` words to either side: quotation
   marks or reporting verbs around it make it a quotation (weight ``QUOTED``)
   rather than abuse (1).
@@ -16,8 +17,10 @@
 * A logistic model on the weighed evidence, its weights not negative, gives the score.
 
 Learning uses a bounded sample: at most about ``SAMPLE`` labelled texts of each
-class (chosen by hash of the id), only from rows whose crc32(doc_id) mod 5 is not
-0.  Scoring is one pass without shuffle over whole texts of all rows.  Labels,
+class (chosen by hash of the id; of rows of one id the least text), only from rows whose
+crc32(doc_id) mod 5 is not 0.  Of near copies in the sample one is kept for each class, as
+their chance words would pass for marks of a class.  The lexicon has every stem of the sample that passes the
+test.  Scoring is one pass without shuffle over whole texts of all rows.  Labels,
 lang, source and doc_id are never inputs of a score.
 
 Defined results: null and empty texts have no hits and get the model's score of
@@ -37,13 +40,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakewright.llm._common import crc_bucket, map_arrow, table
+from lakewright.llm.ngram_join import signer
 
 SAMPLE = 4000
-LEXICON = 2000
 WINDOW, QUOTED = 8, 0.3
 #: Evidence of a misspelt hit against an exact one.  Fixed: labelled texts hold too few to fit it.
 MISSPELT = 0.8
 STEM = range(4, 11)
+#: Bands and rows of the MinHash that finds near copies in the sample: 0.9997 of those of similarity 0.8.
+COPIES = (8, 2)
 _STRIP = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "“”„‘’«»…–—¿¡"
 #: Marks and verbs (lower case) that announce somebody else's words.
 QUOTE_MARKS = frozenset('"“”„«»')
@@ -83,7 +88,8 @@ class Lexicon:
         self.start = self._state({0: 0})
 
     def _state(self, nodes: dict[int, int]) -> list | None:
-        """[whether a term is complete without edits, whether any is in reach, transitions]; None if dead."""
+        """[whether a term is complete without edits, whether one is in reach of a word that ends
+        here, transitions, key, whether one is of a word that goes on]; None if dead."""
         todo = list(nodes)
         while todo:  # leaving out a character of a term
             n = todo.pop()
@@ -97,7 +103,8 @@ class Lexicon:
         key = tuple(sorted(nodes.items()))
         got = self.states.get(key)
         if got is None:
-            got = self.states[key] = [any(e == 0 == self.allowed[n] or (e == 0 and self.allowed[n] > 0) for n, e in key), any(e <= self.allowed[n] for n, e in key), {}, key]
+            allowed = [(self.allowed[n], e) for n, e in key]
+            got = self.states[key] = [any(e == 0 <= a for a, e in allowed), any(e <= a for a, e in allowed), {}, key, any(e <= 1 < a for a, e in allowed)]
         return got
 
     def _next(self, state: list, ch: str) -> list | None:
@@ -113,18 +120,20 @@ class Lexicon:
         return got
 
     def match(self, word: str) -> int:
-        """2 if word begins with a term, 1 if it is a misspelt term, else 0."""
+        """2 if word begins with a term, 1 if it is or begins with a misspelt one, else 0."""
         if len(self.states) > self.START_STATES:
             self.reset()
-        state = self.start
+        state, near = self.start, 0
         for ch in word:
             nxt = state[2].get(ch, 0)
             state = self._next(state, ch) if nxt == 0 else nxt
             if state is None:
-                return 0
+                return near
             if state[0]:
                 return 2
-        return 1 if state[1] else 0
+            if state[4]:
+                near = 1
+        return 1 if state[1] else near
 
 
 class Scorer:
@@ -237,7 +246,26 @@ def choose_terms(counts: list[tuple[str, int, int]], n_toxic: int, n_clean: int)
             continue
         if longer.get(t, 0) < 0.95 * good[t][0]:
             kept.add(t)
-    return sorted(sorted(kept, key=lambda t: (-good[t][1], t))[:LEXICON])
+    return sorted(kept)
+
+
+def _apart(rows: list[tuple[int, int, list[int]]]) -> list[int]:
+    """The least id of each class among texts that share a band, directly or through others."""
+    root: dict = {}
+
+    def top(x):
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for i, _, bands in rows:
+        for b in bands:
+            root[top(("band", b))] = top(i)
+    kept: dict = {}
+    for i, toxic, _ in sorted(rows):
+        kept.setdefault((top(i), toxic), i)
+    return sorted(kept.values())
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, prior: float) -> list[float]:
@@ -278,8 +306,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[lis
     chance = F.when(F.col("_toxic") == 1, F.lit(sample / n[1])).otherwise(F.lit(sample / n[0]))
     taken = truth.where(F.pmod(F.xxhash64("_id", F.lit(5)), F.lit(1 << 20)) < chance * (1 << 20))
     # Bounded by the sample: twice SAMPLE ids in expectation.
-    chosen = docs.select(F.col("doc_id").cast("long").alias("_of"), F.col("text").cast("string").alias("text")).join(F.broadcast(taken), F.col("_of") == F.col("_id")).select("text", "_toxic")
-    chosen = chosen.persist()
+    chosen = docs.select(F.col("doc_id").cast("long").alias("_of"), F.col("text").cast("string").alias("text")).join(F.broadcast(taken), F.col("_of") == F.col("_id"))
+    chosen = chosen.groupBy("_id").agg(F.min("text").alias("text"), F.first("_toxic").alias("_toxic"))
+    signed = map_arrow(chosen.select("_id", F.col("_toxic").cast("long"), "text"), signer(5, *COPIES), "doc_id long, mark long, key binary, bands array<long>, n_grams long")
+    apart = docs.sparkSession.createDataFrame([(i,) for i in _apart([(r.doc_id, r.mark, r.bands or ()) for r in signed.collect()])], "_of long")
+    chosen = chosen.join(F.broadcast(apart), F.col("_id") == F.col("_of")).select("text", "_toxic").persist()
     try:
         seen = {r["_toxic"]: r["n"] for r in chosen.groupBy("_toxic").agg(F.count("*").alias("n")).collect()}
         if not seen.get(1) or not seen.get(0):
@@ -289,8 +320,6 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[lis
             .groupBy("term")
             .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
             .where((F.col("toxic") >= 3) & (F.col("toxic") * seen[0] > 4.0 * F.col("clean") * seen[1]))
-            .orderBy(F.desc("toxic"), "term")
-            .limit(100 * LEXICON)
             .collect()
         )
         terms = choose_terms([tuple(r) for r in counts], seen[1], seen[0])

@@ -21,7 +21,7 @@ def test_automaton_matches_edit_distance():
     r = random.Random(5)
     terms = ["idiot", "moron", "pathetic", "vequ", "lowei", "abcabcab", "aaaaa"]
     lexicon = X.Lexicon(terms)
-    words = ["", "idiot", "idiots", "1diot", "idoit", "idt", "vequeux", "vequ", "veq", "pathtic", "patheticc", "pthetc", "lowe"]
+    words = ["", "idiot", "idiots", "1diot", "idoit", "idt", "vequeux", "vequ", "veq", "pathtic", "patheticc", "pthetc", "lowe", "pathet1cally", "pathxtiqally"]
     words += ["".join(r.choice("abidotmrnpheclowvqu") for _ in range(r.randint(1, 10))) for _ in range(1500)]
     for t in terms:
         for _ in range(200):
@@ -31,7 +31,8 @@ def test_automaton_matches_edit_distance():
                 w[i : i + (k != 0)] = [r.choice("abiot")] if k != 2 else []
             words.append("".join(w))
     for w in words:
-        want = 2 if any(w.startswith(t) for t in terms) else int(any(distance(w, t) <= X.Lexicon.edits(t) for t in terms))
+        begins = lambda t: len(t) >= 8 and any(distance(w[:i], t) <= 1 for i in range(len(w) + 1))  # noqa: B023, E731
+        want = 2 if any(w.startswith(t) for t in terms) else int(any(distance(w, t) <= X.Lexicon.edits(t) or begins(t) for t in terms))
         assert lexicon.match(w) == want, w
 
 
@@ -43,10 +44,33 @@ def test_quotation_weighs_less():
 
 
 def test_held_out_accuracy(spark):
-    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     got = X.score_documents(docs, labels).join(labels, "doc_id").where("held_out")
     right, n, hit, toxic = got.agg(F.count_if(F.col("predicted") == F.col("toxic")), F.count("*"), F.count_if(F.expr("predicted = 1 and toxic = 1")), F.count_if(F.expr("toxic = 1"))).first()
-    assert right / n > 0.93 and hit >= 0.5 * toxic
+    assert right / n > 0.97 and hit >= 0.85 * toxic
+
+
+def test_copies_in_the_sample_mark_no_words():
+    rows = [(1, 1, [10, 20]), (2, 1, [11, 20]), (3, 1, [11, 21]), (4, 0, [21, 5]), (5, 0, [6, 7]), (6, 0, []), (9, 0, [5])]
+    assert X._apart(rows) == [1, 4, 5, 6]
+
+
+def test_chance_words_of_toxic_copies_are_no_terms(spark):
+    r = random.Random(11)
+    fill = lambda n: [f"w{r.randrange(300)}x" for _ in range(n)]
+    base = [*fill(40), "qqchance", "zzchance", *fill(40)]
+    rows = []
+    for i in range(300):
+        w = fill(80)
+        if i % 3 == 0:
+            w.insert(r.randrange(80), "moronic")
+        elif i % 3 == 1:
+            w = list(base)
+            w[r.randrange(len(w))] = f"n{i}"
+        rows.append((i, " ".join(w), None, None))
+    labels = spark.createDataFrame([(i, int(i % 3 < 2)) for i in range(300)], "doc_id long, toxic int")
+    terms, _, _ = X.learn(spark.createDataFrame(rows, SCHEMA), labels)
+    assert "moronic" in terms and not any("chance" in t for t in terms)
 
 
 def test_misspelt_terms_alone_are_toxic(spark):
