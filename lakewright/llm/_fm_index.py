@@ -2,7 +2,9 @@
 
 Suffixes need only be in order to the depth that is searched, so they are sorted by
 prefix doubling to 32 words.  The Burrows-Wheeler transform is held as one packed
-bit vector per bit of a word code, with popcounts every 64 bits.
+bit vector per bit of a word code, with popcounts every 64 bits; the borders between
+suffixes that differ within the depth are one more such vector.  Of the suffix array only the
+least place of each such class is kept; the array itself lives while the index is built.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ class Bits:
         padded = np.zeros((n // 64 + 1) * 64, dtype=np.uint8)
         padded[:n] = bits
         self.words = np.packbits(padded, bitorder="little").view(U)
-        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words), dtype=np.int64)])
+        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words), dtype=np.int32)]).astype(np.int32)
         self.zeros = n - int(self.before[-1])
 
     def rank(self, p: np.ndarray) -> np.ndarray:
@@ -45,7 +47,7 @@ class FMIndex:
             after[: max(0, n - h)] = by_length[h][h:]
             key = by_length[h] * (int(by_length[h].max(initial=0)) + 1) + after
             by_length[2 * h] = np.unique(key, return_inverse=True)[1] + 1
-        self.suffixes = np.argsort(by_length[32], kind="stable")
+        self.size, suffixes = n, np.argsort(by_length[32], kind="stable")
         # Classes of suffixes that agree in their first `depth` words are neighbours in the order.
         of, rest, at = np.zeros(n, dtype=np.int64), depth, 0
         for h in (16, 8, 4, 2, 1):
@@ -54,14 +56,13 @@ class FMIndex:
                 part[: max(0, n - at)] = by_length[h][at:]
                 of = np.unique(of * (int(part.max(initial=0)) + 1) + part, return_inverse=True)[1]
                 rest, at = rest - h, at + h
-        ordered = of[self.suffixes]
+        ordered = of[suffixes]
         new = np.ones(n, dtype=bool)
         new[1:] = ordered[1:] != ordered[:-1]
         starts = np.flatnonzero(new)
-        self.number = np.cumsum(new) - 1
-        self.class_start, self.class_end = starts, np.append(starts[1:], n)
-        self.least = np.minimum.reduceat(self.suffixes, starts) if n else starts
-        bwt = text[self.suffixes - 1].astype(np.int64)  # the text starts with a separator
+        self.borders, self.class_start = Bits(new), np.append(starts, n).astype(np.int32)
+        self.least = (np.minimum.reduceat(suffixes, starts) if n else starts).astype(np.int32)
+        bwt = text[suffixes - 1].astype(np.int64)  # the text starts with a separator
         self.levels = max(1, int(text.max(initial=1)).bit_length())
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=1 << self.levels))])
         self.matrix = []
@@ -85,8 +86,17 @@ class FMIndex:
 
     def shrink(self, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The range of all suffixes that agree with suffix lo in `depth` words."""
-        c = self.number[lo]
-        return self.class_start[c], self.class_end[c]
+        c = self.number(lo)
+        return self.class_start[c], self.class_start[c + 1]
+
+    def number(self, p: np.ndarray) -> np.ndarray:
+        """The class of the suffix at each place of the order."""
+        return self.borders.rank(p + 1) - 1
+
+    @property
+    def n_bytes(self) -> int:
+        """Bytes the index holds."""
+        return sum(b.words.nbytes + b.before.nbytes for b in [*self.matrix, self.borders]) + sum(a.nbytes for a in (self.class_start, self.least, self.first, self.bottom))
 
 
 def matching_statistics(index: FMIndex, text: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -96,7 +106,7 @@ def matching_statistics(index: FMIndex, text: np.ndarray, starts: np.ndarray, si
     out = np.full(len(text), -1, dtype=np.int64)
     order = np.argsort(-sizes, kind="stable")
     starts, sizes = starts[order], sizes[order]
-    n = len(index.suffixes)
+    n = index.size
     lo, hi = np.zeros(len(starts), dtype=np.int64), np.full(len(starts), n, dtype=np.int64)
     length = np.zeros(len(starts), dtype=np.int64)
     live = np.searchsorted(-sizes, -np.arange(int(sizes.max(initial=0))), side="left")
@@ -111,6 +121,6 @@ def matching_statistics(index: FMIndex, text: np.ndarray, starts: np.ndarray, si
         if len(deep):
             a[deep], b[deep] = index.shrink(a[deep])
             grown[deep] = index.depth
-            out[at[deep]] = index.least[index.number[a[deep]]]
+            out[at[deep]] = index.least[index.number(a[deep])]
         lo[:m], hi[:m], length[:m] = a, b, grown
     return out

@@ -22,9 +22,13 @@ the same document).  Windows are judged on the input.
 
 Word hashes have 64 bits and stand for words throughout.
 
+Equal documents and windows of hot anchors thus never enter an index: both are found by
+hashes of all their words, which gives the same rows and which an index of one shard could
+not hold.
+
 Defined results: a null text has no words; a null doc_id comes before all others;
-rows that agree in id and words are one document and get equal results; rows of
-one id with different words are different documents, in the order of their hash.
+rows that agree in id and text are one document and get equal results; rows of
+one id (or none) with different texts are different documents, in the order of their hash.
 Extra columns are ignored; an empty table gives no rows.
 """
 
@@ -87,7 +91,7 @@ def _documents(texts):
 def _survey(batches):
     for batch in batches:
         rows = ([], [], [])
-        for _, h in _documents(batch.column(1)):
+        for _, h in _documents(batch.column(2)):
             a = _anchors(h)
             # An anchor counts once, or twice if its gram stands in several places of the document.
             values = np.unique(a)
@@ -97,24 +101,25 @@ def _survey(batches):
             rows[1].append(len(h))
             rows[2].append(np.concatenate([values, values[twice]]).view(np.int64))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(rows[0], pa.binary()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.list_(pa.int64()))], ["place", "seq", "n_words", "anchors"]
+            [batch.column(0), batch.column(1), pa.array(rows[0], pa.binary()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.list_(pa.int64()))],
+            ["place", "mark", "seq", "n_words", "anchors"],
         )
 
 
 def _passages(batch):
-    """(place, sequence hash, words, anchors, rare and hot flags of the windows) of candidates."""
-    rare, hot = batch.column(2), batch.column(3)
-    for r, h in _documents(batch.column(1)):
+    """(place, mark, words, anchors, rare and hot flags of the windows) of candidates."""
+    rare, hot = batch.column(3), batch.column(4)
+    for r, h in _documents(batch.column(2)):
         a = _anchors(h)
         flags = [np.isin(a, np.array(c[r].as_py() or [], dtype=np.int64).view(U)) for c in (rare, hot)]
-        yield batch.column(0)[r].as_py(), _sequence(h), h, a, *flags
+        yield batch.column(0)[r].as_py(), batch.column(1)[r].as_py(), h, a, *flags
 
 
 def _cut_passages(n_shards: int):
     def run(batches):
         for batch in batches:
             rows = []
-            for place, seq, h, a, rare, _ in _passages(batch):
+            for place, mark, h, a, rare, _ in _passages(batch):
                 if not rare.any():
                     continue
                 change = np.ones(len(a), dtype=bool)
@@ -122,16 +127,16 @@ def _cut_passages(n_shards: int):
                 first = np.flatnonzero(change)
                 last = np.append(first[1:], len(a)) - 1
                 for i, j in zip(first[rare[first]].tolist(), last[rare[first]].tolist(), strict=True):
-                    rows.append((int(mix(a[i : i + 1])[0] % U(n_shards)), place, seq, i, h[i : j + WINDOW].tobytes()))
+                    rows.append((int(mix(a[i : i + 1])[0] % U(n_shards)), place, mark, i, h[i : j + WINDOW].tobytes()))
             if rows:
                 cols = list(zip(*rows, strict=True))
-                types = (pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["shard", "place", "seq", "start", "words"])
+                types = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["shard", "place", "mark", "start", "words"])
 
     return run
 
 
-_INTERVAL = pa.schema([("place", pa.int64()), ("seq", pa.binary()), ("first", pa.int32()), ("last", pa.int32())])
+_INTERVAL = pa.schema([("place", pa.int64()), ("mark", pa.int64()), ("first", pa.int32()), ("last", pa.int32())])
 
 
 def repeated_windows(passages: list[np.ndarray]) -> list[np.ndarray]:
@@ -148,48 +153,48 @@ def repeated_windows(passages: list[np.ndarray]) -> list[np.ndarray]:
 
 
 def _search_shard(group: pa.Table) -> pa.Table:
-    group = group.sort_by([("place", "ascending"), ("seq", "ascending"), ("start", "ascending")])
-    place, seq, start = (group.column(n).to_pylist() for n in ("place", "seq", "start"))
+    group = group.sort_by([("place", "ascending"), ("mark", "ascending"), ("start", "ascending")])
+    place, mark, start = (group.column(n).to_pylist() for n in ("place", "mark", "start"))
     passages = [np.frombuffer(w.as_py(), dtype=U) for w in group.column("words")]
     # A repeated row is the same document, not an earlier occurrence.
-    new = [i for i in range(len(place)) if not i or (place[i], seq[i], start[i]) != (place[i - 1], seq[i - 1], start[i - 1])]
+    new = [i for i in range(len(place)) if not i or (place[i], mark[i], start[i]) != (place[i - 1], mark[i - 1], start[i - 1])]
     rows = []
     for i, flags in zip(new, repeated_windows([passages[i] for i in new]), strict=True):
-        rows += [(place[i], seq[i], start[i] + a, start[i] + b) for a, b in _runs(flags).tolist()]
+        rows += [(place[i], mark[i], start[i] + a, start[i] + b) for a, b in _runs(flags).tolist()]
     return pa.Table.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_INTERVAL)], schema=_INTERVAL)
 
 
 def _cut_windows(batches):
     for batch in batches:
         cols = ([], [], [], [], [])
-        for place, seq, h, _, _, hot in _passages(batch):
+        for place, mark, h, _, _, hot in _passages(batch):
             at = np.flatnonzero(hot)
             if not len(at):
                 continue
             one = ngrams(h, np.array([0, len(h)]), WINDOW)[1][at]
             two = ngrams(mix(h ^ U(0xA5A5A5A5A5A5A5A5)), np.array([0, len(h)]), WINDOW)[1][at]
-            for c, v in zip(cols, (one.view(np.int64), two.view(np.int64), np.full(len(at), place), [seq] * len(at), at.astype(np.int32)), strict=True):
+            for c, v in zip(cols, (one.view(np.int64), two.view(np.int64), np.full(len(at), place), np.full(len(at), mark), at.astype(np.int32)), strict=True):
                 c.extend(v)
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["one", "two", "place", "seq", "start"])
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["one", "two", "place", "mark", "start"])
 
 
 def _merge(batches):
     """Intervals of a document that touch as one: few are left of thousands of windows."""
     for batch in batches:
         out = []
-        for found in batch.column(1).to_pylist():
+        for found in batch.column(2).to_pylist():
             kept: list[dict] = []
-            for x in sorted(found, key=lambda x: (x["seq"], x["last"] >= 0, x["first"], x["last"])):
-                if kept and kept[-1]["seq"] == x["seq"] and (kept[-1]["last"] < 0 or x["first"] <= kept[-1]["last"] + WINDOW):
+            for x in sorted(found, key=lambda x: (x["last"] >= 0, x["first"], x["last"])):
+                if kept and (kept[-1]["last"] < 0 or x["first"] <= kept[-1]["last"] + WINDOW):
                     # Windows less than WINDOW apart cover every word between them.
                     if kept[-1]["last"] >= 0:
                         kept[-1]["last"] = max(kept[-1]["last"], x["last"])
                 else:
                     kept.append(x)
             out.append(kept)
-        kind = pa.list_(pa.struct([("seq", pa.binary()), ("first", pa.int32()), ("last", pa.int32())]))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], ["place", "found"])
+        kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, kind)], ["place", "mark", "found"])
 
 
 def _finish(batches):
@@ -200,63 +205,65 @@ def _finish(batches):
             words = raw.encode().split()  # splits at the six bytes that part words
             n = len(words)
             if found and n >= WINDOW:
-                data = np.frombuffer(raw.encode(), dtype=np.uint8)
-                starts, ends, _ = tokens(np.array([0, len(data)]), data)
-                seq, gone = _sequence(hash_words(data, starts, ends)), np.zeros(n + 1, dtype=np.int64)
+                gone = np.zeros(n + 1, dtype=np.int64)
                 for x in found:
-                    if x["seq"] == seq:
-                        gone[x["first"]] += 1
-                        gone[(n - WINDOW if x["last"] < 0 else x["last"]) + WINDOW] -= 1
+                    gone[x["first"]] += 1
+                    gone[(n - WINDOW if x["last"] < 0 else x["last"]) + WINDOW] -= 1
                 words = [w for w, g in zip(words, np.cumsum(gone[:n]).tolist(), strict=True) if not g]
             rows.append((n, n - len(words), hashlib.sha256(b" ".join(words)).hexdigest()))
         cols = list(zip(*rows, strict=True)) or [(), (), ()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
+def _named(docs: DataFrame) -> DataFrame:
+    """place (doc_id, least for null) and mark (hash of the text) name a document."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).select("doc_id", F.coalesce("doc_id", F.lit(_NULL)).alias("place"), F.xxhash64("text").alias("mark"), "text")
+
+
 def repeated_intervals(docs: DataFrame, shard_words: int = SHARD_WORDS, hot: int = HOT) -> DataFrame:
-    """(place, found): place is doc_id, least for null; found lists (seq, first, last), the
-    first and last start of repeated windows of the document with word hash seq; a last
-    of -1 means to its end."""
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("place"), F.col("text").cast("string").alias("text"))
-    seen = cut(map_arrow(texts, _survey, "place long, seq binary, n_words long, anchors array<long>").where(F.col("n_words") >= WINDOW))
-    same = cut(seen.groupBy("seq").agg(F.min("place").alias("least"), F.max("place").alias("most")).where("least < most").select("seq", "least"))
-    copies = seen.select("place", "seq").join(sized(same), "seq").where("place > least").select("place", "seq").distinct()
-    one = seen.join(sized(same), "seq", "left").where("least is null or place = least").select("place", F.explode("anchors").alias("anchor"))
+    """(place, mark, found) of documents with repeated windows: found lists (first, last), the
+    first and last start of repeated windows; a last of -1 means to the end."""
+    name = ["place", "mark"]
+    texts = _named(docs).select("place", "mark", "text")
+    seen = cut(map_arrow(texts, _survey, "place long, mark long, seq binary, n_words long, anchors array<long>").where(F.col("n_words") >= WINDOW))
+    this = F.struct(*name)
+    same = cut(seen.groupBy("seq").agg(F.min(this).alias("least"), F.max(this).alias("most")).where("least < most").select("seq", "least"))
+    copies = seen.select(*name, "seq").join(sized(same), "seq").where(this > F.col("least")).select(*name).distinct()
+    one = seen.join(sized(same), "seq", "left").where(F.col("least").isNull() | (this == F.col("least"))).select(*name, F.explode("anchors").alias("anchor"))
     often = one.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
     marked = one.join(often, "anchor").distinct()
     wanted = cut(
-        marked.groupBy("place").agg(
+        marked.groupBy(*name).agg(
             F.collect_list(F.when(F.col("n") <= hot, F.col("anchor"))).alias("rare"), F.collect_list(F.when(F.col("n") > hot, F.col("anchor"))).alias("hot")
         )
     )
     n_rare, n_hot = wanted.agg(F.sum(F.size("rare")), F.sum(F.size("hot"))).first()
-    ids = wanted.select(F.col("place").alias("_of"))
-    few = texts.join(sized(ids), F.col("place") == F.col("_of"), "left_semi").join(wanted.hint("shuffle_merge"), "place").select("place", "text", "rare", "hot")
+    few = texts.join(sized(wanted.select(*name)), name, "left_semi").join(wanted.hint("shuffle_merge"), name).select(*name, "text", "rare", "hot")
     n_shards = max(1, -(-(n_rare or 0) * 30 // shard_words))
-    found = [copies.select("place", "seq", F.lit(0).alias("first"), F.lit(-1).alias("last"))]
+    found = [copies.select(*name, F.lit(0).alias("first"), F.lit(-1).alias("last"))]
     if n_rare:
-        cut_up = map_arrow(few, _cut_passages(n_shards), "shard int, place long, seq binary, start int, words binary")
-        found.append(cut_up.groupBy("shard").applyInArrow(_search_shard, "place long, seq binary, first int, last int"))
+        cut_up = map_arrow(few, _cut_passages(n_shards), "shard int, place long, mark long, start int, words binary")
+        found.append(cut_up.groupBy("shard").applyInArrow(_search_shard, "place long, mark long, first int, last int"))
     if n_hot:
-        windows = map_arrow(few, _cut_windows, "one long, two long, place long, seq binary, start int")
-        first = windows.groupBy("one", "two").agg(F.min(F.struct("place", "seq", "start")).alias("least"))
-        later = windows.join(first, ["one", "two"]).where(F.struct("place", "seq", "start") != F.col("least"))
-        found.append(later.select("place", "seq", F.col("start").alias("first"), F.col("start").alias("last")).distinct())
+        windows = map_arrow(few, _cut_windows, "one long, two long, place long, mark long, start int")
+        first = windows.groupBy("one", "two").agg(F.min(F.struct(*name, "start")).alias("least"))
+        later = windows.join(first, ["one", "two"]).where(F.struct(*name, "start") != F.col("least"))
+        found.append(later.select(*name, F.col("start").alias("first"), F.col("start").alias("last")).distinct())
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
-    gathered = out.groupBy("place").agg(F.collect_list(F.struct("seq", "first", "last")).alias("found"))
-    return cut(map_arrow(gathered, _merge, "place long, found array<struct<seq: binary, first: int, last: int>>"))
+    gathered = out.groupBy(*name).agg(F.collect_list(F.struct("first", "last")).alias("found"))
+    return cut(map_arrow(gathered, _merge, "place long, mark long, found array<struct<first: int, last: int>>"))
 
 
 def deduplicated(docs: DataFrame, **how) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 for every row of docs."""
-    found = repeated_intervals(docs, **how).select(F.col("place").alias("_place"), "found")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = repeated_intervals(docs, **how)
     # Broadcast only if the intervals, not just the documents, are known to be few.
     n = found.agg(F.sum(F.size("found"))).first()[0] or 0
     side = F.broadcast(found) if n <= BROADCAST_ROWS else found.hint("shuffle_merge")
-    joined = texts.join(side, F.coalesce("doc_id", F.lit(_NULL)) == F.col("_place"), "left").select("doc_id", "text", "found")
+    joined = _named(docs).join(side, ["place", "mark"], "left").select("doc_id", "text", "found")
     return map_arrow(joined, _finish, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 

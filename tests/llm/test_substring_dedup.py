@@ -65,6 +65,23 @@ def test_matches_brute_force(spark, seed, hot):
     assert sorted(map(tuple, got), key=key) == sorted(brute(rows), key=key)
 
 
+def test_rows_without_an_id(spark):
+    """Three hundred texts without an id beside copies and repeated rows of them."""
+    r = random.Random(5)
+    say = lambda n: " ".join(f"u{r.randrange(10**6)}" for _ in range(n))
+    rows = [(None, say(30), None, None) for _ in range(300)] + [(4, say(25), None, None)]
+    rows += [rows[0], (9, rows[7][1], None, None), (10, "lead " + rows[8][1], None, None)]
+    got = sd.deduplicated(spark.createDataFrame(rows, SCHEMA), shard_words=3000).collect()
+    removed = sorted((x.doc_id is not None, x.doc_id or 0, x.n_removed) for x in got)
+    assert removed == [(False, 0, 0)] * 301 + [(True, 4, 0), (True, 9, 30), (True, 10, 30)]
+
+
+def test_index_is_smaller_than_a_suffix_array():
+    r = np.random.default_rng(4)
+    text = np.concatenate([[0], np.tile(r.integers(1, 1 << 12, 20_000), 3), [0]])
+    assert FMIndex(text).n_bytes < 8 * len(text)
+
+
 def test_empty_table(spark):
     assert sd.deduplicated(spark.createDataFrame([], SCHEMA)).collect() == []
 
