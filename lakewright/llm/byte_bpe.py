@@ -159,6 +159,8 @@ class Piece:
 
 #: White space other than a space or line feed, and the byte that marks borders below.
 _ODD = re.compile("[\x00\t\x0b-\x1f\x7f-\xa0\u1680\u2000-\u200f\u2028-\u202f\u205f\u3000\ufeff]")
+#: The pattern for which texts may be cut before spaces; others take the plain path.
+SPACED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _ODD_ASCII = tuple(map(chr, (0, 9, 11, 12, 13, *range(28, 32), 127)))
 
 
@@ -191,14 +193,14 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.v, compiled = Vocabulary(ranks), regex.compile(pattern)
         self.find, self.all = compiled.finditer, compiled.findall
-        self.known, self.pieces = _Memory(self), {}
+        self.known, self.pieces, self.spaced = _Memory(self), {}, pattern == SPACED
 
     def piece(self, s: str) -> bytes:
         """Ids of one piece as little-endian unsigned 32-bit integers."""
         if (got := self.pieces.get(s)) is None:
             data = s.encode()
             token = self.v.ranks.get(data)
-            ids = Piece(self.v, data).tokens() if token is None or self.v.parts(token) == (-1, -1) else (token,)
+            ids = Piece(self.v, data).tokens() if token is None else (token,)  # a whole token is never taken apart
             got = array("I", ids).tobytes() if _LITTLE else np.array(ids, dtype="<u4").tobytes()
             if len(s) < 64:
                 if len(self.pieces) >= MEMORY // 2:
@@ -209,11 +211,13 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         """Ids of a text, packed.
 
-        A space between two visible characters always starts a piece and no piece there
+        Under SPACED, a space between two visible characters always starts a piece and no piece there
         depends on what follows, so the text can be cut before every such space and each
         stretch looked up whole.  Texts with other white space, or with white space next
-        to a space, are cut by the pattern alone.
+        to a space, and all under other patterns, are cut by the pattern alone.
         """
+        if not self.spaced:
+            return b"".join([self.piece(p) for p in self.all(text)])
         odd = any(c in text for c in _ODD_ASCII) if text.isascii() else _ODD.search(text)
         if odd or "  " in text or " \n" in text or "\n " in text or text[-1:] == " ":
             known, plain = self.known, []
@@ -252,8 +256,9 @@ class Encoded:
         """Replace text[start:end] by new; gives the number of pieces encoded anew."""
         shift = len(new) - (end - start)
         text = self.text[:start] + new + self.text[end:]
-        # A piece ends by what follows it by at most one character: step back past the piece before.
-        keep = max(0, sum(e < start for e in self.ends) - 1)
+        # Under SPACED a piece ends by what follows it by at most one character: step back past the
+        # piece before.  Another pattern may look anywhere, so all is cut anew.
+        keep = max(0, sum(e < start for e in self.ends) - 1) if self.encoder.spaced else 0
         at = self.ends[keep - 1] if keep else 0
         old = {e + shift: i for i, e in enumerate(self.ends) if e > end}
         ends, pieces = self.ends[:keep], self.pieces[:keep]
@@ -262,7 +267,7 @@ class Encoded:
             ends.append(m.end())
             pieces.append(self.encoder.piece(m[0]))
             done += 1
-            if (i := old.get(m.end())) is not None and m.end() > start + len(new):
+            if self.encoder.spaced and (i := old.get(m.end())) is not None and m.end() > start + len(new):
                 ends += [e + shift for e in self.ends[i + 1 :]]
                 pieces += self.pieces[i + 1 :]
                 break

@@ -34,6 +34,18 @@ def test_encodes_as_the_library(both):
         assert mine.decode(packed) == t.encode()
 
 
+def test_other_patterns_and_ranks():
+    r = random.Random(9)
+    ranks = B.read_ranks(PATH)
+    for pattern in (r"\p{L}+(?: \p{L}+)?|\s+|.", r"[^\n]+|\n", P.PATTERN + "|x"):
+        mine, theirs = B.Encoder(ranks, pattern), tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        for t in ["the quick brown fox", "a b c d", *(noise(r, 80) for _ in range(300))]:
+            assert np.frombuffer(mine.encode(t), dtype="<u4").tolist() == theirs.encode_ordinary(t), (pattern, t)
+    # "abc" cannot be reached by merges, yet a piece that is a token stays whole.
+    small = {bytes([i]): i for i in range(256)} | {b"abc": 256}
+    assert np.frombuffer(B.Encoder(small, P.PATTERN).encode("abc abcd"), dtype="<u4").tolist() == tiktoken.Encoding("small", pat_str=P.PATTERN, mergeable_ranks=small, special_tokens={}).encode_ordinary("abc abcd")
+
+
 def test_every_prefix_and_append(both):
     mine, theirs = both
     data = " unbelievably".encode()
