@@ -189,10 +189,10 @@ def mask_email_documents(spark, sf_dir):
 
 def _rates(spark, sf_dir):
     """A rate per region and month start, by formula; the first month is missing."""
-    months = spark.sql("select explode(sequence(date'1995-02-01', date'2001-08-01', interval 1 month)) as rate_date")
-    region = read(spark, sf_dir, "region").select(F.concat(F.lit("CUR"), F.col("r_regionkey").cast("string")).alias("from_currency"), "r_regionkey")
+    months = F.sequence(F.lit(dt.date(1995, 2, 1)), F.lit(dt.date(2001, 8, 1)), F.expr("interval 1 month"))
+    region = read(spark, sf_dir, "region").select(F.concat(F.lit("CUR"), F.col("r_regionkey").cast("string")).alias("from_currency"), "r_regionkey", F.explode(months).alias("rate_date"))
     rate = (F.lit(1) + F.col("r_regionkey") * 0.25 + (F.month("rate_date") + F.year("rate_date") % 7) * 0.01).cast("decimal(18,8)")
-    return region.join(F.broadcast(months), F.lit(True)).select("rate_date", "from_currency", F.lit("THB").alias("to_currency"), rate.alias("rate"))
+    return region.select("rate_date", "from_currency", F.lit("THB").alias("to_currency"), rate.alias("rate"))
 
 
 _RATES_SQL = """
@@ -213,10 +213,10 @@ def fx_spine(spark, sf_dir):
 
 def _orders_in_currency(spark, sf_dir):
     nation = read(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
-    where = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
+    where = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
     orders = read(spark, sf_dir, "orders").join(where, F.col("o_custkey") == F.col("c_custkey"))
     currency = F.when(F.col("n_regionkey") == 0, "THB").otherwise(F.concat(F.lit("CUR"), F.col("n_regionkey").cast("string")))
-    return orders.select("o_orderkey", F.col("o_orderdate").cast("date").alias("o_orderdate"), F.col("o_totalprice").cast("decimal(18,2)").alias("amount"), currency.alias("currency"))
+    return orders.select("o_orderkey", F.col("o_orderdate").cast("date").alias("o_orderdate"), F.col("o_totalprice").cast("decimal(18,2)").alias("amount"), currency.alias("currency"), "o_orderpriority", "o_orderstatus")
 
 
 @query(f"""
@@ -423,14 +423,15 @@ def _claims(spark, sf_dir):
     return rows.select(
         F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("claim_id"),
         lost.alias("policy_id"), F.col("l_shipdate").cast("date").alias("loss_date"), F.date_add(F.col("l_shipdate").cast("date"), (F.col("l_quantity") % 40).cast("int")).alias("reported_date"),
-        F.col("l_extendedprice").cast("decimal(18,2)").alias("gross_incurred_thb"), F.round(F.col("l_extendedprice") * 0.5, 2).cast("decimal(18,2)").alias("paid_amount_thb"),
+        F.col("l_extendedprice").cast("decimal(18,2)").alias("gross_incurred_thb"), (F.floor(F.round(F.col("l_extendedprice") * 100) / 2).cast("decimal(18,2)") / 100).cast("decimal(18,2)").alias("paid_amount_thb"),
     )
 
 
 def _policy_dim(spark, sf_dir):
-    orders = _orders_in_currency(spark, sf_dir)
-    rest = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("policy_id"), F.col("o_orderpriority").alias("product_code"), F.col("o_orderstatus").alias("partner_code"))
-    return orders.select(F.col("o_orderkey").alias("policy_id"), F.col("currency").alias("country"), F.col("o_orderdate").alias("inception_date"), F.date_add("o_orderdate", 365).alias("expiry_date")).join(rest, "policy_id")
+    return _orders_in_currency(spark, sf_dir).select(
+        F.col("o_orderkey").alias("policy_id"), F.col("currency").alias("country"), F.col("o_orderdate").alias("inception_date"), F.date_add("o_orderdate", 365).alias("expiry_date"),
+        F.col("o_orderpriority").alias("product_code"), F.col("o_orderstatus").alias("partner_code"), F.col("amount").alias("written_premium_thb"),
+    )
 
 
 _CLAIMS_SQL = """
@@ -440,7 +441,7 @@ pol as (
   from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey
 ), cl as (
   select case when l_orderkey % 11 = 0 then -l_orderkey else l_orderkey end as policy_id, cast(l_shipdate as date) as loss_date, cast(cast(l_quantity as bigint) % 40 as integer) as lag,
-         cast(l_extendedprice as decimal(18, 2)) as gross
+         cast(l_extendedprice as decimal(18, 2)) as gross, cast(cast(round(l_extendedprice * 100) as bigint) // 2 / 100 as decimal(18, 2)) as paid
   from lineitem
 ), f as (
   select cl.*, pol.country, pol.product_code, pol.partner_code, strftime(loss_date, '%Y-%m') as ym, lag >= 21 as late, pol.policy_id is null as orphan,
@@ -490,23 +491,22 @@ with {_CLAIMS_SQL}, ex as (
          sum(round(cast(prem * n as decimal(30, 8)) / 365, 2)::decimal(18, 2)) as earned, sum(round(n / 365.25, 6)::decimal(18, 6)) as years
   from cells join pr on policy_id = o_orderkey group by all
 ), c as (
-  select ym, country, partner_code, product_code, count(*) as n, sum(gross) as inc, count(*) filter (late) as late from f where not orphan group by all
+  select ym, country, partner_code, product_code, count(*) as n, sum(gross) as inc, sum(paid) as paid, count(*) filter (late) as late from f where not orphan group by all
 )
 select strftime(e.month_start, '%Y-%m') as year_month, e.country, e.partner_code, e.product_code, policies_on_risk, earned::double as earned_premium_thb, years::double as exposure_policy_years,
-  coalesce(c.n, 0) as claim_count, coalesce(inc, 0)::double as incurred_thb, coalesce(late, 0) as late_reported_claims,
+  coalesce(c.n, 0) as claim_count, coalesce(inc, 0)::double as incurred_thb, coalesce(paid, 0)::double as paid_thb, coalesce(late, 0) as late_reported_claims,
+  case when earned > 0 then ((20000 * cast(coalesce(inc, 0) * 100 as hugeint) + cast(earned * 100 as hugeint)) // (2 * cast(earned * 100 as hugeint)))::double / 10000 end as loss_ratio,
+  case when years > 0 then ((20000000000::hugeint * coalesce(c.n, 0)::hugeint + cast(years * 1000000 as hugeint)) // (2 * cast(years * 1000000 as hugeint)))::double / 10000 end as claim_frequency,
+  case when c.n > 0 then ((2 * cast(inc * 100 as hugeint) + c.n) // (2 * c.n))::double / 100 end as claim_severity_thb,
   years >= 5 and coalesce(c.n, 0) >= 3 as is_credible, case when years < 1 then 'very_low' when years < 5 then 'low' when years < 25 then 'partial' else 'full' end as credibility_band
 from e left join c on c.ym = strftime(e.month_start, '%Y-%m') and c.country = e.country and c.partner_code = e.partner_code and c.product_code = e.product_code
 """)
 def loss_ratio_mart(spark, sf_dir):
-    """Ratios themselves are tested apart; here what they are made of, so that decimal division does not matter."""
-    dim = _policy_dim(spark, sf_dir).join(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("policy_id"), F.col("o_totalprice").cast("decimal(18,2)").alias("written_premium_thb")), "policy_id")
-    dim = dim.withColumns({"term_days": F.lit(365), "policy_status": F.lit("ACTIVE")})
+    dim = _policy_dim(spark, sf_dir).withColumns({"term_days": F.lit(365), "policy_status": F.lit("ACTIVE")})
     none = spark.createDataFrame([], "policy_id long, effective_date date, is_refund boolean")
     m = marts.loss_ratio(exposure.earned_premium(dim, none, AS_OF), _facts(spark, sf_dir))
-    return m.select(
-        "year_month", "country", "partner_code", "product_code", "policies_on_risk", F.col("earned_premium_thb").cast("double").alias("earned_premium_thb"),
-        F.col("exposure_policy_years").cast("double").alias("exposure_policy_years"), "claim_count", F.col("incurred_thb").cast("double").alias("incurred_thb"), "late_reported_claims", "is_credible", "credibility_band",
-    )
+    amounts = ["earned_premium_thb", "exposure_policy_years", "incurred_thb", "paid_thb", "loss_ratio", "claim_frequency", "claim_severity_thb"]
+    return m.select("year_month", "country", "partner_code", "product_code", "policies_on_risk", "claim_count", "late_reported_claims", "is_credible", "credibility_band", *[F.col(c).cast("double").alias(c) for c in amounts])
 
 
 @query("""
@@ -574,11 +574,10 @@ def quarantine_split(spark, sf_dir):
 
 @query("""
 select event_type, case when hours > 50 then 'error' when hours > 26 then 'warn' else 'pass' end as status
-from (select event_type, datediff('hour', max(ts), timestamp '2024-02-01') as hours from events where event_id % 5 <> 0 or event_type <> 'click' group by 1)
+from (select event_type, datediff('hour', max(ts), timestamp '2024-02-01') as hours from events group by 1)
 """)
 def freshness(spark, sf_dir):
-    rows = read(spark, sf_dir, "events").where("event_id % 5 <> 0 or event_type <> 'click'")
-    return quality.freshness(rows, "ts", dt.datetime(2024, 2, 1), 26, 50, by=["event_type"]).select("event_type", "status")
+    return quality.freshness(read(spark, sf_dir, "events"), "ts", dt.datetime(2024, 2, 1), 26, 50, by=["event_type"]).select("event_type", "status")
 
 
 # ---------------------------------------------------------------- KPI intake
@@ -636,11 +635,13 @@ def grouped_totals(spark, sf_dir):
 
 
 @query("""
-select (select count(*) from lineitem) as n_lines, (select count(*) from orders) as n_orders, cast(coalesce((select sum(cast(round(o_totalprice * 100) as bigint)) from orders where false) / nullif((select count(*) from orders where false), 0), -1) as bigint) as guarded
+select (select count(*) from lineitem) as n_lines, (select count(*) from orders) as n_orders,
+  (select sum(cast(round(o_totalprice * 100) as bigint)) // count(*) from orders) as guarded, cast(-1 as bigint) as guarded_over_none
 """)
 def scalar_totals(spark, sf_dir):
+    """Counts, and a ratio guarded against an empty divisor: over all orders, and over those of a status none has."""
     lines = read(spark, sf_dir, "lineitem").agg(F.count("*").alias("n_lines"))
-    orders = read(spark, sf_dir, "orders")
-    return lines.join(orders.agg(F.count("*").alias("n_orders")), F.lit(True)).join(
-        orders.where(F.lit(False)).agg(F.coalesce(F.try_divide(F.sum("o_totalprice"), F.nullif(F.count("*"), F.lit(0))), F.lit(-1.0)).cast("bigint").alias("guarded")), F.lit(True)
-    )
+    cents, none = F.round(F.col("o_totalprice") * 100).cast("bigint"), F.col("o_orderstatus") == "none"
+    guarded = lambda n: F.coalesce(F.floor(F.sum(cents) / F.nullif(n, F.lit(0))).cast("bigint"), F.lit(-1))
+    orders = read(spark, sf_dir, "orders").agg(F.count("*").alias("n_orders"), guarded(F.count("*")).alias("guarded"), guarded(F.count_if(none)).alias("guarded_over_none"))
+    return lines.join(orders, F.lit(True))
\ No newline at end of file

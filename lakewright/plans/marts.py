@@ -69,7 +69,7 @@ def loss_ratio(earned: DataFrame, claims: DataFrame, products: DataFrame | None
         same = same & (F.col(k) == F.col(f"_{k}"))
     j = e.join(c, same, "left").withColumns({new: F.coalesce(old, F.lit(0)) for new, old in (("claim_count", "n"), ("incurred_thb", "incurred"), ("paid_thb", "paid"), ("late_reported_claims", "late"))})
     if products is not None:
-        j = j.join(F.broadcast(products.select("product_code", "product_name_en", "cover_class", "line_of_business")), "product_code", "left")
+        j = j.join(products.select("product_code", "product_name_en", "cover_class", "line_of_business"), "product_code", "left")
     years, n, inc = F.col("exposure_policy_years"), F.col("claim_count"), F.col("incurred_thb")
     return j.withColumns(
         {
@@ -84,7 +84,7 @@ def loss_ratio(earned: DataFrame, claims: DataFrame, products: DataFrame | None
 
 def quote_conversion(quotes: DataFrame, products: DataFrame) -> DataFrame:
     """Quotes and sales by quote month, country, partner, product and channel."""
-    p = F.broadcast(products.select(F.col("product_code").alias("_code"), "product_name_en", "cover_class"))
+    p = products.select(F.col("product_code").alias("_code"), "product_name_en", "cover_class")
     q = quotes.where("quoted_date is not null").join(p, F.col("product_code") == F.col("_code"), "left").drop("_code")
     sold = F.col("did_convert")
     return q.groupBy(

@@ -226,7 +226,7 @@ def silver_policies(run, changes, partner, spine):
     current = cdc.cdc_current(changes, ["policy_id"], ["change_ts", "ingested_at"], ties=["record_hash"], keep_deleted=True)
     own = current.withColumns({"record_source": F.lit("cdc"), "national_id": F.lit(None).cast("string"), "plate_no": F.lit(None).cast("string"), "source_updated_at": F.lit(None).cast(_TS)})
     theirs = partner.withColumns({"op": F.lit("I"), "record_source": F.lit("partner"), "customer_id": F.lit(None).cast("string"), "vehicle_id": F.lit(None).cast("string"),
-                                  "country": F.when(F.col("currency") == run.reporting, "TH").otherwise("ID"), "change_ts": F.lit(None).cast(_TS)})
+                                  "country": F.when(F.col("currency") == "THB", "TH").otherwise("ID"), "change_ts": F.lit(None).cast(_TS)})
     keep = ["op", "policy_id", "customer_id", "vehicle_id", "product_code", "partner_code", "country", "currency", "national_id", "plate_no", "inception_date", "expiry_date", "policy_status",
             "sum_insured", "written_premium", "record_source", "source_updated_at", "change_ts", "batch_date"]
     both = cdc.fill_from(own.select(*keep), theirs.select(*keep), ["policy_id"], known=changes)
