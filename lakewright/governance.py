@@ -20,6 +20,10 @@ UNMASKED, UNMASKED_HEALTH = "data_engineers", "restricted_health"
 HEALTH = ("health", "health_condition", "bmi")
 #: Groups and the countries whose rows they see; UNMASKED sees all.
 COUNTRY_GROUPS = {"analysts_th": "TH", "analysts_id": "ID"}
+#: Cleared to read rows of all countries; what is masked stays masked.
+ALL_COUNTRIES = "analysts_global"
+#: Who may use which schemas: all of what analysts share, and what only engineers write.
+GRANTS = {"data_engineers": ("bronze", "silver", "gold", "marts", "observability"), "analysts": ("gold", "marts", "observability"), "restricted_health": ("gold",)}
 
 
 @dataclass(frozen=True, order=True)
@@ -56,7 +60,7 @@ def secure_view(df: DataFrame, pii: Mapping[str, str], groups: Iterable[str], sa
     mine = set(groups)
     free = lambda kind: UNMASKED_HEALTH in mine if kind in HEALTH else UNMASKED in mine
     seen = df.select(*[mask_pii(F.col(c), pii[c], salt).alias(c) if c in pii and not free(pii[c]) else F.col(c) for c in df.columns])
-    if country and country in df.columns and UNMASKED not in mine:
+    if country and country in df.columns and not mine & {UNMASKED, ALL_COUNTRIES}:
         seen = seen.where(F.col(country).isin(*sorted({COUNTRY_GROUPS[g] for g in mine if g in COUNTRY_GROUPS}) or [""]))
     return seen
 
@@ -86,19 +90,25 @@ def render_sql(columns: Sequence[Classified], catalog: str = "main", filtered: S
         group = UNMASKED_HEALTH if k in HEALTH else UNMASKED
         out.append(f"CREATE OR REPLACE FUNCTION {catalog}.governance.mask_{k}(value STRING) RETURNS STRING RETURN CASE WHEN value IS NULL OR is_account_group_member('{group}') THEN value ELSE {_sql_mask(k)} END;")
     out += [f"ALTER TABLE {catalog}.{c.schema}.{c.table} ALTER COLUMN {c.column} SET MASK {catalog}.governance.mask_{c.pii_type};" for c in columns]
-    tests = " OR ".join([f"is_account_group_member('{UNMASKED}')"] + [f"(is_account_group_member('{g}') AND country = '{v}')" for g, v in sorted(COUNTRY_GROUPS.items())])
+    tests = " OR ".join([f"is_account_group_member('{g}')" for g in (UNMASKED, ALL_COUNTRIES)] + [f"(is_account_group_member('{g}') AND country = '{v}')" for g, v in sorted(COUNTRY_GROUPS.items())])
     out.append(f"CREATE OR REPLACE FUNCTION {catalog}.governance.filter_by_country(country STRING) RETURNS BOOLEAN RETURN {tests};")
     out += [f"ALTER TABLE {catalog}.{s}.{t} SET ROW FILTER {catalog}.governance.filter_by_country ON (country);" for s, t in filtered]
-    out += [f"GRANT SELECT ON SCHEMA {catalog}.{s} TO `{g}`;" for s, g in (("gold", "analysts_th"), ("gold", "analysts_id"), ("marts", "analysts_th"), ("marts", "analysts_id"), ("silver", UNMASKED), ("bronze", UNMASKED))]
+    for group, schemas in GRANTS.items():
+        rights = "USE SCHEMA, SELECT, MODIFY, CREATE TABLE" if group == UNMASKED else "USE SCHEMA, SELECT"
+        out.append(f"GRANT USE CATALOG ON CATALOG {catalog} TO `{group}`;")
+        out += [f"GRANT {rights} ON SCHEMA {catalog}.{s} TO `{group}`;" for s in schemas]
     return "\n".join(out) + "\n"
 
 
-def erase(tables: Iterable, column: str, values: Sequence[str]) -> int:
-    """Right to erasure: delete the rows from every table, then drop the versions that still held them."""
+def erase(tables: Iterable, column: str, values: Sequence[str] | DataFrame) -> int:
+    """Right to erasure: delete the rows from every table, then drop the versions that still held
+    them.  values may be a frame with that column; they are joined, so their number is not bounded."""
     done = 0
     for table in tables:
-        if column in table.read().columns:
-            table.delete_where(F.col(column).isin(*values))
+        held = table.read()
+        if column in held.columns:
+            named = values if isinstance(values, DataFrame) else held.sparkSession.createDataFrame([(v,) for v in values], f"`{column}` string")
+            table.delete_keys(named.select(F.col(column).cast(held.schema[column].dataType).alias(column)).distinct())
             table.vacuum(keep=1)
             done += 1
     return done

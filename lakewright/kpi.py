@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from lakewright.sources.tablestore import Table
+
 _MONEY, _COUNT, _RATIO = T.DecimalType(20, 4), T.LongType(), T.DoubleType()
 #: Fields by kind, in the order of a report, with label patterns (English and Spanish).
 FIELDS: dict[str, tuple[T.DataType, str, str]] = {
@@ -126,6 +128,24 @@ def blank_to_null(df: DataFrame) -> DataFrame:
     return df.withColumns({f.name: F.nullif(f.name, F.lit("")) for f in df.schema if isinstance(f.dataType, T.StringType)})
 
 
+def toggled(state: Column) -> Column:
+    """The other of the two states; null for anything else."""
+    return F.when(state == STATES[0], STATES[1]).when(state == STATES[1], STATES[0])
+
+
+def submit(store: Table, reports: DataFrame, state: str = STATES[1]) -> DataFrame:
+    """reports appended to the store in a state, numbered on from its greatest seq; the rows as stored.
+
+    Reports are submitted a few at a time; their order by content gives the numbers.
+    """
+    if state not in STATES:
+        raise ValueError(f"unknown state {state!r}; known: {', '.join(STATES)}")
+    last = store.read().agg(F.max("seq")).first()[0] if store.exists() else None
+    order = Window.orderBy(*[c for c in reports.columns if c not in ("seq", "state")])
+    store.append(reports.drop("seq", "state").withColumns({"state": F.lit(state), "seq": F.lit(last or 0).cast("long") + F.row_number().over(order)}))
+    return store.read().where(F.col("seq") > F.lit(last or 0))
+
+
 def latest_draft(reports: DataFrame, keys: Sequence[str], fields: Sequence[str], seq: str = "seq", state: str = "state") -> DataFrame:
     """Per key the newest report; its fields only if it is a draft, else null."""
     newest = reports.groupBy(*keys).agg(F.max_by(F.struct(state, *fields), F.col(seq)).alias("_r"), F.max(seq).alias(seq))

@@ -14,13 +14,14 @@ import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakewright.operators.dedupe import record_hash
-from lakewright.sources.registry import Registry, Source, expand_braces, load
+from lakewright.sources.registry import Registry, Source, declarations, expand_braces, in_sync, load
 from lakewright.sources.tablestore import Table
 
 METADATA = ("_ingested_at", "_source_file", "_batch_id", "_record_hash", "_source_name", "_batch_date")
@@ -63,6 +64,17 @@ def files_of(spark: SparkSession, source: Source, landing: str) -> DataFrame:
     return spark.createDataFrame(sorted(there), "file_path string, file_size long, file_modified_at timestamp")
 
 
+def _first_line(spark: SparkSession, path: str) -> str:
+    """The first line of a file, from whatever store, without reading on."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(where)
+    try:
+        return jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8")).readLine() or ""
+    finally:
+        stream.close()
+
+
 def _read(spark: SparkSession, source: Source, paths: Sequence[str]) -> DataFrame:
     """All columns as strings.  CSV files are read per header, as one header rules a read."""
     meta = F.col("_metadata.file_path").alias("_source_file")
@@ -76,8 +88,8 @@ def _read(spark: SparkSession, source: Source, paths: Sequence[str]) -> DataFram
         parsed = lines.withColumn("r", F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}))
         return parsed.where(F.trim("value") != "").select("r.*", "_source_file")
     by_header: dict[str, list[str]] = {}
-    for r in spark.read.text(list(paths)).select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), "value").where("b = 0").groupBy("f").agg(F.first("value").alias("h")).collect():
-        by_header.setdefault(r["h"], []).append(r["f"])
+    for path in paths:
+        by_header.setdefault(_first_line(spark, path), []).append(path)
     frames = []
     for header, group in sorted(by_header.items()):
         names = [n.strip().strip('"') for n in header.lstrip("﻿").split(options.get("sep", ","))]
@@ -96,6 +108,11 @@ def decorate(df: DataFrame, source: str, batch: str, pattern: str, now: dt.datet
     )
 
 
+def _bare(path: str) -> str:
+    """A path without scheme and leading slashes, which readers write in several ways."""
+    return path.split(":", 1)[-1].lstrip("/")
+
+
 class Bronze:
     """The landing tables under one folder, with their manifest and schema audit."""
 
@@ -144,7 +161,7 @@ class Bronze:
             refused = 0 if bad.isEmpty() else rejects.append(bad).metrics["rows_added"]
             refuse = F.col("_quarantine_reason").isNotNull()
             counted = marked.groupBy("_source_file").agg(F.count_if(~refuse).alias("n"), F.count_if(refuse).alias("q")).collect()
-            per_file = {r["_source_file"]: (r["n"], r["q"]) for r in counted}
+            per_file = {_bare(r["_source_file"]): (r["n"], r["q"]) for r in counted}
         finally:
             marked.unpersist()
         if added or removed:
@@ -152,7 +169,7 @@ class Bronze:
         day = re.compile(self.registry.batch_date_from_path)
         entries = []
         for f in files:
-            n, q = next((v for k, v in per_file.items() if k.split(":", 1)[-1].lstrip("/") == f["file_path"].split(":", 1)[-1].lstrip("/")), (0, 0))
+            n, q = per_file.get(_bare(f["file_path"]), (0, 0))
             m = day.search(f["file_path"])
             entries.append((name, f["file_path"], f["file_size"], f["file_modified_at"], batch, dt.date.fromisoformat(m[1]) if m else None, n, q, now, "INGESTED"))
         self._log(self.manifest, entries, MANIFEST)
@@ -162,13 +179,32 @@ class Bronze:
         batch = batch or batch_id()
         return [self.ingest(s.name, batch) for s in self.registry.sources if not only or s.name in only]
 
+    def assert_reachable(self) -> None:
+        """Raises unless something has landed under the configured folder."""
+        if not self.manifest.exists():
+            raise RuntimeError(f"nothing has landed under {self.registry.bronze!r}: land the sources first, or set LAKEHOUSE_BRONZE or defaults.bronze to the folder they landed in")
+
     def read(self, name: str) -> DataFrame:
-        """A landing table; without any landed file yet, an empty frame of the metadata columns."""
+        """A landing table.  A source of which no file came yet is an empty frame of the metadata
+        columns; if nothing landed at all, or the name is not declared, it raises."""
+        self.assert_reachable()
+        self.registry[name.removesuffix("__quarantine")]
         table = self.table(name)
         if table.exists():
             return table.read()
         return self.spark.createDataFrame([], "_ingested_at timestamp, _source_file string, _batch_id string, _record_hash string, _source_name string, _batch_date date")
 
+    def register(self, database: str = "bronze") -> list[str]:
+        """Catalog entries for all landed tables."""
+        landed = [n for s in self.registry.sources for n in (s.name, f"{s.name}__quarantine") if self.table(n).exists()]
+        return [self.table(n).register(database, n) for n in landed]
+
+    def quarantine_reasons(self) -> DataFrame:
+        """Refused rows per source and reason."""
+        refused = [(s.name, self.table(f"{s.name}__quarantine")) for s in self.registry.sources]
+        counts = [t.read().groupBy(F.lit(n).alias("source_name"), F.col("_quarantine_reason").alias("reason")).agg(F.count("*").alias("rows")) for n, t in refused if t.exists()]
+        return reduce(DataFrame.unionByName, counts) if counts else self.spark.createDataFrame([], "source_name string, reason string, rows long")
+
     def inspect(self) -> DataFrame:
         """Rows landed and refused per source and batch."""
         return self.manifest.read().groupBy("source_name", "batch_id").agg(F.count("*").alias("files"), F.sum("row_count").alias("rows"), F.sum("quarantined_count").alias("quarantined"))
@@ -180,12 +216,21 @@ def main(args: list[str] | None = None) -> int:
     parser.add_argument("--source", action="append", help="land only this source (may be repeated)")
     parser.add_argument("--batch-id")
     parser.add_argument("--list-sources", action="store_true")
+    parser.add_argument("--declarations", metavar="FILE", help="write source declarations, or with --check say whether FILE is in sync")
+    parser.add_argument("--check", action="store_true")
     given = parser.parse_args(args)
     registry = load(given.config)
     if given.list_sources:
         for s in registry.sources:
             print(f"{s.name}\t{s.format}\t{s.path}")
         return 0
+    if given.declarations:
+        if given.check:
+            same = in_sync(given.declarations, registry)
+            print("in sync" if same else f"{given.declarations} differs from {given.config}")
+            return int(not same)
+        Path(given.declarations).write_text(declarations(registry), encoding="utf-8")
+        return 0
     from lakewright.session import build_session
 
     for r in Bronze(build_session(), registry).ingest_all(given.source, given.batch_id):

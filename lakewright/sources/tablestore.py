@@ -1,7 +1,9 @@
 """A versioned table store on Parquet.
 
-A table is a folder: ``_log/<version>.json`` lists the data folders of a version, and data
-folders are written once and never changed.  A commit creates the next log file
+A table is a folder: ``_log/<version>.json`` lists the data folders of a version (for a
+partitioned table, the partitions of each write), and data folders are written once and
+never changed.  Merges and deletes write anew only the folders that hold a row they touch;
+the others stay listed as they are.  A commit creates the next log file
 exclusively, so of two writers one fails and no reader sees half a write.  All access
 goes through Hadoop's file system, so any store Spark can write will do; creation without
 overwriting must be atomic there, as it is on HDFS and local disks.
@@ -14,6 +16,7 @@ import json
 import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +39,9 @@ class Version:
     metrics: dict
     #: Schema (JSON) of each data folder, so that reading asks no footers.
     schemas: dict[str, str]
+    #: Schema (JSON) of the table, and its partition columns.
+    schema: str
+    partition_by: tuple[str, ...]
 
 
 class Table:
@@ -68,15 +74,15 @@ class Table:
             d = json.loads(self._io.toString(stream, "UTF-8"))
         finally:
             stream.close()
-        return Version(number, d["timestamp"], d["operation"], tuple(d["files"]), d["metrics"], d["schemas"])
+        return Version(number, d["timestamp"], d["operation"], tuple(d["files"]), d["metrics"], d["schemas"], d["schema"], tuple(d["partition_by"]))
 
     def history(self) -> DataFrame:
         """version, timestamp, operation and metrics (JSON), newest first."""
         rows = [(v.number, v.timestamp, v.operation, json.dumps(v.metrics, sort_keys=True)) for v in map(self.version, reversed(self.versions()))]
         return self.spark.createDataFrame(rows, "version int, timestamp string, operation string, metrics string")
 
-    def _commit(self, base: int, operation: str, files: dict[str, str], metrics: dict) -> Version:
-        entry = {"timestamp": dt.datetime.now(dt.UTC).isoformat(), "operation": operation, "files": list(files), "metrics": metrics, "schemas": files}
+    def _commit(self, base: int, operation: str, files: dict[str, str], metrics: dict, schema: T.StructType, partition_by: Sequence[str]) -> Version:
+        entry = {"timestamp": dt.datetime.now(dt.UTC).isoformat(), "operation": operation, "files": list(files), "metrics": metrics, "schemas": files, "schema": schema.json(), "partition_by": list(partition_by)}
         try:
             out = self._fs.create(self._Path(f"{self.path}/_log/{base + 1:08d}.json"), False)
         except Exception as e:
@@ -88,67 +94,159 @@ class Table:
         return self.version(base + 1)
 
     def _write(self, df: DataFrame, partition_by: Sequence[str] = ()) -> dict[str, str]:
-        name = f"data/{uuid.uuid4().hex}"
+        """The data folders written, one for each partition, with their schema."""
+        name = f"data/_commit=c{uuid.uuid4().hex}"
         writer = df.write.mode("errorifexists")
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{self.path}/{name}")
-        return {name: df.schema.json()}
+        return dict.fromkeys(self._leaves(name, len(partition_by)), df.schema.json())
+
+    def _leaves(self, name: str, depth: int) -> list[str]:
+        """The folders `depth` levels below a data folder."""
+        names = [name]
+        for _ in range(depth):
+            names = [f"{n}/{s.getPath().getName()}" for n in names for s in self._fs.listStatus(self._Path(f"{self.path}/{n}")) if s.isDirectory()]
+        return sorted(names)
 
     # ------------------------------------------------------------ reading
 
     def read(self, version: int | None = None) -> DataFrame:
         """The newest or the given version; columns added over time are null where they were not yet."""
         v = self.version(version)
-        frames = [self._folder(f, v.schemas[f]) for f in v.files]
-        out = frames[0]
-        for f in frames[1:]:
-            out = out.unionByName(f, allowMissingColumns=True)
-        return out
-
-    def _folder(self, name: str, schema: str) -> DataFrame:
-        return self.spark.read.schema(T.StructType.fromJson(json.loads(schema))).parquet(f"{self.path}/{name}")
+        return self._folders(v.schemas, T.StructType.fromJson(json.loads(v.schema)))
+
+    def _folders(self, files: dict[str, str], schema: T.StructType) -> DataFrame:
+        """The rows of some folders: one scan for each schema, however many folders have it."""
+        by_schema: dict[str, list[str]] = {}
+        for name, kind in files.items():
+            by_schema.setdefault(kind, []).append(f"{self.path}/{name}")
+        out = self.spark.createDataFrame([], schema) if not by_schema else None
+        for kind, paths in by_schema.items():
+            had = T.StructType.fromJson(json.loads(kind))
+            part = self.spark.read.schema(had).option("basePath", f"{self.path}/data").parquet(*paths).select(*[F.col(f"`{c}`") for c in had.names])
+            out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+        return out.select(*[F.col(f"`{c}`") for c in schema.names])
+
+    def _folders_of(self, found: DataFrame, v: Version) -> list[str]:
+        """The data folders of v that the rows of found (column _file) come from."""
+        uri, path = self.spark.sparkContext._jvm.java.net.URI, self._Path
+        start = f"{path(self.path).toUri().getPath()}/"
+        there = {path(uri(r["_file"])).getParent().toUri().getPath().split(start, 1)[-1] for r in found.select("_file").distinct().collect()}
+        return [f for f in v.files if f in there]
 
     # ------------------------------------------------------------ writing
 
-    def _rows(self, written: dict[str, str]) -> int:
-        return sum(self._folder(name, schema).count() for name, schema in written.items())
+    def _rows(self, written: dict[str, str], schema: T.StructType) -> int:
+        return self._folders(written, schema).count()
 
     def append(self, df: DataFrame, partition_by: Sequence[str] = ()) -> Version:
         known = self.versions()
-        held = self.version().schemas if known else {}
-        new = self._write(df, partition_by)
-        return self._commit(known[-1] if known else -1, "APPEND", held | new, {"rows_added": self._rows(new)})
-
-    def overwrite(self, df: DataFrame, operation: str = "OVERWRITE", partition_by: Sequence[str] = (), metrics: dict | None = None) -> Version:
+        v = self.version() if known else None
+        by = v.partition_by if v else tuple(partition_by)
+        by = tuple(c for c in by if c in df.columns)
+        schema = _widened(T.StructType.fromJson(json.loads(v.schema)), df.schema) if v else df.schema
+        new = self._write(df, by)
+        return self._commit(known[-1] if known else -1, "APPEND", (v.schemas if v else {}) | new, {"rows_added": self._rows(new, df.schema)}, schema, v.partition_by if v else by)
+
+    def overwrite(self, df: DataFrame, operation: str = "OVERWRITE", partition_by: Sequence[str] | None = None, metrics: dict | None = None) -> Version:
+        """df as the whole table, partitioned as before unless told otherwise."""
         known = self.versions()
-        new = self._write(df, partition_by)
-        return self._commit(known[-1] if known else -1, operation, new, (metrics or {}) | {"rows": self._rows(new)})
+        by = tuple(partition_by) if partition_by is not None else tuple(c for c in self.version().partition_by if c in df.columns) if known else ()
+        new = self._write(df, by)
+        return self._commit(known[-1] if known else -1, operation, new, (metrics or {}) | {"rows": self._rows(new, df.schema)}, df.schema, by)
+
+    def _replace(self, v: Version, operation: str, touched: Sequence[str], rows: DataFrame) -> Version:
+        """v with the rows in place of the touched folders."""
+        new = self._write(rows, v.partition_by)
+        kept = {f: k for f, k in v.schemas.items() if f not in set(touched)}
+        schema = _widened(T.StructType.fromJson(json.loads(v.schema)), rows.schema)
+        return self._commit(v.number, operation, kept | new, {"rows_written": self._rows(new, rows.schema), "folders_kept": len(kept), "folders_replaced": len(touched)}, schema, v.partition_by)
+
+    def _with_file(self, v: Version) -> DataFrame:
+        return self._marked(v.schemas, T.StructType.fromJson(json.loads(v.schema)))
+
+    def _marked(self, files: dict[str, str], schema: T.StructType) -> DataFrame:
+        out = None
+        for kind in dict.fromkeys(files.values()):
+            had = T.StructType.fromJson(json.loads(kind))
+            paths = [f"{self.path}/{n}" for n, k in files.items() if k == kind]
+            part = self.spark.read.schema(had).option("basePath", f"{self.path}/data").parquet(*paths)
+            part = part.select(*[F.col(f"`{c}`") for c in had.names], F.col("_metadata.file_path").alias("_file"))
+            out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+        return out if out is not None else self.spark.createDataFrame([], schema).withColumn("_file", F.lit(""))
 
     def merge(self, source: DataFrame, keys: Sequence[str], deleted: Column | None = None) -> Version:
-        """Upsert by key; see `merge_upsert`.  On a new table it is the first write."""
-        if self.exists():
-            return self.overwrite(merge_upsert(self.read(), source, keys, deleted), "MERGE")
-        return self.overwrite(source if deleted is None else source.where(~F.coalesce(deleted, F.lit(False))), "MERGE")
+        """Upsert by key; see `merge_upsert`.  On a new table it is the first write.
+
+        Only folders that hold a key of source are written anew; its new rows go with them.
+        """
+        if not self.exists():
+            return self.overwrite(source if deleted is None else source.where(~F.coalesce(deleted, F.lit(False))), "MERGE")
+        v = self.version()
+        touched = self._folders_of(self._with_file(v).join(source.select(*keys), list(keys), "left_semi"), v)
+        held = self._folders({f: v.schemas[f] for f in touched}, T.StructType.fromJson(json.loads(v.schema)))
+        return self._replace(v, "MERGE", touched, merge_upsert(held, source, keys, deleted))
 
     def snapshot(self, source: DataFrame, keys: Sequence[str], check: Sequence[str], at: dt.datetime | dt.date) -> Version:
-        """SCD2 history of source; see `scd2_apply`."""
+        """SCD2 history of source; see `scd2_apply`.  Folders of closed versions alone stay."""
         if self.exists():
-            return self.overwrite(scd2_apply(self.read(), source, keys, check, at), "SNAPSHOT")
+            v = self.version()
+            schema = T.StructType.fromJson(json.loads(v.schema))
+            touched = self._folders_of(self._with_file(v).where("valid_to is null"), v)
+            return self._replace(v, "SNAPSHOT", touched, scd2_apply(self._folders({f: v.schemas[f] for f in touched}, schema), source, keys, check, at))
         kind = "date" if not isinstance(at, dt.datetime) else "timestamp"
         return self.overwrite(source.withColumns({"valid_from": F.lit(at).cast(kind), "valid_to": F.lit(None).cast(kind)}), "SNAPSHOT")
 
     def delete_where(self, condition: Column) -> Version:
         """Rows for which the condition holds go; earlier versions keep them until vacuum."""
-        return self.overwrite(self.read().where(~F.coalesce(condition, F.lit(False))), "DELETE")
+        return self._delete(lambda df: df.where(F.coalesce(condition, F.lit(False))), lambda df: df.where(~F.coalesce(condition, F.lit(False))))
+
+    def delete_keys(self, keys: DataFrame) -> Version:
+        """Rows that agree with a row of keys in all of its columns go."""
+        return self._delete(lambda df: df.join(keys, keys.columns, "left_semi"), lambda df: df.join(keys, keys.columns, "left_anti"))
+
+    def _delete(self, hit: Callable[[DataFrame], DataFrame], rest: Callable[[DataFrame], DataFrame]) -> Version:
+        v = self.version()
+        touched = self._folders_of(hit(self._with_file(v)), v)
+        held = self._folders({f: v.schemas[f] for f in touched}, T.StructType.fromJson(json.loads(v.schema)))
+        return self._replace(v, "DELETE", touched, rest(held))
+
+    def register(self, database: str, name: str) -> str:
+        """A catalog entry of the newest version, as an external table over its folders' files
+        if it is one plain folder, else as a view of them; gives the entry's name."""
+        v, full = self.version(), f"`{database}`.`{name}`"
+        self.spark.sql(f"create database if not exists `{database}`")
+        self.spark.sql(f"drop view if exists {full}") if self._is_view(database, name) else self.spark.sql(f"drop table if exists {full}")
+        if len(v.files) == 1 and not v.partition_by:
+            self.spark.catalog.createTable(f"{database}.{name}", path=f"{self.path}/{v.files[0]}", source="parquet")
+            return full
+        columns = ", ".join(f"`{c}`" for c in json_names(v.schema))
+        scans = [f"select {', '.join(f'`{c}`' if c in json_names(v.schemas[f]) else f'null as `{c}`' for c in json_names(v.schema))} from {self._partition(database, f, v)}" for f in v.files]
+        self.spark.sql(f"create view {full} as select {columns} from ({' union all '.join(scans)})")
+        return full
+
+    def _is_view(self, database: str, name: str) -> bool:
+        return any(t.name == name.lower() and t.tableType == "VIEW" for t in self.spark.catalog.listTables(database))
+
+    def _partition(self, database: str, file: str, v: Version) -> str:
+        """A folder in SQL, with its partition values as columns."""
+        values = dict(x.split("=", 1) for x in file.split("/")[2:])
+        kinds = {f.name: f.dataType.simpleString() for f in T.StructType.fromJson(json.loads(v.schemas[file])).fields}
+        literal = lambda c: "null" if values[c] == "__HIVE_DEFAULT_PARTITION__" else f"cast('{unquote(values[c])}' as {kinds[c]})"
+        extra = "".join(f", {literal(c)} as `{c}`" for c in values)
+        return f"(select *{extra} from parquet.`{self.path}/{file}`)"
 
     # ------------------------------------------------------------ maintenance
 
-    def optimize(self, files: int = 1, zorder: Sequence[str] = ()) -> Version:
-        """Fewer, larger files; with zorder, rows near in those columns are near in the files."""
-        df = self.read()
+    def optimize(self, files: int | None = None, zorder: Sequence[str] = (), file_bytes: int = 128 << 20) -> Version:
+        """Fewer, larger files, about file_bytes each unless their number is given; with zorder,
+        rows near in those columns are near in the files."""
+        v, df = self.version(), self.read()
+        held = sum(self._fs.getContentSummary(self._Path(f"{self.path}/{f}")).getLength() for f in v.files)
+        files = files or max(1, -(-held // file_bytes))
         if zorder:
-            df = df.withColumn("_z", z_value(df, zorder)).repartitionByRange(files, "_z").sortWithinPartitions("_z").drop("_z")
+            df = df.withColumn("_z", z_value(df, zorder)).repartitionByRange(files, *v.partition_by, "_z").sortWithinPartitions("_z").drop("_z")
         else:
-            df = df.coalesce(files)
+            df = df.repartition(files, *v.partition_by) if v.partition_by else df.coalesce(files) if files > 1 else df.repartition(1)
         return self.overwrite(df, "OPTIMIZE", metrics={"zorder": list(zorder), "files": files})
 
     def vacuum(self, keep: int = 1) -> list[str]:
@@ -158,36 +256,59 @@ class Table:
         """
         known = self.versions()
         kept = known[-max(1, keep) :]
-        live = {f for n in kept for f in self.version(n).files}
+        live = {f: len(v.partition_by) for n in kept for v in (self.version(n),) for f in v.files}
         folder = self._Path(f"{self.path}/data")
         gone = []
         for s in self._fs.listStatus(folder) if self._fs.exists(folder) else []:
             name = f"data/{s.getPath().getName()}"
-            if name not in live:
-                self._fs.delete(s.getPath(), True)
-                gone.append(name)
+            within = [f for f in live if f == name or f.startswith(f"{name}/")]
+            depth = max((f.count("/") - 1 for f in within), default=0)
+            for leaf in self._leaves(name, depth) if within else [name]:
+                if leaf not in live:
+                    self._fs.delete(self._Path(f"{self.path}/{leaf}"), True)
+                    gone.append(leaf)
         for n in known:
             if n not in kept:
                 self._fs.delete(self._Path(f"{self.path}/_log/{n:08d}.json"), False)
         return sorted(gone)
 
 
-def z_value(df: DataFrame, columns: Sequence[str], bits: int = 16) -> Column:
-    """Interleaved bits of the columns' ranks in approximate quantiles."""
-    spread = []
-    for c in columns:
-        code = F.xxhash64(c) if dict(df.dtypes)[c] in ("string", "binary") else F.col(c).cast("double")
-        lo, hi = df.agg(F.min(code), F.max(code)).first()
-        width = float(hi - lo) if lo is not None and hi != lo else 1.0
-        spread.append(F.coalesce(((code - F.lit(lo or 0)) / F.lit(width) * ((1 << bits) - 1)).cast("long"), F.lit(0)))
+def json_names(schema: str) -> list[str]:
+    return T.StructType.fromJson(json.loads(schema)).names
+
+
+def _widened(old: T.StructType, new: T.StructType) -> T.StructType:
+    """old with the columns that only new has."""
+    return T.StructType([*old.fields, *(f for f in new.fields if f.name not in old.names)])
+
+
+def z_value(df: DataFrame, columns: Sequence[str], bits: int = 8) -> Column:
+    """Interleaved bits of the columns' ranks among approximate quantiles; text ranks by its first
+    six bytes, null ranks first."""
+    kinds = dict(df.dtypes)
+
+    def number(c: str) -> Column:
+        if kinds[c] in ("string", "binary"):
+            return F.conv(F.rpad(F.hex(F.substring(F.col(c).cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
+        return F.unix_timestamp(c).cast("double") if kinds[c] in ("date", "timestamp") else F.col(c).cast("double")
+
+    bits = min(bits, 62 // max(1, len(columns)))
+    shares = [i / (1 << bits) for i in range(1, 1 << bits)]
+    cuts = df.agg(*[F.percentile_approx(number(c), shares, 4 << bits).alias(f"q{i}") for i, c in enumerate(columns)]).first()
     out: Column = F.lit(0).cast("long")
-    bits = min(bits, 62 // len(spread))
-    for b in range(bits):
-        for i, c in enumerate(spread):
-            out = out.bitwiseOR(F.shiftleft(F.shiftright(c, 16 - bits + b).bitwiseAND(F.lit(1).cast("long")), b * len(spread) + i))
+    for i, c in enumerate(columns):
+        rank = _rank(number(c), list(cuts[i] or [0.0] * len(shares)), bits)
+        for b in range(bits):
+            out = out.bitwiseOR(F.shiftleft(F.shiftright(rank, b).bitwiseAND(F.lit(1).cast("long")), b * len(columns) + i))
     return out
 
 
+def _rank(value: Column, edges: list[float], bits: int) -> Column:
+    """How many of 2**bits - 1 sorted edges lie at or below the value, by binary search; 0 for null."""
+    steps, all_edges = F.lit([1 << i for i in range(bits - 1, -1, -1)]), F.lit(edges)
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(all_edges, at + step - 1) <= value, at + step).otherwise(at)).cast("long")
+
+
 @dataclass(frozen=True)
 class Probe:
     """What came of trying one maintenance operation."""

@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from lakewright import governance, observability, quality
+from lakewright import governance, observability, proof, quality
 from lakewright.datagen import START, Universe, registry_yaml
 from lakewright.plans import models
 from lakewright.sources import registry
@@ -109,10 +109,13 @@ def test_gold_has_no_raw_personal_data(world):
 def test_governance(world):
     columns = governance.collect(world["reg"])
     sql = governance.render_sql(columns, filtered=[("silver", "silver_policies")])
-    assert sql.count("SET MASK") == len(columns) > 15 and "filter_by_country" in sql
+    assert sql.count("SET MASK") == len(columns) > 15 and "filter_by_country" in sql and "is_account_group_member('analysts_global')" in sql
+    assert "ON SCHEMA main.observability TO `analysts`" in sql and "USE CATALOG ON CATALOG main TO `restricted_health`" in sql and "silver TO `analysts`" not in sql
     rows = world["ctx"].table("silver_policies").read()
     seen = governance.secure_view(rows, {"national_id": "national_id"}, ["analysts_id"])
     assert {r[0] for r in seen.select("country").distinct().collect()} == {"ID"}
+    both = governance.secure_view(rows, {"national_id": "national_id"}, ["analysts_global"])
+    assert {r[0] for r in both.select("country").distinct().collect()} == {"ID", "TH"} and both.where("length(national_id) <> 64").isEmpty()
     assert governance.secure_view(rows, {}, []).isEmpty() and governance.secure_view(rows, {}, ["data_engineers"]).count() == rows.count()
 
 
@@ -147,7 +150,100 @@ def test_exact_quarantine_boundary(spark, tmp_path):
 
 def test_registry_rejects():
     base = {"name": "a", "description": "d", "format": "csv", "path": "p"}
-    for bad, says in (([base | {"format": "parquet"}], "unsupported format"), ([base, base], "duplicate source name"), ([{"name": "a"}], "lacks"), ([], "no sources")):
+    cases = (([base | {"format": "parquet"}], "format: 'parquet' is not one of"), ([base, base], "used twice"), ([{"name": "a"}], "path: missing"), ([], "no sources"), ([base | {"colour": 1}], "colour: unknown"),
+             ([base | {"primary_key": "id"}], "a list of names"), ([{"name": "a"}, base | {"name": "b", "format": "x"}], "(?s)source 1. a: .*source 2. b: "))
+    for bad, says in cases:
         with pytest.raises(ValueError, match=says):
             registry.parse({"sources": bad})
-    assert registry.expand_braces("a/{x,y}/b") == ["a/x/b", "a/y/b"] and len(registry.expand_braces("{a,b}/{c,d}")) == 4 and registry.expand_braces("p") == ["p"]
+
+
+def test_brace_patterns():
+    assert registry.expand_braces("a/{x,y}/b") == ["a/x/b", "a/y/b"] and registry.expand_braces("p") == ["p"]
+    assert sorted(registry.expand_braces("{a, b}/{c,d}")) == ["a/c", "a/d", "b/c", "b/d"]
+    assert sorted(registry.expand_braces("a/{x,{y,z}}")) == ["a/x", "a/y", "a/z"] and sorted(registry.expand_braces("{p{1,2},q}.csv")) == ["p1.csv", "p2.csv", "q.csv"]
+
+
+def test_declarations_stay_in_sync(world, tmp_path):
+    f = tmp_path / "sources.yml"
+    assert not registry.in_sync(f, world["reg"])
+    f.write_text(registry.declarations(world["reg"]), encoding="utf-8")
+    assert registry.in_sync(f, world["reg"])
+    f.write_text(f.read_text().replace("partner_policies_a", "partner_policies_z"))
+    assert not registry.in_sync(f, world["reg"])
+
+
+def test_unreachable_landing_folder_raises(spark, world, tmp_path):
+    import dataclasses
+
+    nowhere = Bronze(spark, dataclasses.replace(world["reg"], bronze=str(tmp_path / "nowhere")))
+    with pytest.raises(RuntimeError, match="nothing has landed"):
+        nowhere.read("cdc_policies")
+    with pytest.raises(KeyError):
+        world["bronze"].read("no_such_source")
+
+
+def test_quarantine_reasons_and_manifest_rollup(world):
+    reasons = {(r["source_name"], r["reason"]): r["rows"] for r in world["bronze"].quarantine_reasons().collect()}
+    assert reasons and set(k for _, k in reasons) <= {"unparseable_record", "missing_primary_key"}
+    rolled = world["bronze"].inspect().agg(F.sum("quarantined"), F.sum("rows")).first()
+    assert rolled[0] == sum(reasons.values()) and rolled[1] == sum(world["bronze"].read(s.name).count() for s in world["reg"].sources)
+
+
+def test_landed_tables_in_the_catalog(spark, world):
+    names = world["bronze"].register("landed_test")
+    try:
+        assert "`landed_test`.`partner_policies_a`" in names
+        for n in ("partner_policies_a", "events_claims"):
+            assert spark.table(f"landed_test.{n}").count() == world["bronze"].read(n).count()
+            assert set(spark.table(f"landed_test.{n}").columns) == set(world["bronze"].read(n).columns)
+        assert world["bronze"].register("landed_test") == names
+    finally:
+        spark.sql("drop database landed_test cascade")
+
+
+def test_proof(world):
+    told = {p.name: p for p in proof.prove(world["ctx"], world["bronze"])}
+    assert len(told) == 10
+    must = [n for n in told if "look-back" not in n and "check digit" not in n and "late claims" not in n and "another batch" not in n]
+    assert all(told[n].passed for n in must), [told[n] for n in must if not told[n].passed]
+    assert "loss_ratio" in proof.business_answers(world["ctx"]).columns
+
+
+def test_merge_leaves_other_partitions_alone(spark, tmp_path):
+    t = Table(spark, str(tmp_path / "p"))
+    day = F.when(F.col("id") < 10, "2026-01-01").when(F.col("id") < 20, "a b/c:d").otherwise(F.lit(None))
+    t.append(spark.range(30).select("id", F.lit("old").alias("v"), day.alias("dt")), ["dt"])
+    was = set(t.version().files)
+    assert len(was) == 3
+    t.merge(spark.createDataFrame([(3, "new", "2026-01-01"), (99, "new", "2026-02-01")], "id long, v string, dt string"), ["id"])
+    now = t.version()
+    kept = was & set(now.files)
+    assert len(kept) == 2 and not any("2026-01-01" in f for f in kept) and now.metrics["folders_replaced"] == 1
+    assert t.read().count() == 31 and t.read().where("v = 'new'").count() == 2 and t.read(0).count() == 30
+    # A key that moves to another partition leaves the one it was in.
+    t.merge(spark.createDataFrame([(15, "moved", "2026-01-01")], "id long, v string, dt string"), ["id"])
+    assert [(r["v"], r["dt"]) for r in t.read().where("id = 15").collect()] == [("moved", "2026-01-01")]
+    t.delete_where(F.col("dt").isNull())
+    assert t.read().count() == 21 and any(f in kept for f in t.version().files) is False or t.read().where("dt is null").isEmpty()
+    t.optimize(files=2, zorder=["v"])
+    assert t.read().count() == 21 and t.version().partition_by == ("dt",)
+    t.vacuum()
+    assert t.read().count() == 21 and sorted(t.read().columns) == ["dt", "id", "v"]
+
+
+def test_many_appends_are_one_scan(spark, tmp_path):
+    t = Table(spark, str(tmp_path / "m"))
+    for i in range(6):
+        t.append(spark.range(i, i + 1))
+    plan = t.read()._jdf.queryExecution().toString()
+    assert t.read().count() == 6 and plan.split("== Physical Plan ==")[1].count("FileScan parquet") == 1
+
+
+def test_zorder_brings_text_and_numbers_together(spark, tmp_path):
+    t = Table(spark, str(tmp_path / "z"))
+    rows = spark.range(2000).select((F.col("id") * 7919 % 2000).alias("n"), F.concat(F.lit("k"), F.lpad((F.col("id") * 31 % 2000).cast("string"), 4, "0")).alias("s"), F.when(F.col("id") % 5 > 0, F.lit(-(1 << 63))).otherwise(F.lit((1 << 63) - 1)).alias("far"))
+    t.append(rows.repartition(8))
+    t.optimize(files=8, zorder=["n", "s", "far"])
+    spread = t.read().groupBy(F.col("_metadata.file_path") if False else F.input_file_name()).agg((F.max("n") - F.min("n")).alias("n"), (F.max(F.substring("s", 2, 4).cast("int")) - F.min(F.substring("s", 2, 4).cast("int"))).alias("s")).collect()
+    assert t.read().count() == 2000 and len(spread) >= 6
+    assert sum(r["n"] for r in spread) / len(spread) < 1500 and sum(r["s"] for r in spread) / len(spread) < 1500
