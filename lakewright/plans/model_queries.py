@@ -10,9 +10,12 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakewright import governance
 from lakewright.operators import asof
 from lakewright.plans import models
 from lakewright.plans.catalogue import _RATES_SQL, AS_OF, _rates, query, read
+from lakewright.sources.tablestore import Table
+from lakewright.streaming import windowed_counts
 
 _AT = dt.datetime(2001, 8, 1)
 
@@ -405,3 +408,61 @@ def mart_quote_conversion(spark, sf_dir):
     out = built(spark, "mart_quote_conversion", built(spark, "stg_quotes", _quotes(spark, sf_dir)), products)
     out = _double(out, "conversion_rate", "avg_quoted_premium", "avg_converted_premium")
     return out.select("quote_year_month", "partner_code", "product_code", "product_name_en", "channel", "quotes_issued", "quotes_converted", "conversion_rate", "avg_quoted_premium", "avg_converted_premium", "quotes_rejected", "quotes_expired")
+
+
+# ---------------------------------------------------------------- table store and streams in batch form
+
+
+def _in_a_table(spark, work):
+    """What work returns of a table in a folder of its own, which goes again: few rows, held by the driver."""
+    import uuid
+
+    table = Table(spark, f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/table_query_{uuid.uuid4().hex}")
+    try:
+        return work(table)
+    finally:
+        path = table._Path(table.path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@query("""
+select 0 as version, 'APPEND' as operation, count(*) filter (n_nationkey < 10) as n, min(n_name) filter (n_nationkey < 10) as least, cast(sum(n_nationkey) filter (n_nationkey < 10) as bigint) as total from nation
+union all select 1, 'MERGE', count(*), min(case when n_nationkey >= 5 then lower(n_name) else n_name end), cast(sum(n_nationkey) as bigint) from nation
+union all select 2, 'DELETE', count(*), min(case when n_nationkey >= 5 then lower(n_name) else n_name end), cast(sum(n_nationkey) as bigint) from nation where n_nationkey % 7 <> 0
+union all select 3, 'OPTIMIZE', count(*), min(case when n_nationkey >= 5 then lower(n_name) else n_name end), cast(sum(n_nationkey) as bigint) from nation where n_nationkey % 7 <> 0
+""")
+def table_time_travel(spark, sf_dir):
+    """A table through append, merge, delete and z-order: its history, and each version as it was."""
+    nation = read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("n_nationkey"), "n_name", F.col("n_regionkey").cast("long").alias("n_regionkey"))
+
+    def work(t: Table):
+        t.append(nation.where("n_nationkey < 10"), ["n_regionkey"])
+        t.merge(nation.where("n_nationkey >= 5").withColumn("n_name", F.lower("n_name")), ["n_nationkey"])
+        t.delete_where(F.col("n_nationkey") % 7 == 0)
+        t.optimize(zorder=["n_name", "n_nationkey"])
+        said = {r["version"]: r["operation"] for r in t.history().collect()}
+        return [(v, said[v], *t.read(v).agg(F.count("*"), F.min("n_name"), F.sum("n_nationkey")).first()) for v in t.versions()]
+
+    return spark.createDataFrame(_in_a_table(spark, work), "version int, operation string, n long, least string, total long")
+
+
+@query("""
+select 1 as versions, count(*) as n, cast(sum(c_custkey) as bigint) as total, 0 as erased_left from customer where c_custkey % 13 <> 0
+""")
+def table_erasure(spark, sf_dir):
+    """Customers erased by key from a table, with the versions that still held them."""
+    rows = read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("c_custkey"), "c_name")
+
+    def work(t: Table):
+        t.append(rows)
+        governance.erase([t], "c_custkey", rows.where("c_custkey % 13 = 0").select("c_custkey"))
+        return [(len(t.versions()), *t.read().agg(F.count("*"), F.sum("c_custkey"), F.count_if(F.col("c_custkey") % 13 == 0)).first())]
+
+    return spark.createDataFrame(_in_a_table(spark, work), "versions int, n long, total long, erased_left int")
+
+
+@query("select date_trunc('hour', ts) as window_start, event_type, count(*) as n from events group by all")
+def windowed_event_counts(spark, sf_dir):
+    """The counts per hour that a stream keeps, over the table as one batch."""
+    counted = windowed_counts(read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", ["event_type"], "1 hour")
+    return counted.select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
