@@ -298,18 +298,21 @@ def one_per_group(docs: DataFrame, words: int = WORDS, **how) -> DataFrame:
     rows = judged.groupBy("row").count()
     gone = cut(rows.join(kept, "row", "left_anti").select("row.*"))
     twice = cut(rows.where("count > 1").join(kept, "row", "left_semi").select("row.*"))
-    marked = docs.withColumn("_row", F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64(F.col("text").cast("string")).alias("mark")))
-    same = [F.col(f"_row.{c}") == F.col(f"`_gone_{c}`") for c in ("none", "id", "mark")]
-    named = lambda x: x.select(*(F.col(c).alias(f"_gone_{c}") for c in ("none", "id", "mark")))
+    # Names that no column of docs has, in whatever case.
+    taken = {c.lower() for c in docs.columns}
+    row, nth, *gone_names = (next(n for k in range(len(taken) + 1) if (n := f"_{name}{k}") not in taken) for name in ("row", "nth", "none", "id", "mark"))
+    marked = docs.withColumn(row, F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64(F.col("text").cast("string")).alias("mark")))
+    same = [F.col(f"{row}.{c}") == F.col(n) for c, n in zip(("none", "id", "mark"), gone_names, strict=True)]
+    named = lambda x: x.select(*(F.col(c).alias(n) for c, n in zip(("none", "id", "mark"), gone_names, strict=True)))
     left = marked.join(sized(named(gone)), same, "left_anti")
     if twice.isEmpty():
-        return left.drop("_row")
+        return left.drop(row)
     again = sized(named(twice))
-    plain = left.join(again, same, "left_anti").drop("_row")
+    plain = left.join(again, same, "left_anti").drop(row)
     ordered = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
     # A limit of one row a window is also applied before the shuffle.
-    first = left.join(again, same, "left_semi").withColumn("_nth", F.row_number().over(Window.partitionBy("_row").orderBy(*ordered)))
-    return plain.unionByName(first.where("_nth = 1").drop("_row", "_nth"))
+    first = left.join(again, same, "left_semi").withColumn(nth, F.row_number().over(Window.partitionBy(row).orderBy(*ordered)))
+    return plain.unionByName(first.where(F.col(nth) == 1).drop(row, nth))
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

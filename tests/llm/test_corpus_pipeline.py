@@ -34,3 +34,15 @@ def test_stages(spark, tmp_path):
 def test_run_gives_what_the_stages_give(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.columns[-1] == "token_ids" and len(corpus_pipeline.STAGES) == 5 and out.count() > 0
+
+
+def test_stages_keep_odd_rows_and_columns(spark):
+    rows = [(1, None, 5, "a"), (None, None, None, None), (None, "", 0, "b"), (2, "", 0, None), (3, "plain words of a text that nobody would mind reading here", 1, "k"), (3, "plain words of a text that nobody would mind reading here", 1, "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, `_row` string")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        for df in (docs, docs.limit(0)):
+            out = stage(spark, df, SF)
+            assert out.columns == docs.columns + (["token_ids"] if k == 4 else [])
+            got = sorted((tuple(r)[:2] for r in out.collect()), key=str)
+            want = [] if df is not docs else [r[:2] for r in (rows[:-1] if k == 1 else rows)]
+            assert got == sorted(want, key=str)
