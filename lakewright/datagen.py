@@ -38,6 +38,11 @@ class Defects:
     drift: bool = True
     deletes: bool = True
     mixed_dates: bool = True
+    cancellations: bool = True
+    mixed_currencies: bool = True
+    mixed_language: bool = True
+    #: Negative premiums in partner feeds and losses after expiry; off by default, as totals then no longer add up.
+    validation_failures: bool = False
 
 
 def thai_id(r: random.Random) -> str:
@@ -73,11 +78,11 @@ class Universe:
             start = START - dt.timedelta(r.randrange(1, 330))
             v = r.choice(self.vehicles)
             self.policies.append({
-                "policy_id": f"POL{i:07d}", "partner": partner, "country": PARTNERS[partner][0], "currency": "THB" if PARTNERS[partner][0] == "TH" else "IDR", "customer_id": v["customer_id"], "vehicle_id": v["vehicle_id"],
+                "policy_id": f"POL{i:07d}", "partner": partner, "country": PARTNERS[partner][0], "currency": "THB" if PARTNERS[partner][0] == "TH" or not defects.mixed_currencies else "IDR", "customer_id": v["customer_id"], "vehicle_id": v["vehicle_id"],
                 "product_code": r.choice(list(COVER)), "inception": start, "expiry": start + dt.timedelta(365), "premium": r.randint(600, 20000), "insured": r.randint(1, 9) * 100_000, "status": "ACTIVE", "feed": r.random() < 0.5,
                 "day": r.randint(1, days), "form": r.choice(FORMS) if defects.mixed_dates else "iso",
             })
-        self.cancelled = {p["policy_id"] for p in self.policies if r.random() < 0.04}
+        self.cancelled = {p["policy_id"] for p in self.policies if r.random() < 0.04 and defects.cancellations}
         self.deleted = {p["policy_id"] for p in self.policies if defects.deletes and not p["feed"] and p["day"] < days and r.random() < 0.05}
 
     def _claims(self) -> list[dict]:
@@ -85,7 +90,7 @@ class Universe:
         for i, p in enumerate(self.policies):
             if r.random() < 0.2:
                 lag = r.choice([0, 1, 3, 10, 25, 60] if self.defects.late_claims else [0, 1, 3])
-                loss = p["inception"] + dt.timedelta(r.randrange(1, 300))
+                loss = p["inception"] + dt.timedelta(r.randrange(1, 300) + (400 if self.defects.validation_failures and i % 9 == 0 else 0))
                 lost = self.defects.orphan_claims and r.random() < 0.03
                 out.append({"claim_id": f"CL{i:07d}", "claim_no": f"N{i:07d}", "policy_id": f"GHOST{i}" if lost else p["policy_id"], "loss_date": loss, "reported_date": loss + dt.timedelta(lag), "amount": r.randint(1, 60) * 1000, "currency": p["currency"], "partner": p["partner"], "feed": p["feed"], "day": r.randint(p["day"], self.days)})
         return out
@@ -126,7 +131,8 @@ class Universe:
             for p in mine:
                 again = p["day"] != day
                 premium = p["premium"] + (1 if again and self.defects.near_duplicates else 0)
-                thai = variant == "b"
+                premium = -premium if self.defects.validation_failures and int(p["policy_id"][3:]) % 17 == 0 else premium
+                thai = variant == "b" and self.defects.mixed_language
                 status = ("ยกเลิก" if thai else "Cancelled") if p["policy_id"] in self.cancelled else ("มีผลบังคับ" if thai else "active")
                 record = {"policy_id": scuff(p["policy_id"]), "national_id": thai_id(random.Random(p["policy_id"])), "product_code": scuff(p["product_code"]), "inception": render_date(p["inception"], p["form"]), "expiry": render_date(p["expiry"], p["form"]),
                           "premium": premium, "insured": p["insured"], "currency": p["currency"], "plate_no": "1กข 1234", "status": status, "updated": f"{stamp} 02:00:00"}

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakewright import governance, observability, proof, quality
-from lakewright.datagen import START, Universe, registry_yaml
+from lakewright.datagen import START, Defects, Universe, registry_yaml
 from lakewright.plans import models
 from lakewright.sources import registry
 from lakewright.sources.bronze import METADATA, Bronze
@@ -36,6 +36,14 @@ def test_generator_is_deterministic(tmp_path):
     assert [f.read_bytes() for f in a] == [f.read_bytes() for f in b] and len(a) > 10
 
 
+def test_each_defect_can_be_switched(tmp_path):
+    said = lambda n, **d: "".join(f.read_text(encoding="utf-8") for f in Universe(seed=7, policies=900, days=1, defects=Defects(**d)).emit(tmp_path / n, 1))
+    plain, off = said("on"), said("off", cancellations=False, mixed_currencies=False, mixed_language=False, malformed=False)
+    for mark in ("ยกเลิก", "มีผลบังคับ", "Cancelled", '"currency": "IDR"', "not valid json"):
+        assert mark in plain and mark not in off, mark
+    assert ",-" not in plain and ",-" in said("bad", validation_failures=True)
+
+
 def test_registry_has_seventeen_sources(world):
     assert len(world["reg"].sources) == 17
 
