@@ -40,6 +40,19 @@ def test_submitted_reports_are_numbered_on(spark, tmp_path):
         kpi.submit(store, store.read(), "open")
 
 
+def test_workbooks(spark, tmp_path):
+    import zipfile
+
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    with zipfile.ZipFile(tmp_path / "a.xlsx", "w") as z:
+        z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><t>Number of employees</t></si><si><r><t>De</t></r><r><t>bt</t></r></si></sst>")
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {ns}><sheetData><row><c t="s"><v>0</v></c><c><v>23</v></c></row><row><c t="s"><v>1</v></c><c t="inlineStr"><is><t>open</t></is></c><c><v>1500.5</v></c></row></sheetData></worksheet>')
+    (tmp_path / "b.xlsx").write_bytes(b"no workbook")
+    got = {r["path"][-6:]: r for r in kpi.extract(kpi.read_workbooks(spark, str(tmp_path))).collect()}
+    assert got["b.xlsx"]["content"] is None and got["a.xlsx"]["content"].splitlines()[1] == "| Debt | open | 1500.5 |"
+    assert got["a.xlsx"]["record"]["number_of_employees"] == 23 and float(got["a.xlsx"]["record"]["debt"]) == 1500.5
+
+
 def test_numbers(spark):
     cases = {"€4,950,000": 4950000, "1.780.000 €": 1780000, "7,1M": 7100000, "1,36x": 1.36, "22%": 22, "120k": 120000, "9.000": 9000, "0.5": 0.5, "none": None}
     rows = spark.createDataFrame([(k,) for k in cases], "c string").select("c", kpi.parse_number(F.col("c")).cast("double").alias("n")).collect()
