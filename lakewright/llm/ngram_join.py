@@ -245,7 +245,9 @@ def _judged(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, r
     wanted = cut(classes.join(of_code, F.col("code") == F.col("of")).select("rep.*", "key", "n_docs", "bands", "units").withColumnRenamed("mark", "r_mark"))
     # Rows that repeat the representative row are dropped here, with map-side combine.
     same = (F.coalesce("doc_id", F.lit(0)) == F.col("id")) & (F.col("doc_id").isNull() == F.col("none")) & (F.col("mark") == F.col("r_mark"))
-    chosen = texts.join(sized(wanted, 250_000), same).groupBy("key").agg(*(F.first(c).alias(c) for c in ("text", "n_docs", "bands", "units")))
+    # The side that may be broadcast holds names alone; the rest joins on the key the texts are dealt by already.
+    names = sized(wanted.select("none", "id", "r_mark", "key"), 250_000)
+    chosen = texts.join(names, same).groupBy("key").agg(F.first("text").alias("text")).join(wanted.select("key", "n_docs", "bands", "units").hint("shuffle_merge"), "key")
     sets = map_arrow(
         chosen.select("text", "key", "n_docs", "bands", "units"),
         _set_maker(words),
