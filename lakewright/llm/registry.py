@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lakewright.llm import byte_bpe, chat, decontaminate, importance, language_id, ngram_join, order_minhash, secrets, substring_dedup, token_alignment, toxicity, vector_codes
+from lakewright.llm import byte_bpe, chat, decontaminate, importance, language_id, ngram_join, order_minhash, secrets, substring_dedup, token_alignment, toxicity, vector_codes, warc
 
 QUERIES = {
     "op1_importance_resampling": importance.op1,
@@ -15,8 +15,14 @@ QUERIES = {
     "op8_decontamination": decontaminate.op8,
     "op9_substring_dedup": substring_dedup.op9,
     "op10_ngram_jaccard_join": ngram_join.op10,
+    "op11_warc": warc.op11,
     "op12_token_alignment": token_alignment.op12,
     "op13_vector_codes": vector_codes.op13,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_reply_trees": chat.OP3_SQL, "op9_substring_dedup": substring_dedup.OP9_SQL, "op13_vector_codes": vector_codes.OP13_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op3_reply_trees": chat.OP3_SQL,
+    "op9_substring_dedup": substring_dedup.OP9_SQL,
+    "op11_warc": warc.OP11_SQL,
+    "op13_vector_codes": vector_codes.OP13_SQL,
+}
