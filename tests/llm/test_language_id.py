@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,3 +69,15 @@ def test_odd_rows(spark):
     assert {(200, "und"), (201, "und"), (202, "und"), (None, "aa"), (1, "bb"), (1, "aa")} <= by and all(0 <= r["score"] <= 1 for r in got)
     nothing = L.predict(spark.createDataFrame([(1, "text", None, None)], SCHEMA)).collect()
     assert nothing[0]["lang_pred"] == "und" and L.predict(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+@pytest.mark.parametrize("n", [1, 3, 5, 12])
+def test_a_language_of_few_short_texts_takes_none_from_others(spark, n):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    few = [f"zuqo wixu jeqa {k} vyxo quze jixa wuqy" * (1 + 6 * (k % 2)) for k in range(n)]
+    more = spark.createDataFrame([(10**6 + 4 * k + 1, t, "zz") for k, t in enumerate(few)] + [(10**7, "zuqo quze wixu jixa vyxo jeqa", None)], "doc_id long, text string, lang string")
+    got = L.predict(docs.unionByName(more)).cache()
+    held = got.join(docs.select("doc_id", "lang"), "doc_id").where("held_out")
+    right, total = held.agg(F.count_if(F.col("lang") == F.col("lang_pred")), F.count("*")).first()
+    assert right / total > 0.95
+    assert got.where("doc_id = 10000000").first()["lang_pred"] == "zz"
