@@ -8,13 +8,13 @@ are only cut between rows, so memory is bounded by a slice plus one text.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-_BASE = U(0x9E3779B97F4A7C15)
 _NGRAM = U(0xD6E8FEB86659FD93)
 
 _SPACE = np.zeros(256, dtype=bool)
@@ -44,7 +44,19 @@ class _Powers:
         return self.up[:n], self.down[:n]
 
 
-_BYTE_POWERS, _NGRAM_POWERS = _Powers(_BASE), _Powers(_NGRAM)
+_NGRAM_POWERS = _Powers(_NGRAM)
+
+#: Words of more bytes than this are hashed one by one.
+_WIDE = 64
+_KEY = b"words of documents"
+
+
+def _keys(name: str) -> np.ndarray:
+    """Drawn 64-bit keys: one for a word's length and one for each of its 4-byte lanes."""
+    return np.frombuffer(b"".join(hashlib.blake2b(f"{name} {i}".encode(), key=_KEY, digest_size=8).digest() for i in range(_WIDE // 4 + 1)), dtype="<u8").astype(U)
+
+
+_LANE_KEYS = _keys("high"), _keys("low")
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -103,13 +115,34 @@ def tokens(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of every word, from one prefix sum over the bytes."""
+    """64-bit hash of every word.
+
+    Of words up to 64 bytes the upper halves of two sums of products of 4-byte lanes with drawn
+    keys, a universal hash: words that differ agree with a probability of 2**-64 over the keys, whatever
+    the words.  Longer words take a keyed BLAKE2 digest.
+    """
+    size = ends - starts
     if not len(starts):
         return np.zeros(0, dtype=U)
-    up, down = _BYTE_POWERS.get(len(data) + 1)
-    total = np.zeros(len(data) + 1, dtype=U)
-    np.cumsum((data.astype(U) + U(1)) * up[:-1], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U))
+    padded = np.concatenate([data, np.zeros(4, dtype=np.uint8)])
+    lanes = np.ndarray((len(data) + 1,), dtype="<u4", buffer=padded, strides=(1,))
+    high, low = (size.astype(U) * k[0] for k in _LANE_KEYS)
+    live, at, left = slice(None), starts, size
+    for j in range(_WIDE // 4):
+        lane = lanes[at].astype(U)
+        part = left < 4
+        lane[part] &= (U(1) << (left[part].astype(U) << U(3))) - U(1)
+        high[live] += lane * _LANE_KEYS[0][j + 1]
+        low[live] += lane * _LANE_KEYS[1][j + 1]
+        more = np.flatnonzero(left > 4)
+        if not len(more):
+            break
+        live = more if j == 0 else live[more]
+        at, left = at[more] + 4, left[more] - 4
+    for i in np.flatnonzero(size > _WIDE):
+        digest = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), key=_KEY, digest_size=16).digest()
+        high[i], low[i] = np.frombuffer(digest, dtype="<u8")
+    return mix((high & U(0xFFFFFFFF00000000)) | (low >> U(32)))
 
 
 def ngrams(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

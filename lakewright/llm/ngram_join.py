@@ -22,8 +22,9 @@ g**2 / (2 * BLOCK**2) tasks of bounded memory; link counts of all its members ne
 
 Defined results: a null or empty text has no grams, is in no class but its
 own row's and has no links; rows of a null doc_id take part, and show null
-where their own id would stand; repeated rows are copies of one another.
-Extra columns are ignored.  An empty table gives an empty result.
+where their own id would stand; repeated rows are copies of one another.  Very long texts
+are whole.  Extra columns are ignored.  An empty table gives an empty result.  Words are compared by a
+keyed universal hash of 64 bits (`_words.hash_words`), sets of grams by sums of 128 bits.
 """
 
 from __future__ import annotations

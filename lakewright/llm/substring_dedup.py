@@ -20,7 +20,8 @@ the same document).  Windows are judged on the input.
    one by one by their own 128-bit hash, and the first of equal windows is found by
    an aggregation, which any number of machines share.
 
-Word hashes have 64 bits and stand for words throughout.
+Words are compared by a keyed universal hash of 64 bits (`_words.hash_words`): a window is taken for another
+only if words that differ agree in theirs, which has a probability of 2**-64 a pair, whatever the words.
 
 Equal documents and windows of hot anchors thus never enter an index: both are found by
 hashes of all their words, which gives the same rows and which an index of one shard could
@@ -29,7 +30,8 @@ not hold.
 Defined results: a null text has no words; a null doc_id comes before all others;
 rows that agree in id and text are one document and get equal results; rows of
 one id (or none) with different texts are different documents, in the order of their hash.
-Extra columns are ignored; an empty table gives no rows.
+Very long texts are hashed whole, a slice of their own.  Extra columns are ignored; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
