@@ -98,26 +98,32 @@ class Pieces:
         return self.model.encode([t[1:] for t in texts], num_threads=1)
 
 
+def _flat(ids: list[list[int]]) -> np.ndarray:
+    return np.concatenate([np.array(one, dtype=np.int32) for one in ids]) if ids else np.zeros(0, dtype=np.int32)
+
+
 def _intervals(ids: list[list[int]], size: np.ndarray) -> pa.Table:
     """doc, id, s, e of all tokens; documents follow one another, so ends rise throughout."""
-    flat = np.fromiter((i for one in ids for i in one), dtype=np.int32)
+    flat = _flat(ids)
     ends = np.cumsum(size[flat])
-    return pa.table({"doc": np.repeat(np.arange(len(ids), dtype=np.int32), [len(x) for x in ids]), "id": flat, "s": ends - size[flat], "e": ends})
+    kind = np.int32 if len(ends) == 0 or ends[-1] < 1 << 31 else np.int64
+    return pa.table({"doc": np.repeat(np.arange(len(ids), dtype=np.int32), [len(x) for x in ids]), "id": flat, "s": (ends - size[flat]).astype(kind), "e": ends.astype(kind)})
 
 
 _GROUPED = """
-create or replace temp table {own}_of as
+create or replace temp table grouped as
 with met as (
-  select o.doc, o.id, o.s, o.e, coalesce(x.e = o.e, false) as closes, coalesce(x.e = o.e and x.s = o.s, false) as same, x.id as twin
-  from {own} o asof left join {other} x on o.e >= x.e
+  select a.doc, a.id, a.s, a.e, coalesce(b.e = a.e, false) as closes, coalesce(b.e = a.e and b.s = a.s, false) as same, b.id as twin
+  from a asof left join b on a.e >= b.e
 )
 select *, cast(coalesce(sum(cast(closes as int)) over (order by e rows between unbounded preceding and 1 preceding), 0) as int) as grp from met
 """
 _OVERLAPS = f"""
 create or replace temp table shared as
-with blocks_a as (select *, unnest(range(s // {BLOCK}, (e - 1) // {BLOCK} + 1)) as blk from a_of where not same),
-     blocks_b as (select *, unnest(range(s // {BLOCK}, (e - 1) // {BLOCK} + 1)) as blk from b_of where not same)
-select doc, id as a, twin as b, e as a_end, e as b_end from a_of where same
+with rest_b as (select * from b anti join (select e from grouped where same) x on b.e = x.e),
+     blocks_a as (select *, unnest(range(s // {BLOCK}, (e - 1) // {BLOCK} + 1)) as blk from grouped where not same),
+     blocks_b as (select *, unnest(range(s // {BLOCK}, (e - 1) // {BLOCK} + 1)) as blk from rest_b)
+select doc, id as a, twin as b, e as a_end, e as b_end from grouped where same
 union all
 select a.doc, a.id, b.id, a.e, b.e from blocks_a a join blocks_b b
 on a.blk = b.blk and a.s < b.e and b.s < a.e and greatest(a.s, b.s) // {BLOCK} = a.blk
@@ -133,6 +139,8 @@ class Aligner:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.a, self.b = ByteLevel(a), Pieces(b)
         self.sizes = [np.array([len(x) for x in t.bytes_of], dtype=np.int64) for t in (self.a, self.b)]
+        #: All tokens' bytes end to end, and where each begins.
+        self.spelt = [(np.frombuffer(b"".join(t.bytes_of), dtype=np.uint8), np.cumsum(n) - n) for t, n in zip((self.a, self.b), self.sizes, strict=True)]
         self.width = max(map(len, self.sizes))
         #: Every id behind each separator.
         self.shown = np.array([s + str(i) for s in _SEPARATORS for i in range(self.width)], dtype=object)
@@ -141,15 +149,26 @@ class Aligner:
     def _ids(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of both sides; none where a side's bytes are not the text's."""
         both = self.a.encode(texts), self.b.encode(texts)
-        for i, t in enumerate(texts):
-            raw = t.encode()
-            if any(b"".join(map(side.bytes_of.__getitem__, ids[i])) != raw for side, ids in zip((self.a, self.b), both, strict=True)):
-                both[0][i], both[1][i] = [], []
+        raw = [t.encode() for t in texts]
+        right = [self._bytes(k, both[k], raw) for k in range(2)]
+        for i in np.flatnonzero(~(right[0] & right[1])):
+            both[0][i], both[1][i] = [], []
         return both
 
+    def _bytes(self, side: int, ids: list[list[int]], raw: list[bytes]) -> np.ndarray:
+        """Whether a side's tokens, joined, are the bytes of each text."""
+        size, (of, starts) = self.sizes[side], self.spelt[side]
+        flat = _flat(ids)
+        ends = np.cumsum(size[flat])
+        joined = of[np.arange(ends[-1]) + np.repeat(starts[flat] - (ends - size[flat]), size[flat])]
+        bounds = np.append(0, ends)[np.cumsum([0, *map(len, ids)])]
+        return np.array([joined[i:j].tobytes() == r for i, j, r in zip(bounds[:-1], bounds[1:], raw, strict=True)])
+
     def _written(self, a: pa.Table, b: pa.Table, n: int) -> list[str]:
         """The groups of each of n documents: a1,a2|b1;a3|b2,b3."""
-        groups = [self.db.sql(f"select grp from {t}_of order by e").fetchnumpy()["grp"] for t in "ab"]
+        of_a = self.db.sql("select grp, e, closes from grouped order by e").fetchnumpy()
+        #: A token of B belongs to the group that closes next.
+        groups = [of_a["grp"], np.searchsorted(of_a["e"][of_a["closes"]], b["e"].to_numpy())]
         docs = [t["doc"].to_numpy() for t in (a, b)]
         ids = [t["id"].to_numpy() for t in (a, b)]
         bounds = np.arange(int(groups[0][-1]) + 2 if len(groups[0]) else 1)
@@ -170,14 +189,13 @@ class Aligner:
         n = len(texts)
         self.db.register("a", a)
         self.db.register("b", b)
-        self.db.execute(_GROUPED.format(own="a", other="b"))
-        self.db.execute(_GROUPED.format(own="b", other="a"))
-        self.db.execute(_OVERLAPS)
+        for statement in (_GROUPED, _OVERLAPS):
+            self.db.execute(statement)
         links = self.db.sql(_LINKS).fetchnumpy()
         cuts = np.searchsorted(links["doc"], np.arange(n + 1))
         counts, overlaps = self.db.sql(_COUNTS).fetchnumpy(), np.zeros(n, dtype=np.int64)
         overlaps[counts["doc"]] = counts["n"]
-        closes = self.db.sql("select doc from a_of where closes order by doc").fetchnumpy()["doc"]
+        closes = self.db.sql("select doc from grouped where closes order by doc").fetchnumpy()["doc"]
         total = np.concatenate([[0], np.cumsum(links["n"], dtype=np.int64)])
         out |= {"n_groups": np.bincount(closes, minlength=n), "n_links": total[cuts[1:]] - total[cuts[:-1]], "n_overlaps": overlaps}
         out["groups"] = self._written(a, b, n)
