@@ -1,34 +1,43 @@
 """Landing: files as they come, once each, with metadata, quarantine and drift audit.
 
 Everything that identifies a file comes from Spark's ``_metadata`` columns, so landing zones
-may be in any store.  One pass over the new files writes rows and rejects, both then
-counted from what was written.
+may be in any store.  One pass over the new files writes rows and rejects side by side and counts them;
+the manifest counts each file's rows from what was written.  Rows, rejects, manifest and audit
+are parts of one table commit: a landing that stops anywhere before it has landed nothing, and the
+next one takes the same files again; two at once cannot both commit.
 """
 
 from __future__ import annotations
 
 import argparse
+import csv
 import datetime as dt
-import re
+import json
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 from pathlib import Path
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakewright.operators.dedupe import record_hash
-from lakewright.sources.registry import Registry, Source, declarations, expand_braces, in_sync, load
-from lakewright.sources.tablestore import Table
+from lakewright.sources.evolution import changes
+from lakewright.sources.registry import Registry, Source, declarations, in_sync, load
+from lakewright.sources.tablestore import DATA, Part, Staged, Table
 
 METADATA = ("_ingested_at", "_source_file", "_batch_id", "_record_hash", "_source_name", "_batch_date")
 CORRUPT = "_corrupt_record"
 
 MANIFEST = "source_name string, file_path string, file_size long, file_modified_at timestamp, batch_id string, batch_date date, row_count long, quarantined_count long, ingested_at timestamp, status string"
-SCHEMA_AUDIT = "source_name string, batch_id string, added_columns string, removed_columns string, previous_column_count long, new_column_count long, detected_at timestamp"
+SCHEMA_AUDIT = "source_name string, batch_id string, added_columns string, removed_columns string, changed_types string, previous_column_count long, new_column_count long, detected_at timestamp"
+#: What a landed row tells of its file, beside its path; written with the rows, not part of their schema.
+FILE_COLUMNS = {"_file_size": "file_size", "_file_modified_at": "file_modification_time"}
+#: Stores from which tasks can read a file's first line by themselves.
+_OPENED = ("file", "hdfs", "viewfs", "s3", "s3a", "gs", "abfs", "abfss")
 
 
 @dataclass(frozen=True)
@@ -39,6 +48,8 @@ class Landed:
     quarantined: int = 0
     added: tuple[str, ...] = ()
     removed: tuple[str, ...] = ()
+    #: ``name: old type > new type`` of columns whose type changed.
+    changed: tuple[str, ...] = ()
 
 
 def batch_id(now: dt.datetime | None = None) -> str:
@@ -53,127 +64,152 @@ def quarantine_reason(columns: Sequence[str], key: Sequence[str]) -> Column:
 
 
 def files_of(spark: SparkSession, source: Source, landing: str) -> DataFrame:
-    """path, size and modification time (whole seconds) of the files the source's pattern matches."""
-    patterns = [f"{landing.rstrip('/')}/{p}" for p in expand_braces(source.path)]
-    jvm = spark.sparkContext._jvm
-    there = []
-    for p in patterns:
-        path = jvm.org.apache.hadoop.fs.Path(p)
-        found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
-        there += [(s.getPath().toString(), s.getLen(), dt.datetime.fromtimestamp(s.getModificationTime() // 1000, dt.UTC)) for s in found or [] if s.isFile()]
+    """path, size and modification time (whole seconds) of the files the source's pattern matches; the file
+    system itself reads wildcards and ``{a,b}`` choices."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{landing.rstrip('/')}/{source.path}")
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    # Paths as Spark's file metadata tells them.
+    there = [(s.getPath().toUri().toString(), s.getLen(), dt.datetime.fromtimestamp(s.getModificationTime() // 1000, dt.UTC)) for s in found or [] if s.isFile()]
     return spark.createDataFrame(sorted(there), "file_path string, file_size long, file_modified_at timestamp")
 
 
-def _first_line(spark: SparkSession, path: str) -> str:
-    """The first line of a file, from whatever store, without reading on."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    stream = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(where)
-    try:
-        return jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8")).readLine() or ""
-    finally:
-        stream.close()
+def _first_lines(batches):
+    """(path, first line) of each file, read by a task."""
+    from pyarrow import fs
+
+    for batch in batches:
+        out = []
+        for path in batch["path"]:
+            uri = path.replace("s3a://", "s3://", 1)
+            store, place = fs.FileSystem.from_uri("file://" + uri[5:] if uri.startswith("file:/") and not uri.startswith("file://") else uri)
+            line = b""
+            with store.open_input_stream(place, compression=None) as stream:
+                while b"\n" not in line and (more := stream.read(1 << 14)):
+                    line += more
+            out.append(line.split(b"\n", 1)[0].decode("utf-8", "replace"))
+        yield batch.assign(header=out)
+
+
+def headers_of(spark: SparkSession, paths: Sequence[str]) -> dict[str, list[str]]:
+    """The files of each first line; the driver opens none."""
+    scheme = paths[0].split(":", 1)[0] if ":" in paths[0] else "file"
+    if scheme in _OPENED:
+        there = spark.createDataFrame([(p,) for p in paths], "path string").repartition(min(len(paths), 256))
+        found = there.mapInPandas(_first_lines, "path string, header string")
+    else:
+        lines = spark.read.text([_plain(p) for p in paths]).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"), "value")
+        found = lines.where("at = 0").groupBy("path").agg(F.min_by("value", "n").alias("header"))
+    groups = found.groupBy(F.rtrim(F.regexp_replace("header", "\r$", "")).alias("header")).agg(F.sort_array(F.collect_list("path")).alias("paths"))
+    return {r["header"]: r["paths"] for r in groups.collect()}
+
+
+def _plain(path: str) -> str:
+    """A path as readers take it, from the form in which file metadata tells it."""
+    return unquote(path)
 
 
 def _read(spark: SparkSession, source: Source, paths: Sequence[str]) -> DataFrame:
     """All columns as strings.  CSV files are read per header, as one header rules a read."""
-    meta = F.col("_metadata.file_path").alias("_source_file")
+    meta = [F.col("_metadata.file_path").alias("_source_file"), *(F.col(f"_metadata.{m}").alias(c) for c, m in FILE_COLUMNS.items())]
     options = {"mode": "PERMISSIVE", "encoding": "UTF-8"} | dict(source.reader_options)
     if source.format == "json":
         # Two passes, so that the same batch always has the same columns: names first, then strings.
-        lines = spark.read.text(list(paths)).select(meta, "value")
+        lines = spark.read.text([_plain(p) for p in paths]).select(*meta, "value")
         names = lines.select(F.explode(F.json_object_keys("value")).alias("k")).distinct()
         columns = sorted(r["k"] for r in names.collect())
         schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, CORRUPT]])
         parsed = lines.withColumn("r", F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}))
-        return parsed.where(F.trim("value") != "").select("r.*", "_source_file")
-    by_header: dict[str, list[str]] = {}
-    for path in paths:
-        by_header.setdefault(_first_line(spark, path), []).append(path)
+        return parsed.where(F.trim("value") != "").select("r.*", "_source_file", *FILE_COLUMNS)
     frames = []
-    for header, group in sorted(by_header.items()):
-        names = [n.strip().strip('"') for n in header.lstrip("﻿").split(options.get("sep", ","))]
-        schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, CORRUPT]])
+    for header, group in sorted(headers_of(spark, paths).items()):
+        first = next(csv.reader([header.lstrip("\ufeff")], delimiter=options.get("sep", ",")), [])
+        schema = T.StructType([T.StructField(n.strip(), T.StringType()) for n in [*first, CORRUPT]])
         read = spark.read.options(**options | {"header": "true", "columnNameOfCorruptRecord": CORRUPT, "enforceSchema": "true"}).schema(schema)
-        frames.append(read.csv(group).select("*", meta))
+        frames.append(read.csv([_plain(p) for p in group]).select("*", *meta))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
 def decorate(df: DataFrame, source: str, batch: str, pattern: str, now: dt.datetime) -> DataFrame:
     """Adds the metadata columns; the hash covers the business columns by name."""
-    business = sorted(c for c in df.columns if c not in METADATA and c != CORRUPT)
+    business = sorted(c for c in df.columns if c not in METADATA and c not in FILE_COLUMNS and c != CORRUPT)
     day = F.regexp_extract("_source_file", pattern, 1)
     return df.withColumns(
         {"_record_hash": record_hash(business), "_ingested_at": F.lit(now), "_batch_id": F.lit(batch), "_source_name": F.lit(source), "_batch_date": F.try_to_date(F.nullif(day, F.lit("")))}
     )
 
 
-def _bare(path: str) -> str:
-    """A path without scheme and leading slashes, which readers write in several ways."""
-    return path.split(":", 1)[-1].lstrip("/")
+def stage_landing(table: Table, rows: DataFrame, key: Sequence[str], partition_by: Sequence[str] = ()) -> tuple[Staged, list[str]]:
+    """Decorated rows written once, good ones and rejects side by side, and the columns of the good ones."""
+    columns = [c for c in rows.columns if c != CORRUPT and c not in FILE_COLUMNS]
+    marked = rows.withColumn("_quarantine_reason", quarantine_reason(rows.columns, key))
+    refused = F.col("_quarantine_reason").isNotNull()
+    by = [c for c in partition_by if c in columns]
+    rejects = [c for c in marked.columns if c not in FILE_COLUMNS]
+    return table.stage(marked, {DATA: (~refused, columns), QUARANTINE: (refused, rejects)}, by), columns
+
+
+def manifest_of(table: Table, staged: Staged, source: str, batch: str, pattern: str, now: dt.datetime, files: DataFrame | None = None) -> DataFrame:
+    """The manifest rows of staged files: rows and rejects counted from what was written; `files` (path, size, modification
+    time) adds those without a row."""
+    written = T.StructType([T.StructField("_source_file", T.StringType()), T.StructField("_file_size", T.LongType()), T.StructField("_file_modified_at", T.TimestampType()), T.StructField("_quarantine_reason", T.StringType())])
+    per_file = [F.col("_source_file").alias("file_path"), F.col("_file_size").alias("file_size"), F.date_trunc("second", "_file_modified_at").alias("file_modified_at")]
+    counted = table.read_staged(staged, written).groupBy(*per_file).agg(F.count_if(F.col("_quarantine_reason").isNull()).alias("row_count"), F.count_if(F.col("_quarantine_reason").isNotNull()).alias("quarantined_count"))
+    if files is not None:
+        counted = files.join(counted.drop("file_size", "file_modified_at"), "file_path", "left").fillna(0, ["row_count", "quarantined_count"])
+    day = F.regexp_extract("file_path", pattern, 1)
+    out = counted.withColumns({"source_name": F.lit(source), "batch_id": F.lit(batch), "batch_date": F.try_to_date(F.nullif(day, F.lit(""))), "ingested_at": F.lit(now), "status": F.lit("INGESTED")})
+    wanted = T.StructType.fromDDL(MANIFEST)
+    return out.select(*[F.col(f.name).cast(f.dataType) for f in wanted.fields])
+
+
+QUARANTINE, FILES, AUDIT = "quarantine", "manifest", "audit"
 
 
 class Bronze:
-    """The landing tables under one folder, with their manifest and schema audit."""
+    """The landing tables under one folder.  A source's table holds its rejects, its manifest and its schema audit as parts."""
 
     def __init__(self, spark: SparkSession, registry: Registry) -> None:
         self.spark, self.registry = spark, registry
-        self.manifest = self.table("_manifest")
-        self.audit = self.table("_schema_audit")
-
-    def table(self, name: str) -> Table:
-        return Table(self.spark, f"{self.registry.bronze.rstrip('/')}/{name}")
+        tables = tuple(self.table(s.name) for s in registry.sources)
+        self.manifest = Part(tables, FILES, MANIFEST)
+        self.audit = Part(tables, AUDIT, SCHEMA_AUDIT)
 
-    def _log(self, table: Table, rows: list[tuple], schema: str) -> None:
-        table.append(self.spark.createDataFrame(rows, schema).coalesce(1))
+    def table(self, name: str) -> Table | Part:
+        """A source's table, or as ``<source>__quarantine`` its rejects."""
+        own = Table(self.spark, f"{self.registry.bronze.rstrip('/')}/{name.removesuffix('__quarantine')}")
+        return Part((own,), QUARANTINE, "_quarantine_reason string") if name.endswith("__quarantine") else own
 
     def new_files(self, source: Source) -> tuple[DataFrame, bool]:
         """Files not yet landed (by path, size and second of change), and whether there are any at all."""
         there = files_of(self.spark, source, self.registry.landing)
         if there.isEmpty():
             return there, False
-        if self.manifest.exists():
-            done = self.manifest.read().where((F.col("source_name") == source.name) & (F.col("status") == "INGESTED"))
+        table = self.table(source.name)
+        if table.has(FILES):
+            done = table.read(part=FILES).where((F.col("source_name") == source.name) & (F.col("status") == "INGESTED"))
             there = there.join(done, ["file_path", "file_size", "file_modified_at"], "left_anti")
         return there, True
 
     def ingest(self, name: str, batch: str | None = None, now: dt.datetime | None = None) -> Landed:
         """Land a source's new files: INGESTED, UP_TO_DATE or NO_FILES."""
         source, now = self.registry[name], now or dt.datetime.now(dt.UTC)
-        batch = batch or batch_id(now)
+        batch, target = batch or batch_id(now), self.table(name)
+        version = target.version() if target.exists() else None  # before the files are looked for, so that what lands meanwhile is a conflict
         new, any_files = self.new_files(source)
         files = sorted(new.collect())
         if not files:
             return Landed(name, "UP_TO_DATE" if any_files else "NO_FILES")
         rows = decorate(_read(self.spark, source, [f["file_path"] for f in files]), name, batch, self.registry.batch_date_from_path, now)
-        target, rejects = self.table(name), self.table(f"{name}__quarantine")
-        marked = rows.withColumn("_quarantine_reason", quarantine_reason(rows.columns, source.primary_key))
-        good = marked.where("_quarantine_reason is null").drop("_quarantine_reason", CORRUPT)
-        before = set(target.read().columns) if target.exists() else None
-        added = tuple(sorted(set(good.columns) - before)) if before is not None else ()
-        removed = tuple(sorted(before - set(good.columns))) if before is not None else ()
-        by = [c for c in source.partition_by if c in good.columns]
-        # The batch is held for the two writes; lost blocks are read again from the files.
-        marked = marked.persist()
-        try:
-            landed = target.append(good, by)
-            bad = marked.where("_quarantine_reason is not null")
-            refused = 0 if bad.isEmpty() else rejects.append(bad).metrics["rows_added"]
-            refuse = F.col("_quarantine_reason").isNotNull()
-            counted = marked.groupBy("_source_file").agg(F.count_if(~refuse).alias("n"), F.count_if(refuse).alias("q")).collect()
-            per_file = {_bare(r["_source_file"]): (r["n"], r["q"]) for r in counted}
-        finally:
-            marked.unpersist()
-        if added or removed:
-            self._log(self.audit, [(name, batch, ",".join(added), ",".join(removed), len(before), len(good.columns), now)], SCHEMA_AUDIT)
-        day = re.compile(self.registry.batch_date_from_path)
-        entries = []
-        for f in files:
-            n, q = per_file.get(_bare(f["file_path"]), (0, 0))
-            m = day.search(f["file_path"])
-            entries.append((name, f["file_path"], f["file_size"], f["file_modified_at"], batch, dt.date.fromisoformat(m[1]) if m else None, n, q, now, "INGESTED"))
-        self._log(self.manifest, entries, MANIFEST)
-        return Landed(name, "INGESTED", landed.metrics["rows_added"], refused, added, removed)
+        staged, columns = stage_landing(target, rows, source.primary_key, source.partition_by)
+        listed = self.spark.createDataFrame(files, new.schema)
+        parts = [staged, target.stage_part(manifest_of(target, staged, name, batch, self.registry.batch_date_from_path, now, listed).coalesce(1), FILES)]
+        before = T.StructType.fromJson(json.loads(version.schema)) if version else None
+        drift = changes(before, staged.schemas[DATA]) if before is not None else ((), (), ())
+        if any(drift):
+            told = (name, batch, *(",".join(d) for d in drift), len(before.names), len(columns), now)
+            parts.append(target.stage_part(self.spark.createDataFrame([told], SCHEMA_AUDIT).coalesce(1), AUDIT))
+        target.add(parts, after=version.number if version else -1)
+        return Landed(name, "INGESTED", staged.rows[DATA], staged.rows[QUARANTINE], *drift)
 
     def ingest_all(self, only: Sequence[str] | None = None, batch: str | None = None) -> list[Landed]:
         batch = batch or batch_id()
@@ -195,8 +231,8 @@ class Bronze:
         return self.spark.createDataFrame([], "_ingested_at timestamp, _source_file string, _batch_id string, _record_hash string, _source_name string, _batch_date date")
 
     def register(self, database: str = "bronze") -> list[str]:
-        """Catalog entries for all landed tables."""
-        landed = [n for s in self.registry.sources for n in (s.name, f"{s.name}__quarantine") if self.table(n).exists()]
+        """Catalog entries for all landed tables; rejects and manifest are read through this class."""
+        landed = [s.name for s in self.registry.sources if self.table(s.name).exists()]
         return [self.table(n).register(database, n) for n in landed]
 
     def quarantine_reasons(self) -> DataFrame:

@@ -7,6 +7,13 @@ the others stay listed as they are.  A commit creates the next log file
 exclusively, so of two writers one fails and no reader sees half a write.  All access
 goes through Hadoop's file system, so any store Spark can write will do; creation without
 overwriting must be atomic there, as it is on HDFS and local disks.
+
+A commit may hold more than rows.  Companion parts (rejects, a manifest of files, an audit) are tables of their own
+under the same log entry, so that they change with the rows or not at all.  Marks name the writer
+of a commit and its number: a write with a mark that the log has already is not done again.
+
+Columns may change their type from commit to commit.  Each folder keeps the schema it was written with;
+the table's is the least that holds all (`evolution`), as which every folder is read.
 """
 
 from __future__ import annotations
@@ -14,16 +21,20 @@ from __future__ import annotations
 import datetime as dt
 import json
 import uuid
-from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass, field
+from functools import reduce
 from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakewright.operators.merge import merge_upsert
 from lakewright.operators.scd2 import scd2_apply
+from lakewright.sources.evolution import changes, read_as, widened
+
+DATA = "data"
 
 
 class Conflict(RuntimeError):
@@ -42,6 +53,40 @@ class Version:
     #: Schema (JSON) of the table, and its partition columns.
     schema: str
     partition_by: tuple[str, ...]
+    #: Companion parts by name: (schema of each folder, schema of the part).
+    parts: dict[str, tuple[dict[str, str], str]] = field(default_factory=dict)
+    #: The number of the last write of each marked writer.
+    marks: dict[str, int] = field(default_factory=dict)
+
+    def part(self, name: str) -> tuple[dict[str, str], str]:
+        return (self.schemas, self.schema) if name == DATA else self.parts[name]
+
+
+@dataclass(frozen=True)
+class Staged:
+    """Folders that are written, and that no version lists yet: of each part its folders' schemas and rows."""
+
+    folders: dict[str, dict[str, str]]
+    rows: dict[str, int]
+    #: Schema of each part, folders or not.
+    schemas: dict[str, T.StructType]
+    partition_by: tuple[str, ...] = ()
+
+
+@dataclass(frozen=True)
+class Part:
+    """A companion part of one or more tables, read as one."""
+
+    tables: tuple[Table, ...]
+    name: str
+    schema: str
+
+    def exists(self) -> bool:
+        return any(t.has(self.name) for t in self.tables)
+
+    def read(self) -> DataFrame:
+        there = [t.read(part=self.name) for t in self.tables if t.has(self.name)]
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), there) if there else self.tables[0].spark.createDataFrame([], self.schema)
 
 
 class Table:
@@ -74,15 +119,20 @@ class Table:
             d = json.loads(self._io.toString(stream, "UTF-8"))
         finally:
             stream.close()
-        return Version(number, d["timestamp"], d["operation"], tuple(d["files"]), d["metrics"], d["schemas"], d["schema"], tuple(d["partition_by"]))
+        parts = {k: (p["schemas"], p["schema"]) for k, p in d.get("parts", {}).items()}
+        return Version(number, d["timestamp"], d["operation"], tuple(d["files"]), d["metrics"], d["schemas"], d["schema"], tuple(d["partition_by"]), parts, d.get("marks", {}))
 
     def history(self) -> DataFrame:
         """version, timestamp, operation and metrics (JSON), newest first."""
         rows = [(v.number, v.timestamp, v.operation, json.dumps(v.metrics, sort_keys=True)) for v in map(self.version, reversed(self.versions()))]
         return self.spark.createDataFrame(rows, "version int, timestamp string, operation string, metrics string")
 
-    def _commit(self, base: int, operation: str, files: dict[str, str], metrics: dict, schema: T.StructType, partition_by: Sequence[str]) -> Version:
+    def _commit(self, old: Version | None, operation: str, files: dict[str, str], metrics: dict, schema: T.StructType, partition_by: Sequence[str], parts: dict | None = None, marks: dict | None = None) -> Version:
+        """The version after `old`; parts and marks stay as they are unless given."""
+        base = old.number if old else -1
+        parts, marks = (old.parts if old else {}) if parts is None else parts, (old.marks if old else {}) | (marks or {})
         entry = {"timestamp": dt.datetime.now(dt.UTC).isoformat(), "operation": operation, "files": list(files), "metrics": metrics, "schemas": files, "schema": schema.json(), "partition_by": list(partition_by)}
+        entry |= {"parts": {k: {"schemas": f, "schema": kind} for k, (f, kind) in parts.items()}, "marks": marks}
         try:
             out = self._fs.create(self._Path(f"{self.path}/_log/{base + 1:08d}.json"), False)
         except Exception as e:
@@ -93,12 +143,39 @@ class Table:
             out.close()
         return self.version(base + 1)
 
-    def _write(self, df: DataFrame, partition_by: Sequence[str] = ()) -> dict[str, str]:
-        """The data folders written, one for each partition, with their schema."""
-        name = f"data/_commit=c{uuid.uuid4().hex}"
+    def _write(self, df: DataFrame, partition_by: Sequence[str] = ()) -> tuple[dict[str, str], int]:
+        """The data folders written, one for each partition, with their schema, and the number of rows, counted in passing."""
+        staged = self.stage(df, partition_by=partition_by)
+        return staged.folders[DATA], staged.rows[DATA]
+
+    def stage(self, df: DataFrame, parts: Mapping[str, tuple[Column, Sequence[str]]] | None = None, partition_by: Sequence[str] = ()) -> Staged:
+        """Write df once, its rows dealt to parts: of each part the condition (the first that holds counts) and
+        the columns.  Without parts all goes to one.  Nothing is part of the table until it is committed."""
+        name, seen = f"data/_commit=c{uuid.uuid4().hex}", Observation()
+        if parts is None:
+            schemas, levels = {DATA: df.schema}, list(partition_by)
+            df = df.observe(seen, F.count(F.lit(1)).alias(DATA))
+        else:
+            schemas = {k: T.StructType([df.schema[c] for c in columns]) for k, (_, columns) in parts.items()}
+            dealt, levels = F.lit(None).cast("string"), ["_part", *partition_by]
+            for k, (condition, _) in reversed(list(parts.items())):
+                dealt = F.when(condition, F.lit(k)).otherwise(dealt)
+            df = df.withColumn("_part", dealt).where("_part is not null")
+            df = df.observe(seen, *[F.count(F.when(F.col("_part") == k, 1)).alias(k) for k in parts])
         writer = df.write.mode("errorifexists")
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{self.path}/{name}")
-        return dict.fromkeys(self._leaves(name, len(partition_by)), df.schema.json())
+        (writer.partitionBy(*levels) if levels else writer).parquet(f"{self.path}/{name}")
+        leaves = self._leaves(name, len(levels))
+        of = lambda k: [f for f in leaves if parts is None or f.split("/")[2] == f"_part={k}"]
+        return Staged({k: dict.fromkeys(of(k), kind.json()) for k, kind in schemas.items()}, {k: seen.get[k] for k in schemas}, schemas, tuple(partition_by))
+
+    def stage_part(self, df: DataFrame, part: str) -> Staged:
+        """Write df for one companion part."""
+        staged = self.stage(df)
+        return Staged({part: staged.folders[DATA]}, {part: staged.rows[DATA]}, {part: df.schema})
+
+    def read_staged(self, staged: Staged, schema: T.StructType) -> DataFrame:
+        """All rows of staged folders, of any part, with the columns of a schema that was written."""
+        return self._folders({f: schema.json() for folders in staged.folders.values() for f in folders}, schema)
 
     def _leaves(self, name: str, depth: int) -> list[str]:
         """The folders `depth` levels below a data folder."""
@@ -109,22 +186,30 @@ class Table:
 
     # ------------------------------------------------------------ reading
 
-    def read(self, version: int | None = None) -> DataFrame:
-        """The newest or the given version; columns added over time are null where they were not yet."""
-        v = self.version(version)
-        return self._folders(v.schemas, T.StructType.fromJson(json.loads(v.schema)))
+    def read(self, version: int | None = None, part: str = DATA) -> DataFrame:
+        """The newest or the given version: columns added over time are null where they were not yet, and
+        columns whose type changed have the least type that holds all their values."""
+        files, schema = self.version(version).part(part)
+        return self._folders(files, T.StructType.fromJson(json.loads(schema)))
+
+    def has(self, part: str) -> bool:
+        return self.exists() and (part == DATA or part in self.version().parts)
 
-    def _folders(self, files: dict[str, str], schema: T.StructType) -> DataFrame:
-        """The rows of some folders: one scan for each schema, however many folders have it."""
+    def _folders(self, files: dict[str, str], schema: T.StructType, marked: bool = False) -> DataFrame:
+        """The rows of some folders as of a schema: one scan for each schema they were written with; marked
+        tells each row's file in the column _file."""
         by_schema: dict[str, list[str]] = {}
         for name, kind in files.items():
             by_schema.setdefault(kind, []).append(f"{self.path}/{name}")
-        out = self.spark.createDataFrame([], schema) if not by_schema else None
+        out, file = None, [F.col("_metadata.file_path").alias("_file")] if marked else []
         for kind, paths in by_schema.items():
             had = T.StructType.fromJson(json.loads(kind))
-            part = self.spark.read.schema(had).option("basePath", f"{self.path}/data").parquet(*paths).select(*[F.col(f"`{c}`") for c in had.names])
-            out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-        return out.select(*[F.col(f"`{c}`") for c in schema.names])
+            part = self.spark.read.schema(had).option("basePath", f"{self.path}/data").parquet(*paths).select(*read_as(had, schema), *file)
+            out = part if out is None else out.unionByName(part)
+        if out is None:
+            out = self.spark.createDataFrame([], schema)
+            return out.withColumn("_file", F.lit("")) if marked else out
+        return out
 
     def _folders_of(self, found: DataFrame, v: Version) -> list[str]:
         """The data folders of v that the rows of found (column _file) come from."""
@@ -135,44 +220,69 @@ class Table:
 
     # ------------------------------------------------------------ writing
 
-    def _rows(self, written: dict[str, str], schema: T.StructType) -> int:
-        return self._folders(written, schema).count()
+    def marked(self, writer: str) -> int | None:
+        """The number of the last committed write of a marked writer."""
+        return self.version().marks.get(writer) if self.exists() else None
 
-    def append(self, df: DataFrame, partition_by: Sequence[str] = ()) -> Version:
-        known = self.versions()
-        v = self.version() if known else None
-        by = v.partition_by if v else tuple(partition_by)
-        by = tuple(c for c in by if c in df.columns)
-        schema = _widened(T.StructType.fromJson(json.loads(v.schema)), df.schema) if v else df.schema
-        new = self._write(df, by)
-        return self._commit(known[-1] if known else -1, "APPEND", (v.schemas if v else {}) | new, {"rows_added": self._rows(new, df.schema)}, schema, v.partition_by if v else by)
+    def append(self, df: DataFrame, partition_by: Sequence[str] = (), mark: tuple[str, int] | None = None) -> Version:
+        """Add rows.  With a mark (writer, number) whose number is committed already, nothing is written."""
+        v = self.version() if self.exists() else None
+        if mark and v and v.marks.get(mark[0], -1) >= mark[1]:
+            return v
+        by = tuple(c for c in (v.partition_by if v else tuple(partition_by)) if c in df.columns)
+        return self.add([self.stage(df, partition_by=by)], mark)
+
+    def add(self, staged: Sequence[Staged], mark: tuple[str, int] | None = None, after: int | None = None, tries: int = 5) -> Version:
+        """Commit staged folders of rows and companion parts in one step.
+
+        A writer that loses the race looks at the mark again and takes the next version, up to `tries` times; with
+        `after` it may follow that version only (-1: be the first), and raises Conflict otherwise.
+        """
+        for left in range(tries, 0, -1):
+            v = (self.version(after) if after >= 0 else None) if after is not None else self.version() if self.exists() else None
+            if mark and v and v.marks.get(mark[0], -1) >= mark[1]:
+                return v
+            held = {DATA: (v.schemas, v.schema) if v else ({}, None)} | (v.parts if v else {})
+            rows: dict[str, int] = {}
+            retyped: list[str] = []
+            for s in staged:
+                for part, folders in s.folders.items():
+                    rows[part] = rows.get(part, 0) + s.rows[part]
+                    if not folders and part != DATA:
+                        continue
+                    new = s.schemas[part]
+                    had, kind = held.get(part, ({}, None))
+                    old = T.StructType.fromJson(json.loads(kind)) if kind else new
+                    wide = widened(old, new)
+                    retyped += [c for c in changes(old, wide)[2] if part == DATA]
+                    held[part] = (had | folders, wide.json())
+            files, schema = held.pop(DATA)
+            by = v.partition_by if v else next((s.partition_by for s in staged if DATA in s.folders), ())
+            metrics = {"rows_added": rows.get(DATA, 0)} | {f"{k}_rows": n for k, n in rows.items() if k != DATA} | ({"types_widened": retyped} if retyped else {})
+            kind = T.StructType.fromJson(json.loads(schema)) if schema else T.StructType([])
+            try:
+                return self._commit(v, "APPEND", files, metrics, kind, by, held, {mark[0]: mark[1]} if mark else {})
+            except Conflict:
+                if after is not None or left == 1:
+                    raise
+        raise AssertionError("unreachable")
 
     def overwrite(self, df: DataFrame, operation: str = "OVERWRITE", partition_by: Sequence[str] | None = None, metrics: dict | None = None) -> Version:
         """df as the whole table, partitioned as before unless told otherwise."""
-        known = self.versions()
-        by = tuple(partition_by) if partition_by is not None else tuple(c for c in self.version().partition_by if c in df.columns) if known else ()
-        new = self._write(df, by)
-        return self._commit(known[-1] if known else -1, operation, new, (metrics or {}) | {"rows": self._rows(new, df.schema)}, df.schema, by)
+        v = self.version() if self.exists() else None
+        by = tuple(partition_by) if partition_by is not None else tuple(c for c in v.partition_by if c in df.columns) if v else ()
+        new, rows = self._write(df, by)
+        return self._commit(v, operation, new, (metrics or {}) | {"rows": rows}, df.schema, by)
 
-    def _replace(self, v: Version, operation: str, touched: Sequence[str], rows: DataFrame) -> Version:
+    def _replace(self, v: Version, operation: str, touched: Sequence[str], rows: DataFrame, parts: dict | None = None) -> Version:
         """v with the rows in place of the touched folders."""
-        new = self._write(rows, v.partition_by)
+        new, n = self._write(rows, v.partition_by)
         kept = {f: k for f, k in v.schemas.items() if f not in set(touched)}
-        schema = _widened(T.StructType.fromJson(json.loads(v.schema)), rows.schema)
-        return self._commit(v.number, operation, kept | new, {"rows_written": self._rows(new, rows.schema), "folders_kept": len(kept), "folders_replaced": len(touched)}, schema, v.partition_by)
+        schema = widened(T.StructType.fromJson(json.loads(v.schema)), rows.schema)
+        return self._commit(v, operation, kept | new, {"rows_written": n, "folders_kept": len(kept), "folders_replaced": len(touched)}, schema, v.partition_by, parts)
 
     def _with_file(self, v: Version) -> DataFrame:
-        return self._marked(v.schemas, T.StructType.fromJson(json.loads(v.schema)))
-
-    def _marked(self, files: dict[str, str], schema: T.StructType) -> DataFrame:
-        out = None
-        for kind in dict.fromkeys(files.values()):
-            had = T.StructType.fromJson(json.loads(kind))
-            paths = [f"{self.path}/{n}" for n, k in files.items() if k == kind]
-            part = self.spark.read.schema(had).option("basePath", f"{self.path}/data").parquet(*paths)
-            part = part.select(*[F.col(f"`{c}`") for c in had.names], F.col("_metadata.file_path").alias("_file"))
-            out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-        return out if out is not None else self.spark.createDataFrame([], schema).withColumn("_file", F.lit(""))
+        return self._folders(v.schemas, T.StructType.fromJson(json.loads(v.schema)), marked=True)
 
     def merge(self, source: DataFrame, keys: Sequence[str], deleted: Column | None = None) -> Version:
         """Upsert by key; see `merge_upsert`.  On a new table it is the first write.
@@ -182,8 +292,15 @@ class Table:
         if not self.exists():
             return self.overwrite(source if deleted is None else source.where(~F.coalesce(deleted, F.lit(False))), "MERGE")
         v = self.version()
-        touched = self._folders_of(self._with_file(v).join(source.select(*keys), list(keys), "left_semi"), v)
+        had = T.StructType.fromJson(json.loads(v.schema))
+        wide = {f.name.lower(): f for f in widened(had, source.schema).fields}
+        # A column whose type differs from the table's is compared and kept as the type that holds both.
+        source = source.select(*read_as(source.schema, T.StructType([wide[c.lower()] for c in source.columns])))
+        named = source.select(*[F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)])
+        same = reduce(Column.__and__, [F.col(k).cast(wide[k.lower()].dataType).eqNullSafe(F.col(f"_key_{i}")) for i, k in enumerate(keys)])
+        touched = self._folders_of(self._with_file(v).join(named, same, "left_semi"), v)
         held = self._folders({f: v.schemas[f] for f in touched}, T.StructType.fromJson(json.loads(v.schema)))
+        held = held.select(*read_as(had, T.StructType([wide[c.lower()] for c in had.names])))
         return self._replace(v, "MERGE", touched, merge_upsert(held, source, keys, deleted))
 
     def snapshot(self, source: DataFrame, keys: Sequence[str], check: Sequence[str], at: dt.datetime | dt.date) -> Version:
@@ -201,14 +318,19 @@ class Table:
         return self._delete(lambda df: df.where(F.coalesce(condition, F.lit(False))), lambda df: df.where(~F.coalesce(condition, F.lit(False))))
 
     def delete_keys(self, keys: DataFrame) -> Version:
-        """Rows that agree with a row of keys in all of its columns go."""
-        return self._delete(lambda df: df.join(keys, keys.columns, "left_semi"), lambda df: df.join(keys, keys.columns, "left_anti"))
+        """Rows that agree with a row of keys in all of its columns go, from the companion parts that have these columns, too."""
+        return self._delete(lambda df: df.join(keys, keys.columns, "left_semi"), lambda df: df.join(keys, keys.columns, "left_anti"), keys.columns)
 
-    def _delete(self, hit: Callable[[DataFrame], DataFrame], rest: Callable[[DataFrame], DataFrame]) -> Version:
+    def _delete(self, hit: Callable[[DataFrame], DataFrame], rest: Callable[[DataFrame], DataFrame], columns: Sequence[str] | None = None) -> Version:
         v = self.version()
         touched = self._folders_of(hit(self._with_file(v)), v)
         held = self._folders({f: v.schemas[f] for f in touched}, T.StructType.fromJson(json.loads(v.schema)))
-        return self._replace(v, "DELETE", touched, rest(held))
+        parts = dict(v.parts)
+        for name, (files, kind) in v.parts.items() if columns else ():
+            schema = T.StructType.fromJson(json.loads(kind))
+            if set(columns) <= set(schema.names):
+                parts[name] = (self._write(rest(self._folders(files, schema)))[0], kind)
+        return self._replace(v, "DELETE", touched, rest(held), parts)
 
     def register(self, database: str, name: str) -> str:
         """A catalog entry of the newest version, as an external table over its folders' files
@@ -216,20 +338,33 @@ class Table:
         v, full = self.version(), f"`{database}`.`{name}`"
         self.spark.sql(f"create database if not exists `{database}`")
         self.spark.sql(f"drop view if exists {full}") if self._is_view(database, name) else self.spark.sql(f"drop table if exists {full}")
-        if len(v.files) == 1 and not v.partition_by:
+        if len(v.files) == 1 and not v.partition_by and json_names(v.schemas[v.files[0]]) == json_names(v.schema):
             self.spark.catalog.createTable(f"{database}.{name}", path=f"{self.path}/{v.files[0]}", source="parquet")
             return full
         columns = ", ".join(f"`{c}`" for c in json_names(v.schema))
-        scans = [f"select {', '.join(f'`{c}`' if c in json_names(v.schemas[f]) else f'null as `{c}`' for c in json_names(v.schema))} from {self._partition(database, f, v)}" for f in v.files]
+        scans = [f"select {', '.join(self._selected(v, f))} from {self._partition(database, f, v)}" for f in v.files]
         self.spark.sql(f"create view {full} as select {columns} from ({' union all '.join(scans)})")
         return full
 
+    def _selected(self, v: Version, file: str) -> list[str]:
+        """A folder's columns in SQL as those of the table."""
+        had = {f.name.lower(): f for f in T.StructType.fromJson(json.loads(v.schemas[file])).fields}
+        out = []
+        for f in T.StructType.fromJson(json.loads(v.schema)).fields:
+            own, kind = had.get(f.name.lower()), f.dataType.simpleString()
+            nested = own and isinstance(own.dataType, (T.ArrayType, T.MapType, T.StructType))
+            value = "null" if own is None else f"`{own.name}`"
+            if own and kind == "string" and own.dataType.simpleString() != kind:
+                value = f"to_json({value})" if nested else f"base64({value})" if isinstance(own.dataType, T.BinaryType) else value
+            out.append(f"{value} as `{f.name}`" if own and own.dataType.simpleString() == kind else f"cast({value} as {kind}) as `{f.name}`")
+        return out
+
     def _is_view(self, database: str, name: str) -> bool:
         return any(t.name == name.lower() and t.tableType == "VIEW" for t in self.spark.catalog.listTables(database))
 
     def _partition(self, database: str, file: str, v: Version) -> str:
         """A folder in SQL, with its partition values as columns."""
-        values = dict(x.split("=", 1) for x in file.split("/")[2:])
+        values = {c: x for c, x in (level.split("=", 1) for level in file.split("/")[2:]) if c != "_part"}
         kinds = {f.name: f.dataType.simpleString() for f in T.StructType.fromJson(json.loads(v.schemas[file])).fields}
         literal = lambda c: "null" if values[c] == "__HIVE_DEFAULT_PARTITION__" else f"cast('{unquote(values[c])}' as {kinds[c]})"
         extra = "".join(f", {literal(c)} as `{c}`" for c in values)
@@ -256,7 +391,7 @@ class Table:
         """
         known = self.versions()
         kept = known[-max(1, keep) :]
-        live = {f: len(v.partition_by) for n in kept for v in (self.version(n),) for f in v.files}
+        live = {f for n in kept for v in (self.version(n),) for part in (DATA, *v.parts) for f in v.part(part)[0]}
         folder = self._Path(f"{self.path}/data")
         gone = []
         for s in self._fs.listStatus(folder) if self._fs.exists(folder) else []:
@@ -277,11 +412,6 @@ def json_names(schema: str) -> list[str]:
     return T.StructType.fromJson(json.loads(schema)).names
 
 
-def _widened(old: T.StructType, new: T.StructType) -> T.StructType:
-    """old with the columns that only new has."""
-    return T.StructType([*old.fields, *(f for f in new.fields if f.name not in old.names)])
-
-
 def z_value(df: DataFrame, columns: Sequence[str], bits: int = 8) -> Column:
     """Interleaved bits of the columns' ranks among approximate quantiles; text ranks by its first
     six bytes, null ranks first."""
@@ -307,40 +437,3 @@ def _rank(value: Column, edges: list[float], bits: int) -> Column:
     """How many of 2**bits - 1 sorted edges lie at or below the value, by binary search; 0 for null."""
     steps, all_edges = F.lit([1 << i for i in range(bits - 1, -1, -1)]), F.lit(edges)
     return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(all_edges, at + step - 1) <= value, at + step).otherwise(at)).cast("long")
-
-
-@dataclass(frozen=True)
-class Probe:
-    """What came of trying one maintenance operation."""
-
-    operation: str
-    supported: bool
-    detail: str
-
-
-#: Features of managed platforms that this store does not have.
-UNAVAILABLE = {
-    "auto_loader": "use the file stream of lakewright.streaming",
-    "liquid_clustering": "use optimize(zorder=...)",
-    "column_masks": "use lakewright.governance.secure_view",
-    "deletion_vectors": "deletes rewrite the table",
-    "predictive_optimization": "call optimize and vacuum on a schedule",
-}
-
-
-def probe(table: Table, zorder: Sequence[str] = ()) -> list[Probe]:
-    """Try every maintenance operation and report; a failure is an entry, not an error."""
-    tries: list[tuple[str, Callable[[], object]]] = [
-        ("HISTORY", lambda: table.history().count()),
-        ("TIME TRAVEL", lambda: table.read(table.versions()[0]).count()),
-        ("OPTIMIZE", lambda: table.optimize().number),
-        ("ZORDER", lambda: table.optimize(zorder=zorder or table.read().columns[:1]).number),
-        ("VACUUM", lambda: len(table.vacuum(keep=2))),
-    ]
-    out = []
-    for name, f in tries:
-        try:
-            out.append(Probe(name, True, str(f())))
-        except Exception as e:  # noqa: BLE001 - the point is to report what failed
-            out.append(Probe(name, False, str(e).splitlines()[0][:200]))
-    return out + [Probe(k, False, v) for k, v in UNAVAILABLE.items()]
