@@ -63,10 +63,22 @@ def as_of_view(history: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def overlapping_windows(history: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Versions that reach into their successor, or end before they start."""
-    nxt = F.lead("valid_from").over(Window.partitionBy(*keys).orderBy("valid_from"))
-    marked = history.withColumn("_next", nxt)
-    over = F.col("_next").isNotNull() & (F.col("valid_to").isNull() | (F.col("valid_to") > F.col("_next")))
+def overlapping_windows(history: DataFrame, keys: Sequence[str], adjacent: bool = False) -> DataFrame:
+    """Versions that begin before an earlier one of their key has ended, or that end before they start.
+
+    One sweep in the order of starts keeps the greatest end so far (an open version never ends), so every
+    version inside a longer one is told, however many stand between.  Of versions that start together the one that
+    ends first comes first.  Windows are half-open; one without length overlaps nothing.  With adjacent=True
+    only neighbours are compared, and the earlier of the two is told.
+    """
+    by = Window.partitionBy(*keys).orderBy("valid_from", F.col("valid_to").asc_nulls_last())
     inverted = F.coalesce(F.col("valid_to") < F.col("valid_from"), F.lit(False))
-    return marked.withColumn("problem", F.when(inverted, "inverted").when(over, "overlap")).where("problem is not null").drop("_next")
+    if adjacent:
+        marked = history.withColumn("_next", F.lead("valid_from").over(Window.partitionBy(*keys).orderBy("valid_from")))
+        over = F.col("_next").isNotNull() & (F.col("valid_to").isNull() | (F.col("valid_to") > F.col("_next")))
+        return marked.withColumn("problem", F.when(inverted, "inverted").when(over, "overlap")).where("problem is not null").drop("_next")
+    lasts = F.col("valid_to").isNull() | (F.col("valid_to") > F.col("valid_from"))
+    before = by.rowsBetween(Window.unboundedPreceding, -1)
+    marked = history.withColumns({"_end": F.max(F.when(lasts, F.col("valid_to"))).over(before), "_open": F.max(F.when(lasts, F.col("valid_to").isNull())).over(before)})
+    over = lasts & (F.coalesce("_open", F.lit(False)) | F.coalesce(F.col("_end") > F.col("valid_from"), F.lit(False)))
+    return marked.withColumn("problem", F.when(inverted, "inverted").when(over, "overlap")).where("problem is not null").drop("_end", "_open")

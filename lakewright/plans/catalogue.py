@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from lakewright import functions as L
 from lakewright import kpi, quality
-from lakewright.operators import asof, cdc, dedupe, exposure, merge, scd2
+from lakewright.operators import asof, cdc, dedupe, exposure, merge, rollup, scd2
 from lakewright.operators.harmonise import harmonise
 from lakewright.plans import marts
 
@@ -235,6 +235,37 @@ def fx_convert_asof(spark, sf_dir):
     return out.select("o_orderkey", "currency", F.col("amount_thb").cast("double").alias("amount_thb"))
 
 
+@query(f"""
+with {_RATES_SQL},
+o as (
+  select o_orderkey, cast(o_orderdate as date) as o_orderdate, cast(o_totalprice as decimal(18, 2)) as amount,
+         case when n_regionkey = 0 then 'THB' else 'CUR' || n_regionkey end as currency
+  from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey
+)
+select o_orderkey, o.currency,
+       cast(case when o.currency = 'THB' then amount else round(cast(cast(amount as decimal(20, 4)) * rate as decimal(38, 12)), 2) end as double) as amount_thb
+from o asof left join rates on o.currency = rates.from_currency and o.o_orderdate >= rates.rate_date
+""")
+def fx_convert_union(spark, sf_dir):
+    """The same conversion with a rate side that is not proven small: a tagged union by currency and month."""
+    spine = asof.fx_spine(_rates(spark, sf_dir))
+    out = asof.converted(_orders_in_currency(spark, sf_dir), spine, {"amount": "amount_thb"}, "currency", "o_orderdate", rows=asof.BROADCAST_RATES + 1)
+    return out.select("o_orderkey", "currency", F.col("amount_thb").cast("double").alias("amount_thb"))
+
+
+@query("""
+select l.l_orderkey, l.l_linenumber, e.event_id as last_event
+from (select l_orderkey, l_linenumber, l_suppkey % 50 as u, cast(l_shipdate as date) + interval 9000 day as at from lineitem) l
+asof left join (select user_id % 50 as u, ts, max(event_id) as event_id from events group by all) e on l.u = e.u and l.at >= e.ts
+""")
+def last_event_before(spark, sf_dir):
+    """Of every line the newest event of its group before it: both sides are large, and neither is broadcast."""
+    group = F.col("l_suppkey") % 50
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", group.alias("u"), F.expr("cast(l_shipdate as timestamp_ntz) + interval 9000 day").alias("at"))
+    events = read(spark, sf_dir, "events").select((F.col("user_id") % 50).alias("u"), F.col("ts").cast("timestamp_ntz").alias("ts"), "event_id")
+    return asof.last_before(lines, events, {"u": "u"}, "at", "ts", "event_id", "last_event").select("l_orderkey", "l_linenumber", "last_event")
+
+
 # ---------------------------------------------------------------- feeds
 
 
@@ -332,12 +363,35 @@ def scd2_as_of(spark, sf_dir):
     return v.groupBy("user_id").agg(F.max("total_versions").alias("total_versions"), F.count_if("is_current").alias("open_versions"), F.max("valid_from").alias("newest"))
 
 
+@query(f"""
+with {_VERSIONS}
+select user_id, event_id, row_number() over (partition by user_id order by valid_from) as version_number, count(*) over (partition by user_id) as total_versions from x
+""")
+def scd2_version_numbers(spark, sf_dir):
+    return scd2.as_of_view(_history(spark, sf_dir), ["user_id"]).select("user_id", "event_id", F.col("version_number").cast("long").alias("version_number"), "total_versions")
+
+
 @query(f"with {_VERSIONS} select user_id, event_type from x where valid_from <= timestamp '2024-01-15' and (valid_to is null or valid_to > timestamp '2024-01-15')")
 def point_in_time_lookup(spark, sf_dir):
     at = F.lit(dt.datetime(2024, 1, 15)).cast("timestamp_ntz")
     return _history(spark, sf_dir).where(asof.point_in_time(at, F.col("valid_from"), F.col("valid_to"))).select("user_id", "event_type")
 
 
+@query(f"""
+with {_VERSIONS}, b as (
+  select user_id, event_id, valid_from, case when event_id % 7 = 0 then valid_to + interval 40 day when event_id % 7 = 1 then valid_from - interval 1 hour when event_id % 701 = 2 then null else valid_to end as e from x where valid_to is not null
+), r as (select *, row_number() over (partition by user_id order by valid_from, e nulls last) as k from b)
+select i.user_id, i.event_id, case when i.e < i.valid_from then 'inverted' else 'overlap' end as problem
+from r i where i.e < i.valid_from or ((i.e is null or i.e > i.valid_from) and exists (
+  select 1 from r j where j.user_id = i.user_id and j.k < i.k and (j.e is null or (j.e > j.valid_from and j.e > i.valid_from))))
+""")
+def scd2_overlap_sweep(spark, sf_dir):
+    """Every version inside a longer earlier one, found in one sweep; some versions last long or never end."""
+    h = _history(spark, sf_dir).where("valid_to is not null")
+    ends = "case when event_id % 7 = 0 then valid_to + interval 40 day when event_id % 7 = 1 then valid_from - interval 1 hour when event_id % 701 = 2 then null else valid_to end"
+    return scd2.overlapping_windows(h.withColumn("valid_to", F.expr(ends)), ["user_id"]).select("user_id", "event_id", "problem")
+
+
 @query(f"""
 with {_VERSIONS}, b as (select *, case when event_id % 10 = 0 then valid_to + interval 1 hour when event_id % 10 = 1 then valid_from - interval 1 hour else valid_to end as e from x where valid_to is not null),
 n as (select *, lead(valid_from) over (partition by user_id order by valid_from, event_id) as nxt from b)
@@ -346,7 +400,7 @@ select case when e < valid_from then 'inverted' else 'overlap' end as problem, c
 def scd2_overlaps(spark, sf_dir):
     h = _history(spark, sf_dir).where("valid_to is not null")
     spoilt = h.withColumn("valid_to", F.expr("case when event_id % 10 = 0 then valid_to + interval 1 hour when event_id % 10 = 1 then valid_from - interval 1 hour else valid_to end"))
-    return scd2.overlapping_windows(spoilt, ["user_id"]).groupBy("problem").agg(F.count("*").alias("n"))
+    return scd2.overlapping_windows(spoilt, ["user_id"], adjacent=True).groupBy("problem").agg(F.count("*").alias("n"))
 
 
 @query("""
@@ -509,6 +563,59 @@ def loss_ratio_mart(spark, sf_dir):
     return m.select("year_month", "country", "partner_code", "product_code", "policies_on_risk", "claim_count", "late_reported_claims", "is_credible", "credibility_band", *[F.col(c).cast("double").alias(c) for c in amounts])
 
 
+@query(f"""
+with {_CLAIMS_SQL}, g as (select country, list(lag order by lag) as l, sum(lag) as s, count(*) filter (late) as late from f where not orphan and lag is not null group by all)
+select country, len(l)::bigint as claim_count, round(s / len(l), 1)::double as avg_lag_days, l[greatest(1, ceil(0.5 * len(l)))::bigint] as p50_lag_days, l[greatest(1, ceil(0.9 * len(l)))::bigint] as p90_lag_days,
+  l[greatest(1, ceil(0.95 * len(l)))::bigint] as p95_lag_days, l[greatest(1, ceil(0.99 * len(l)))::bigint] as p99_lag_days, late as late_reported_count
+from g
+""")
+def claims_lag_rollup(spark, sf_dir):
+    """Percentiles per country from the stored states of two batches of claims, without going back to the claims."""
+    facts, batch = _facts(spark, sf_dir), F.crc32(F.col("claim_id").cast("binary")) % 2
+    states = [marts.claims_lag_state(facts.where(batch == b)) for b in (0, 1)]
+    m = marts.claims_lag_of(states[0].unionByName(states[1]), 60, AS_OF, ["country"])
+    return m.select("country", "claim_count", "avg_lag_days", *[f"p{p}_lag_days" for p in (50, 90, 95, 99)], "late_reported_count")
+
+
+@query(f"""
+with {_CLAIMS_SQL}, ex as (
+  select country, product_code, policy_id, date_trunc('month', unnest(generate_series(inception_date::timestamp, least(expiry_date, date '2001-08-01')::timestamp - interval 1 day, interval 1 day))) as m
+  from pol where inception_date < date '2001-08-01'
+)
+select cast(date_trunc('quarter', m) as date) as quarter, country, product_code, count(distinct policy_id) as policies_on_risk from ex group by all
+""")
+def policies_on_risk_quarterly(spark, sf_dir):
+    """Different policies on risk per quarter, country and product, rolled up from monthly bitmaps."""
+    dim = _policy_dim(spark, sf_dir).withColumns({"term_days": F.lit(365), "policy_status": F.lit("ACTIVE")})
+    none = spark.createDataFrame([], "policy_id long, effective_date date, is_refund boolean")
+    state = marts.policies_on_risk(exposure.earned_premium(dim, none, AS_OF))
+    quarter = F.trunc("month_start", "quarter").alias("quarter")
+    return rollup.distinct_counts(state, [quarter, "country", "product_code"], "policies_on_risk")
+
+
+@query(f"""
+with {_CLAIMS_SQL}, ex as (
+  select policy_id, date_trunc('month', unnest(generate_series(inception_date::timestamp, least(expiry_date, date '2001-08-01')::timestamp - interval 1 day, interval 1 day))) as m
+  from pol where inception_date < date '2001-08-01'
+), cells as (select policy_id, m, count(*) as n from ex group by all),
+per as (
+  select policy_id, sum(round(cast(cast(o_totalprice as decimal(18, 2)) * n as decimal(30, 8)) / 365, 2)::decimal(18, 2)) as earned,
+         max(cast(o_totalprice as decimal(18, 2)) * case when policy_id % 10 = 3 then 0.5 else 1 end) as written
+  from cells join orders on policy_id = o_orderkey group by all
+)
+select 'earned_within_written' as test, 'error' as severity, count(*) filter (earned > written + greatest(1.0, written / 1000)) as failures from per
+union all select 'premium_not_negative', 'error', (select count(*) from lineitem where l_extendedprice - 20000 < 0 and not (l_returnflag = 'R'))
+""")
+def premium_checks(spark, sf_dir):
+    """No policy earns more than was written, no payment but a refund is negative; a tenth of the policies and some payments break it."""
+    dim = _policy_dim(spark, sf_dir).withColumns({"term_days": F.lit(365), "policy_status": F.lit("ACTIVE")})
+    none = spark.createDataFrame([], "policy_id long, effective_date date, is_refund boolean")
+    earned = exposure.earned_premium(dim, none, AS_OF)
+    less = F.when(F.col("policy_id") % 10 == 3, F.lit(0.5)).otherwise(F.lit(1.0)).cast("decimal(2,1)")
+    payments = read(spark, sf_dir, "lineitem").select((F.col("l_extendedprice") - 20000).alias("amount"), (F.col("l_returnflag") == "R").alias("is_refund"))
+    return quality.summary([quality.earned_within_written(earned.withColumn("written_premium_thb", F.col("written_premium_thb") * less)), quality.premium_not_negative(payments)])
+
+
 @query("""
 select strftime(ts, '%Y-%m') as quote_year_month, event_type as channel, user_id % 5 as partner, count(*) as quotes_issued, count(*) filter (value > 50) as quotes_converted,
   round(count(*) filter (value > 50) / count(*), 4)::double as conversion_rate, count(*) filter (event_id % 10 = 0) as quotes_rejected, count(*) filter (event_id % 10 = 1) as quotes_expired

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakewright.functions import age_years, band, date_key, mask_pii, reporting_lag, year_month
+from lakewright.operators import rollup
 
 #: Days from loss to report from which a claim is late.
 LATE_FROM = 21
@@ -56,10 +59,11 @@ def loss_ratio(earned: DataFrame, claims: DataFrame, products: DataFrame | None
     """Incurred by loss month over earned premium, per month, country, partner and product.
 
     Earned cells are the base: claims of cells without earned premium do not show.  Ratios
-    are null, not 0, over nothing.
+    are null, not 0, over nothing.  `earned` has one row per policy and month (`earned_premium`), so a month's policies are
+    its rows; over several months they are counted from `policies_on_risk`'s state.
     """
     e = earned.groupBy("earned_year_month", "month_start", *_CELL).agg(
-        F.sum("earned_premium_thb").alias("earned_premium_thb"), F.sum("exposure_policy_years").alias("exposure_policy_years"), F.count_distinct("policy_id").alias("policies_on_risk")
+        F.sum("earned_premium_thb").alias("earned_premium_thb"), F.sum("exposure_policy_years").alias("exposure_policy_years"), F.count("policy_id").alias("policies_on_risk")
     )
     c = claims.where("not is_orphan").groupBy("loss_year_month", *[F.col(k).alias(f"_{k}") for k in _CELL]).agg(
         F.count("*").alias("n"), F.sum("gross_incurred_thb").alias("incurred"), F.sum("paid_amount_thb").alias("paid"), F.count_if("is_late_reported").alias("late")
@@ -100,24 +104,45 @@ def quote_conversion(quotes: DataFrame, products: DataFrame) -> DataFrame:
     )
 
 
-def claims_lag(claims: DataFrame, lookback_days: int, as_of: dt.date) -> DataFrame:
-    """Distribution of reporting lag by loss month, country and product."""
-    lag = F.col("reporting_lag_days")
-    # A group's lags take few distinct values, so this accuracy makes the percentiles exact.
-    shares = F.percentile_approx(lag, F.array(*[F.lit(x) for x in (0.5, 0.9, 0.95, 0.99)]), 1_000_000)
-    grouped = claims.where("not is_orphan and reporting_lag_days is not null").groupBy("loss_year_month", "country", "product_code").agg(
-        F.count("*").alias("claim_count"),
-        F.round(F.avg(lag), 1).alias("avg_lag_days"),
+def policies_on_risk(earned: DataFrame, number: str | Column = "policy_id") -> DataFrame:
+    """State of the policies on risk per month and cell, to be rolled up to any span (`rollup.distinct_counts`)."""
+    return rollup.distinct_state(earned, ["month_start", *_CELL], number)
+
+
+_LAG_CELL = ["loss_year_month", "country", "product_code"]
+_LAG_SUMS, _LAG_MOST = ("late_incurred",), ("last_loss",)
+
+
+def claims_lag_state(claims: DataFrame) -> DataFrame:
+    """Claims per loss month, country, product and days of lag: what `claims_lag_of` needs, to be kept and added to."""
+    late = F.when(F.col("is_late_reported"), F.col("gross_incurred_thb")).otherwise(0)
+    return rollup.value_state(claims.where("not is_orphan"), _LAG_CELL, "reporting_lag_days", {"late_incurred": late}, {"last_loss": F.col("loss_date")})
+
+
+def claims_lag_of(state: DataFrame, lookback_days: int, as_of: dt.date, by: Sequence[str] = tuple(_LAG_CELL)) -> DataFrame:
+    """Distribution of reporting lag over any of the state's columns, exact however many batches and cells it unites."""
+    lag, n = F.col("reporting_lag_days"), F.col("_n")
+    merged = rollup.merged_values(state, by, "reporting_lag_days", _LAG_SUMS, _LAG_MOST)
+    late = F.sum(F.when(lag >= LATE_FROM, n).otherwise(0))
+    plain = merged.groupBy(*by).agg(
+        F.sum(n).alias("claim_count"),
+        F.round(F.sum(lag * n) / F.sum(n), 1).alias("avg_lag_days"),
         F.min(lag).alias("min_lag_days"),
         F.max(lag).alias("max_lag_days"),
-        shares.alias("_p"),
-        F.count_if("is_late_reported").alias("late_reported_count"),
-        F.round(F.count_if("is_late_reported") / F.count("*"), 4).alias("late_reported_pct"),
-        F.count_if(lag > lookback_days).alias("beyond_lookback_window"),
-        F.sum(F.when(F.col("is_late_reported"), F.col("gross_incurred_thb")).otherwise(0)).alias("late_reported_incurred_thb"),
-        (F.date_add(F.max("loss_date"), F.max(lag)) > F.date_sub(F.lit(as_of), lookback_days)).alias("claims_still_developing"),
+        late.alias("late_reported_count"),
+        F.round(late / F.sum(n), 4).alias("late_reported_pct"),
+        F.sum(F.when(lag > lookback_days, n).otherwise(0)).alias("beyond_lookback_window"),
+        F.sum("late_incurred").alias("late_reported_incurred_thb"),
+        (F.date_add(F.max("last_loss"), F.max(lag)) > F.date_sub(F.lit(as_of), lookback_days)).alias("claims_still_developing"),
     )
-    return grouped.withColumns({f"p{n}_lag_days": F.col("_p")[i] for i, n in enumerate((50, 90, 95, 99))}).drop("_p")
+    shares = rollup.percentiles(merged, by, "reporting_lag_days", {f"p{p}_lag_days": p / 100 for p in (50, 90, 95, 99)})
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by])
+    return plain.join(shares.withColumnsRenamed({c: f"_{c}" for c in by}), same).drop(*[f"_{c}" for c in by])
+
+
+def claims_lag(claims: DataFrame, lookback_days: int, as_of: dt.date) -> DataFrame:
+    """Distribution of reporting lag by loss month, country and product."""
+    return claims_lag_of(claims_lag_state(claims), lookback_days, as_of)
 
 
 def date_dim(spark: SparkSession, start: dt.date, end: dt.date) -> DataFrame:

@@ -1,6 +1,7 @@
 """Data-quality tests: each finds offending rows; none found is a pass.
 
-A test is lazy; `summary` runs any number of them as one union of counts.
+A test is lazy; `summary` runs any number of them in one job.  Tests of single rows on one frame
+are counted together in one pass over it; tests by key count by themselves.
 """
 
 from __future__ import annotations
@@ -22,6 +23,9 @@ class Check:
     name: str
     severity: str
     offending: DataFrame
+    #: Of a test of single rows: the frame, and what makes a row of it offend.
+    frame: DataFrame | None = None
+    offends: Column | None = None
 
     def __post_init__(self) -> None:
         if self.severity not in ("error", "warn"):
@@ -40,17 +44,21 @@ class Result:
         return "pass" if not self.failures else "warn" if self.severity == "warn" else "fail"
 
 
+def _by_row(name: str, severity: str, df: DataFrame, offends: Column) -> Check:
+    return Check(name, severity, df.where(offends), df, offends)
+
+
 def unique(df: DataFrame, keys: Sequence[str], severity: str = "error", name: str = "unique") -> Check:
     present = reduce(Column.__and__, [F.col(k).isNotNull() for k in keys])
     return Check(name, severity, df.where(present).groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1"))
 
 
 def not_null(df: DataFrame, column: str, severity: str = "error", name: str = "not_null") -> Check:
-    return Check(name, severity, df.where(F.col(column).isNull()))
+    return _by_row(name, severity, df, F.col(column).isNull())
 
 
 def accepted_values(df: DataFrame, column: str, values: Sequence, severity: str = "error", name: str = "accepted_values") -> Check:
-    return Check(name, severity, df.where(F.col(column).isNotNull() & ~F.col(column).isin(*values)))
+    return _by_row(name, severity, df, F.col(column).isNotNull() & ~F.col(column).isin(*values))
 
 
 def relationships(df: DataFrame, column: str, parent: DataFrame, key: str, severity: str = "error", name: str = "relationships") -> Check:
@@ -63,11 +71,11 @@ def accepted_range(df: DataFrame, column: str, low=None, high=None, severity: st
     out = F.lit(False)
     out = out if low is None else out | (F.col(column) < low)
     out = out if high is None else out | (F.col(column) > high)
-    return Check(name, severity, df.where(out))
+    return _by_row(name, severity, df, out)
 
 
 def expression(df: DataFrame, holds: str, where: str = "true", severity: str = "error", name: str = "expression") -> Check:
-    return Check(name, severity, df.where(where).where(~F.expr(holds)))
+    return _by_row(name, severity, df, F.expr(where) & ~F.expr(holds))
 
 
 def no_overlaps(history: DataFrame, keys: Sequence[str], severity: str = "error", name: str = "no_overlapping_windows") -> Check:
@@ -75,11 +83,11 @@ def no_overlaps(history: DataFrame, keys: Sequence[str], severity: str = "error"
 
 
 def valid_thai_id(df: DataFrame, column: str, severity: str = "warn", name: str = "valid_thai_id") -> Check:
-    return Check(name, severity, df.where(~is_valid_thai_id(F.col(column))))
+    return _by_row(name, severity, df, ~is_valid_thai_id(F.col(column)))
 
 
 def loss_within_coverage(facts: DataFrame, severity: str = "warn") -> Check:
-    return Check("loss_within_coverage", severity, facts.where("is_outside_coverage"))
+    return _by_row("loss_within_coverage", severity, facts, F.col("is_outside_coverage"))
 
 
 def earned_within_written(earned: DataFrame, severity: str = "error") -> Check:
@@ -89,7 +97,7 @@ def earned_within_written(earned: DataFrame, severity: str = "error") -> Check:
 
 
 def premium_not_negative(payments: DataFrame, severity: str = "error") -> Check:
-    return Check("premium_not_negative", severity, payments.where("amount < 0 and not coalesce(is_refund, false)"))
+    return _by_row("premium_not_negative", severity, payments, F.expr("amount < 0 and not coalesce(is_refund, false)"))
 
 
 def freshness(df: DataFrame, at: str, now: dt.datetime, warn_hours: float, error_hours: float, by: Sequence[str] = ()) -> DataFrame:
@@ -101,9 +109,19 @@ def freshness(df: DataFrame, at: str, now: dt.datetime, warn_hours: float, error
 
 
 def summary(checks: Sequence[Check]) -> DataFrame:
-    """test, severity, failures: one row per check, counted in one job."""
-    rows = [c.offending.agg(F.count("*").alias("failures")).select(F.lit(c.name).alias("test"), F.lit(c.severity).alias("severity"), "failures") for c in checks]
-    return reduce(DataFrame.unionByName, rows)
+    """test, severity, failures: one row per check, in one job that scans a frame once for all its tests of rows."""
+    by_frame: dict[int, list[Check]] = {}
+    out = []
+    for c in checks:
+        if c.frame is None:
+            out.append(c.offending.agg(F.count("*").alias("failures")).select(F.lit(c.name).alias("test"), F.lit(c.severity).alias("severity"), "failures"))
+        else:
+            by_frame.setdefault(id(c.frame), []).append(c)
+    for same in by_frame.values():
+        counted = same[0].frame.agg(*[F.count(F.when(c.offends, 1)).alias(f"_{i}") for i, c in enumerate(same)])
+        rows = [F.struct(F.lit(c.name).alias("test"), F.lit(c.severity).alias("severity"), F.col(f"_{i}").alias("failures")) for i, c in enumerate(same)]
+        out.append(counted.select(F.inline(F.array(*rows))))
+    return reduce(DataFrame.unionByName, out)
 
 
 def run(checks: Sequence[Check]) -> list[Result]:
