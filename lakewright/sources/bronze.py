@@ -13,6 +13,7 @@ import argparse
 import csv
 import datetime as dt
 import json
+import re
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -69,7 +70,7 @@ def files_of(spark: SparkSession, source: Source, landing: str) -> DataFrame:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{landing.rstrip('/')}/{source.path}")
     found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
     # Paths as Spark's file metadata tells them.
-    there = [(s.getPath().toUri().toString(), s.getLen(), dt.datetime.fromtimestamp(s.getModificationTime() // 1000, dt.UTC)) for s in found or [] if s.isFile()]
+    there = [(re.sub("^file:/+", "file:/", s.getPath().toUri().toString()), s.getLen(), dt.datetime.fromtimestamp(s.getModificationTime() // 1000, dt.UTC)) for s in found or [] if s.isFile()]
     return spark.createDataFrame(sorted(there), "file_path string, file_size long, file_modified_at timestamp")
 
 
@@ -148,11 +149,16 @@ def stage_landing(table: Table, rows: DataFrame, key: Sequence[str], partition_b
     return table.stage(marked, {DATA: (~refused, columns), QUARANTINE: (refused, rejects)}, by), columns
 
 
+def one_path(path: str) -> Column:
+    """A file's path in the one form that manifests have; local paths are told with one slash or three."""
+    return F.regexp_replace(path, "^file:/+", "file:/")
+
+
 def manifest_of(table: Table, staged: Staged, source: str, batch: str, pattern: str, now: dt.datetime, files: DataFrame | None = None) -> DataFrame:
     """The manifest rows of staged files: rows and rejects counted from what was written; `files` (path, size, modification
     time) adds those without a row."""
     written = T.StructType([T.StructField("_source_file", T.StringType()), T.StructField("_file_size", T.LongType()), T.StructField("_file_modified_at", T.TimestampType()), T.StructField("_quarantine_reason", T.StringType())])
-    per_file = [F.col("_source_file").alias("file_path"), F.col("_file_size").alias("file_size"), F.date_trunc("second", "_file_modified_at").alias("file_modified_at")]
+    per_file = [one_path("_source_file").alias("file_path"), F.col("_file_size").alias("file_size"), F.date_trunc("second", "_file_modified_at").alias("file_modified_at")]
     counted = table.read_staged(staged, written).groupBy(*per_file).agg(F.count_if(F.col("_quarantine_reason").isNull()).alias("row_count"), F.count_if(F.col("_quarantine_reason").isNotNull()).alias("quarantined_count"))
     if files is not None:
         counted = files.join(counted.drop("file_size", "file_modified_at"), "file_path", "left").fillna(0, ["row_count", "quarantined_count"])

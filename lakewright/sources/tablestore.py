@@ -152,7 +152,9 @@ class Table:
         """Write df once, its rows dealt to parts: of each part the condition (the first that holds counts) and
         the columns.  Without parts all goes to one.  Nothing is part of the table until it is committed."""
         name, seen = f"data/_commit=c{uuid.uuid4().hex}", Observation()
+        # Every folder has both levels, so that any of them can be read together.
         if parts is None:
+            name += f"/_part={DATA}"
             schemas, levels = {DATA: df.schema}, list(partition_by)
             df = df.observe(seen, F.count(F.lit(1)).alias(DATA))
         else:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lakewright.operators.dedupe import dedupe_latest
-from lakewright.sources.bronze import FILE_COLUMNS, FILES, decorate, manifest_of, stage_landing
+from lakewright.sources.bronze import FILE_COLUMNS, FILES, decorate, manifest_of, one_path, stage_landing
 from lakewright.sources.tablestore import Table
 
 
@@ -31,11 +31,12 @@ def land_stream(spark: SparkSession, source: str, path: str, schema: str, fmt: s
 
     def land(batch: DataFrame, number: int) -> None:
         mark = (f"{source}:{stream_id(spark, checkpoint)}", number)
-        if (table.marked(mark[0]) if table.exists() else None) is not None and table.marked(mark[0]) >= number:
+        last = table.marked(mark[0])
+        if last is not None and last >= number:
             return
         if table.has(FILES):
             done = table.read(part=FILES).where(F.col("source_name") == source)
-            known = [F.col("file_path") == F.col("_source_file"), F.col("file_size") == F.col("_file_size"), F.col("file_modified_at") == F.date_trunc("second", "_file_modified_at")]
+            known = [F.col("file_path") == one_path("_source_file"), F.col("file_size") == F.col("_file_size"), F.col("file_modified_at") == F.date_trunc("second", "_file_modified_at")]
             batch = batch.join(done, known, "left_anti")
         now, name = dt.datetime.now(dt.UTC), f"{mark[0]}:{number}"
         staged, _ = stage_landing(table, decorate(batch, source, name, pattern, now), key)
