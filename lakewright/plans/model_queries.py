@@ -341,6 +341,10 @@ from b asof left join rates on b.currency = rates.from_currency and b.loss_date
 """)
 def silver_claims(spark, sf_dir):
     out = built(spark, "silver_claims", built(spark, "stg_claims", _internal_claims(spark, sf_dir)), built(spark, "stg_partner_claims", *_partner_claims(spark, sf_dir)), _spine(spark, sf_dir))
+    return claims_columns(out)
+
+
+def claims_columns(out: DataFrame) -> DataFrame:
     out = _double(out, "gross_incurred", "paid_amount", "gross_incurred_thb")
     return out.select("claim_id", "claim_no", "policy_id", "loss_date", "claim_cause", "claim_status", "gross_incurred", "paid_amount", "at_fault", "currency", "reporting_lag_days", "record_source", "is_late_reported", "gross_incurred_thb")
 
@@ -365,6 +369,10 @@ from p asof left join rates on p.currency = rates.from_currency and p.effective_
 """)
 def silver_premium_payments(spark, sf_dir):
     out = built(spark, "silver_premium_payments", built(spark, "stg_premium_payments", _payments(spark, sf_dir)), _spine(spark, sf_dir))
+    return payment_columns(out)
+
+
+def payment_columns(out: DataFrame) -> DataFrame:
     return _double(out, "amount", "amount_thb").select("payment_id", "policy_id", "effective_date", "currency", "payment_method", "payment_status", "is_refund", "amount", "amount_thb")
 
 

@@ -60,6 +60,8 @@ class Run:
     reporting: str = "THB"
     lookback_days: int = 60
     salt: str = ""
+    #: The landing tables by source; with them silver facts read only the history of keys that recent batches touched.
+    landing: Callable[[str], Table] | None = None
     frames: dict[str, DataFrame] = field(default_factory=dict)
 
     def table(self, name: str) -> Table:
@@ -334,6 +336,10 @@ def _materialise(run: Run, m: Model, build: Callable[[], DataFrame]) -> DataFram
     table = run.table(m.name)
     if m.name == "policies_snapshot":
         table.snapshot(build(), ["policy_id"], CHECKED, run.at)
+    elif m.key and run.landing and table.exists():
+        from lakewright.plans import incremental
+
+        incremental.refresh(run, m.name, run.landing, run.frames)
     elif m.key:
         rows = build()
         high = table.read().agg(F.max("batch_date")).first()[0] if table.exists() else None

@@ -220,6 +220,35 @@ class Table:
         there = {path(uri(r["_file"])).getParent().toUri().getPath().split(start, 1)[-1] for r in found.select("_file").distinct().collect()}
         return [f for f in v.files if f in there]
 
+    def since(self, column: str, bound: object) -> DataFrame:
+        """Rows whose column is at least a bound; of a table partitioned by it, older folders are not even opened."""
+        return self.read().where(F.col(column) >= F.lit(bound))
+
+    def holding(self, keys: Mapping[str, tuple[Column, DataFrame]]) -> tuple[DataFrame, int]:
+        """The rows that have a key, and the number of files they stand in: two steps, so that what is read of a
+        table follows the keys.  First only the keys' columns are read, for the files that hold one; then these files
+        alone.  keys: for each name an expression over the table and a frame of one column with wanted values; a
+        row is taken if any of its expressions is among the wanted."""
+        v = self.version()
+        schema = T.StructType.fromJson(json.loads(v.schema))
+
+        def wanted(df: DataFrame) -> DataFrame:
+            for name, (value, known) in keys.items():
+                df = df.withColumn(f"_is_{name}", value)
+                df = df.join(known.select(F.col(known.columns[0]).alias(f"_known_{name}")).distinct(), F.col(f"_is_{name}") == F.col(f"_known_{name}"), "left")
+            hit = reduce(Column.__or__, [F.col(f"_known_{name}").isNotNull() for name in keys])
+            return df.where(hit).drop(*[f"{p}_{name}" for p in ("_is", "_known") for name in keys])
+
+        files = [r["_file"] for r in wanted(self._folders(v.schemas, schema, marked=True)).select("_file").distinct().collect()]
+        uri, path = self.spark.sparkContext._jvm.java.net.URI, self._Path
+        root = path(self.path).toUri().getPath()
+        of_folder = {f"{root}/{f}": kind for f, kind in v.schemas.items()}
+        by_file = {}
+        for f in files:
+            place = path(uri(f))
+            by_file[place.toUri().getPath()[len(root) + 1 :]] = of_folder[place.getParent().toUri().getPath()]
+        return wanted(self._folders(by_file, schema)), len(files)
+
     # ------------------------------------------------------------ writing
 
     def marked(self, writer: str) -> int | None:
@@ -305,6 +334,18 @@ class Table:
         held = held.select(*read_as(had, T.StructType([wide[c.lower()] for c in had.names])))
         return self._replace(v, "MERGE", touched, merge_upsert(held, source, keys, deleted))
 
+    def replace_keys(self, source: DataFrame, key: str, affected: DataFrame) -> Version:
+        """source in place of all rows whose key is among those affected (a frame of one column); keys of source are among them.
+
+        Only folders that hold an affected key are written anew.
+        """
+        v = self.version()
+        schema = T.StructType.fromJson(json.loads(v.schema))
+        named = affected.select(F.col(affected.columns[0]).alias("_affected")).distinct()
+        touched = self._folders_of(self._with_file(v).join(named, F.col(key) == F.col("_affected"), "left_semi"), v)
+        held = self._folders({f: v.schemas[f] for f in touched}, schema).join(named, F.col(key) == F.col("_affected"), "left_anti")
+        return self._replace(v, "REPLACE", touched, held.unionByName(source.select(*[c for c in source.columns if c in schema.names]), allowMissingColumns=True))
+
     def snapshot(self, source: DataFrame, keys: Sequence[str], check: Sequence[str], at: dt.datetime | dt.date) -> Version:
         """SCD2 history of source; see `scd2_apply`.  Folders of closed versions alone stay."""
         if self.exists():
