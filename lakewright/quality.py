@@ -108,21 +108,27 @@ def freshness(df: DataFrame, at: str, now: dt.datetime, warn_hours: float, error
     return found.withColumn("age_hours", hours).withColumn("status", F.when(F.col("age_hours") > error_hours, "error").when(F.col("age_hours") > warn_hours, "warn").otherwise("pass"))
 
 
-def summary(checks: Sequence[Check]) -> DataFrame:
-    """test, severity, failures: one row per check, in one job that scans a frame once for all its tests of rows."""
-    by_frame: dict[int, list[Check]] = {}
+def _counted(checks: Sequence[Check]) -> DataFrame:
+    """place (in the order given), test, severity, failures."""
+    by_frame: dict[int, list[tuple[int, Check]]] = {}
     out = []
-    for c in checks:
+    for k, c in enumerate(checks):
         if c.frame is None:
-            out.append(c.offending.agg(F.count("*").alias("failures")).select(F.lit(c.name).alias("test"), F.lit(c.severity).alias("severity"), "failures"))
+            out.append(c.offending.agg(F.count("*").alias("failures")).select(F.lit(k).alias("place"), F.lit(c.name).alias("test"), F.lit(c.severity).alias("severity"), "failures"))
         else:
-            by_frame.setdefault(id(c.frame), []).append(c)
+            by_frame.setdefault(id(c.frame), []).append((k, c))
     for same in by_frame.values():
-        counted = same[0].frame.agg(*[F.count(F.when(c.offends, 1)).alias(f"_{i}") for i, c in enumerate(same)])
-        rows = [F.struct(F.lit(c.name).alias("test"), F.lit(c.severity).alias("severity"), F.col(f"_{i}").alias("failures")) for i, c in enumerate(same)]
+        counted = same[0][1].frame.agg(*[F.count(F.when(c.offends, 1)).alias(f"_{k}") for k, c in same])
+        rows = [F.struct(F.lit(k).alias("place"), F.lit(c.name).alias("test"), F.lit(c.severity).alias("severity"), F.col(f"_{k}").alias("failures")) for k, c in same]
         out.append(counted.select(F.inline(F.array(*rows))))
     return reduce(DataFrame.unionByName, out)
 
 
+def summary(checks: Sequence[Check]) -> DataFrame:
+    """test, severity, failures: one row per check, in one job that scans a frame once for all its tests of rows."""
+    return _counted(checks).drop("place")
+
+
 def run(checks: Sequence[Check]) -> list[Result]:
-    return [Result(r["test"], r["severity"], r["failures"]) for r in summary(checks).collect()]
+    """The results in the order of the checks."""
+    return [Result(r["test"], r["severity"], r["failures"]) for r in sorted(_counted(checks).collect(), key=lambda r: r["place"])]
