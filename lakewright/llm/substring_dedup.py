@@ -40,6 +40,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -108,8 +109,10 @@ def _survey(batches):
         )
 
 
-def _passages(batch):
-    """(place, mark, words, anchors, rare and hot flags of the windows) of candidates."""
+def _passages(batch, wanted: int):
+    """(place, mark, words, anchors, rare and hot flags of the windows) of candidates; of documents without
+    any in the wanted column the words are not even cut.  (Spark reads one shuffle for both columns.)"""
+    batch = batch.filter(pc.fill_null(pc.greater(pc.list_value_length(batch.column(wanted)), 0), False))
     rare, hot = batch.column(3), batch.column(4)
     for r, h in _documents(batch.column(2)):
         a = _anchors(h)
@@ -121,7 +124,7 @@ def _cut_passages(n_shards: int):
     def run(batches):
         for batch in batches:
             rows = []
-            for place, mark, h, a, rare, _ in _passages(batch):
+            for place, mark, h, a, rare, _ in _passages(batch, 3):
                 if not rare.any():
                     continue
                 change = np.ones(len(a), dtype=bool)
@@ -169,7 +172,7 @@ def _search_shard(group: pa.Table) -> pa.Table:
 def _cut_windows(batches):
     for batch in batches:
         cols = ([], [], [], [], [])
-        for place, mark, h, _, _, hot in _passages(batch):
+        for place, mark, h, _, _, hot in _passages(batch, 4):
             at = np.flatnonzero(hot)
             if not len(at):
                 continue
