@@ -12,29 +12,34 @@ O(k**2), because after an edit both walks meet again.  Here
   in the text the item would begin.  Items under ``SHORT`` bytes have few windows and
   get the shorter and more walks of ``SHORT_WALKS`` besides;
 * around every such place an item-sized window (plus the allowed edits) is
-  verified: first the positional q-gram lemma, which never rejects a match that keeps the
-  key's place, then Myers'
+  verified.  A match keeps most of the item's q-grams near their places: they are counted by hash for all
+  candidates at once, then exactly (neither rejects a match that keeps the key's place), and last comes Myers'
   bit-parallel edit distance over code points, which is exact.
 
 An item is missed if no window survives in any repetition, so the search is not complete.
-Measured at ``MAX_EDITS``, random edits of a fifth of the characters (tests): recall 0.98 to
-1 from 12 words on, 0.95 at 8 and 0.8 at 5 words; at a share of 0.15 it is 0.97 at 5 words
-and 1 beyond.  Evenly spread substitutions spoil every window: 0.96 at a share of 0.16, 0.675
-at 0.2 on items of 10 to 50 words.  Items under ``TINY`` bytes are cut into one more piece than edits are
-allowed, so that one occurs unedited, and all pieces' places are verified: complete.
+Measured at ``MAX_EDITS``, a fifth of the characters edited: random edits are found to 0.9 at 5 words and to 0.98 or more
+from 8 words on; substitutions of every fifth character, which spoil every window, to 0.67 at 5 words, 0.85 at 8, 0.97 at 12, 0.71 at
+20 (items of 100 bytes and more have the longer walks only) and 0.97 at 40.  Fewer samples find more: with 10 of 24
+outputs the short items reach 0.83 to 1, at 2.7 times the candidates.  Items under ``TINY`` bytes are cut into one more
+piece than edits are allowed, so that one occurs unedited, and all pieces' places are verified: complete.
 
+The index is built in arrays, all items at once, and kept in the Python worker from task to task.
 The benchmark is a stated query set: it is taken in blocks of at most ``BLOCK_BYTES`` on
 average, each broadcast and held against all rows, so its size is bounded whatever the
 benchmark's; the corpus is read once for each block.
 
 Defined results: null and empty texts hold nothing; null or empty items are
 never found; a null id stays null; equal items are each reported; repeated rows
-are reported each.  Among equally good places the first is told.
+are reported each.  Among equally good places the first is told.  Very long texts are searched
+whole; extra columns are ignored, or kept by `without_benchmark`; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
+from dataclasses import dataclass
+
 import ahocorasick
 import numpy as np
 import pyarrow as pa
@@ -42,17 +47,19 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakewright.llm._common import map_arrow, table
+from lakewright.llm._common import cut, map_arrow, table
 from lakewright.llm._words import U, mix, slices, tokens
 
 #: (steps, sampled outputs, repetitions) of the walks, for all items and more for those under SHORT bytes.
-WALKS, SHORT_WALKS, SHORT = (40, 16, 8), (24, 16, 12), 100
+WALKS, SHORT_WALKS, SHORT = (40, 12, 8), (24, 12, 12), 100
 MAX_EDITS = 0.2
 TINY = 24
 LONG = 16
-BLOCK_BYTES = 8 << 20
-EARLY = 8
-_TILE, _GRAM = 1 << 16, 3
+BLOCK_BYTES = 4 << 20
+EARLY = 6
+_TILE, _GRAM, _HASHED = 1 << 16, 3, 1 << 12
+#: No item of TINY bytes or more has as many stretches: its length and twice its edits, by its edits.
+_STRETCHES = 16
 
 
 def _walks(steps: int, samples: int, repeats: int, seed: int = 8):
@@ -113,11 +120,11 @@ def walk_keys(data: np.ndarray, starts: np.ndarray, walk) -> tuple[np.ndarray, n
 class _Keys:
     """The keys of all items' windows under one walk."""
 
-    def __init__(self, walk, rows: list[tuple[int, int, int, int]]) -> None:
-        rows = sorted(rows, key=lambda r: r[1:])
-        self.walk = walk
-        early, keys = (np.array([r[i] for r in rows], dtype=U) for i in (0, 1))
-        self.keys, self.places = keys, np.array([r[2:] for r in rows], dtype=np.int64).reshape(-1, 2)
+    def __init__(self, walk, early: np.ndarray, keys: np.ndarray, items: np.ndarray, places: np.ndarray) -> None:
+        order = np.lexsort((places, items, keys))
+        self.walk, self.keys = walk, keys[order]
+        #: Item number and code point of every window, by key.
+        self.places = np.stack([items[order], places[order]], axis=1).astype(np.int32)
         self.early, self.seen = np.zeros(1 << 16, dtype=bool), np.zeros(1 << 18, dtype=bool)
         self.early[(early >> U(48)).astype(np.int64)] = True
         self.seen[(keys >> U(46)).astype(np.int64)] = True
@@ -191,25 +198,75 @@ class Items:
         self.texts = list(by_text)
         self.ids = [sorted(set(v), key=lambda x: (x is None, x or 0)) for v in by_text.values()]
         raw = [t.encode() for t in self.texts]
-        self.grams, self.tiny = [_gram_places(t) for t in self.texts], None
+        self.tiny, self._grams, self._masks = None, {}, {}
+        self.sizes = np.array([len(t) for t in self.texts], dtype=np.int64)
+        self.allowed = np.array([self.most(n) for n in range(len(self.texts))], dtype=np.int64)
         walks = [(w, False) for w in _walks(*WALKS)]
         if any(TINY <= len(b) < SHORT for b in raw):
             walks += [(w, True) for w in _walks(*SHORT_WALKS)]
-        keyed: list[list] = [[] for _ in walks]
-        for n, (b, t) in enumerate(zip(raw, self.texts, strict=True)):
+        for n, b in enumerate(raw):
             if len(b) < TINY:
-                self._add_tiny(n, t)
-                continue
-            data = np.frombuffer(b, dtype=np.uint8)
-            starts = window_starts(np.array([0, len(b)]), data)
-            before = np.cumsum((data & 0xC0) != 0x80) - 1  # code points before each byte
-            for (walk, short), rows in zip(walks, keyed, strict=True):
-                if not short or len(b) < SHORT:
-                    early, keys, ends = walk_keys(data, starts, walk)
-                    rows += [(int(early[i]), int(keys[i]), n, int(before[starts[i]])) for i in np.flatnonzero(ends <= len(b))]
+                self._add_tiny(n, self.texts[n])
         if self.tiny:
             self.tiny.make_automaton()
-        self.tables = [_Keys(walk, rows) for (walk, _), rows in zip(walks, keyed, strict=True) if rows]
+        # All longer items end to end; a walk that leaves its item is no window.
+        numbers = np.array([n for n, b in enumerate(raw) if len(b) >= TINY], dtype=np.int64)
+        data = np.frombuffer(b"".join(raw[n] for n in numbers), dtype=np.uint8)
+        offsets = np.concatenate([[0], np.cumsum([len(raw[n]) for n in numbers], dtype=np.int64)])
+        starts = window_starts(offsets, data)
+        item = np.searchsorted(offsets, starts, side="right") - 1
+        points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])  # code points before each byte
+        place = points[starts] - points[offsets[item]]
+        few = np.diff(offsets)[item] < SHORT if len(numbers) else np.zeros(0, dtype=bool)
+        self.tables = []
+        for walk, short in walks:
+            those = np.flatnonzero(few) if short else np.arange(len(starts))
+            early, keys, ends = walk_keys(data, starts[those], walk)
+            whole = ends <= offsets[item[those] + 1]
+            if whole.any():
+                self.tables.append(_Keys(walk, early[whole], keys[whole], numbers[item[those[whole]]], place[those[whole]]))
+
+    def grams(self, n: int) -> tuple[np.ndarray, ...]:
+        """The q-grams of an item, made when it is first asked for."""
+        if n not in self._grams:
+            self._grams[n] = _gram_places(self.texts[n])
+        return self._grams[n]
+
+    def _mask(self, n: int) -> np.ndarray:
+        """Which hashed q-grams an item has within reach of each stretch of as many places as edits are allowed."""
+        if n not in self._masks:
+            own, most = _hashed(self.grams(n)[4]), self.most(n)
+            mask, at = np.zeros((_STRETCHES, _HASHED), dtype=bool), np.arange(len(own))
+            for k in range(3):
+                mask[np.minimum(at // max(most, 1) + k, (at + 2 * most) // max(most, 1)), own] = True
+            self._masks[n] = mask.ravel()
+        return self._masks[n]
+
+    def _plausible(self, found: np.ndarray, grams: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Candidates around which the text has as many of the item's q-grams, near their places, as a match must keep: counted by
+        hash and for all candidates at once; first and last bound their rows.  No match is lost: collisions and coarse
+        places only add to the count."""
+        n, at = found[:, 1], found[:, 2]
+        size, most = self.sizes[n], self.allowed[n]
+        need = size - (_GRAM - 1) - _GRAM * most
+        lo, hi = np.maximum(first, at - most), np.minimum(last - _GRAM + 1, at + size + most)
+        width = np.maximum(hi - lo, 0)
+        items, which = np.unique(n, return_inverse=True)
+        masks = np.concatenate([self._mask(i) for i in items.tolist()])
+        hashed, count = _hashed(grams), np.zeros(len(found), dtype=np.int64)
+        ends = np.cumsum(width)
+        a = 0
+        while a < len(found):
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + _TILE * 16, side="right")))
+            w = width[a:b]
+            begin = np.cumsum(w) - w
+            place = np.arange(w.sum()) + np.repeat(lo[a:b] - begin, w)
+            stretch = (place - np.repeat((at - most)[a:b], w)) // np.repeat(np.maximum(most[a:b], 1), w)
+            hit = masks[(np.repeat(which[a:b] * _STRETCHES, w) + stretch) * _HASHED + hashed[place]]
+            total = np.concatenate([[0], np.cumsum(hit)])
+            count[a:b] = total[begin + w] - total[begin]
+            a = b
+        return found[(need <= 0) | (count >= need)]
 
     def _add_tiny(self, n: int, t: str) -> None:
         """One more piece than edits are allowed: one of them occurs unedited."""
@@ -246,15 +303,17 @@ class Items:
         done: dict[tuple[int, int], int] = {}
         before = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
         bounds = before[offsets].tolist()
-        found = self.candidates(offsets, data, before).tolist()
-        text, grams = (data.tobytes().decode("utf-8", "replace"), None) if found else ("", None)
-        for row, n, at in found:
+        found = self.candidates(offsets, data, before)
+        text = grams = None
+        if len(found):
+            text = data.tobytes().decode("utf-8", "replace")
+            grams = _grams(_points(text))
+            found = self._plausible(found, grams, before[offsets[found[:, 0]]], before[offsets[found[:, 0] + 1]])
+        for row, n, at in found.tolist():
             most, size = self.most(n), len(self.texts[n])
             # Verified places reach two allowances either way, so a candidate within one of the last adds nothing.
             if at <= done.get((row, n), -1 << 60) or best.get((row, n), (1,))[0] == 0:
                 continue
-            if grams is None:
-                grams = _grams(_points(text))
             first, last = bounds[row], bounds[row + 1]
             if not self._similar(n, grams, at, first, last, most):
                 continue
@@ -283,7 +342,7 @@ class Items:
     def _similar(self, n: int, grams: np.ndarray, at: int, first: int, last: int, most: int) -> bool:
         """Positional q-gram lemma: each edit spoils at most q of the item's q-grams; the others occur
         in the text no farther from where the item would have them than edits may shift."""
-        own, first_at, last_at, times, whole = self.grams[n]
+        own, first_at, last_at, times, whole = self.grams(n)
         size = len(whole)
         need = size - _GRAM * most
         if need <= 0:
@@ -318,6 +377,10 @@ def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
+def _hashed(grams: np.ndarray) -> np.ndarray:
+    return ((grams.astype(U) * U(0x9E3779B97F4A7C15)) >> U(52)).astype(np.int64)
+
+
 def _grams(points: np.ndarray) -> np.ndarray:
     """Every q-gram of code points as a number."""
     p = points.astype(np.int64)
@@ -327,9 +390,20 @@ def _grams(points: np.ndarray) -> np.ndarray:
 _PAIRS = "doc_id long, item_id long, distance long, start long, end long"
 
 
+_WORKER: dict = {}
+
+
+def _items(block) -> Items:
+    """A block's index, kept in the Python worker until it meets another block."""
+    if _WORKER.get("block") != block.id:
+        _WORKER.clear()
+        _WORKER.update(block=block.id, items=Items(block.value[1]))
+    return _WORKER["items"]
+
+
 def _pairs(block):
     def run(batches):
-        items = Items(block.value)
+        items = _items(block)
         for batch in batches:
             ids = batch.column(0)
             for lo, _, offsets, data in slices(batch.column(1)):
@@ -343,7 +417,7 @@ def _pairs(block):
 
 def _clean(block, at: int):
     def run(batches):
-        items = Items(block.value)
+        items = _items(block)
         for batch in batches:
             for lo, hi, offsets, data in slices(batch.column(at)):
                 keep = np.ones(hi - lo, dtype=bool)
@@ -353,6 +427,18 @@ def _clean(block, at: int):
     return run
 
 
+@dataclass(frozen=True)
+class Block:
+    """A broadcast block of items under a name of its own."""
+
+    id: str
+    rows: object
+
+    @property
+    def value(self):
+        return self.id, self.rows.value
+
+
 def _blocks(benchmark: DataFrame):
     """The distinct items in blocks of about BLOCK_BYTES, each as a broadcast."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null and text != ''").distinct()
@@ -360,7 +446,7 @@ def _blocks(benchmark: DataFrame):
     n = max(1, math.ceil(total / BLOCK_BYTES))
     for b in range(n):
         rows = [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).collect()]
-        yield benchmark.sparkSession.sparkContext.broadcast(rows)
+        yield Block(uuid.uuid4().hex, benchmark.sparkSession.sparkContext.broadcast(rows))
 
 
 def benchmark_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -376,7 +462,9 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that hold no benchmark item; columns as they are."""
-    for block in _blocks(benchmark):
+    for i, block in enumerate(_blocks(benchmark)):
+        # One block a stage, so that a worker holds one index at a time.
+        docs = cut(docs) if i else docs
         docs = map_arrow(docs, _clean(block, docs.columns.index("text")), docs.schema)
     return docs
 
