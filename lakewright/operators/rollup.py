@@ -37,6 +37,25 @@ def distinct_counts(state: DataFrame, cell: Sequence[str | Column], into: str =
     return merged.groupBy(*names).agg(F.sum(F.bitmap_count("_bits")).alias(into))
 
 
+def span_state(rows: DataFrame, cell: Sequence[str | Column], number: str, month: str) -> DataFrame:
+    """Which months of each year a number occurs in, in each cell: cell columns, number, _year, _months (bit 0: January).
+
+    For cells that hold few of all numbers, where bitmaps of numbers would be nearly empty: a row per cell, number and
+    year, however many months, cells or numbers there are.  Rows dealt by number are not shuffled.
+    """
+    bit = F.call_function("shiftleft", F.lit(1), F.month(month) - 1)
+    return rows.where(F.col(number).isNotNull() & F.col(month).isNotNull()).groupBy(*cell, number, F.year(month).alias("_year")).agg(F.bit_or(bit).alias("_months"))
+
+
+def span_counts(state: DataFrame, cell: Sequence[str], number: str, months: int, span: str, into: str = "n_distinct") -> DataFrame:
+    """The exact number of different numbers in each cell, of any cells coarser than the state's, and each span of so many
+    months (a divisor of 12) that has any; `span` is its first day.  States of several batches are merged by or-ing."""
+    merged = state.groupBy(*cell, number, "_year").agg(F.bit_or("_months").alias("_months"))
+    spans = [F.when(F.col("_months").bitwiseAND(F.lit(((1 << months) - 1) << m)) != 0, F.lit(m + 1)) for m in range(0, 12, months)]
+    held = merged.select(*cell, "_year", F.explode(F.array_compact(F.array(*spans))).alias("_month"))
+    return held.groupBy(*cell, F.make_date("_year", "_month", F.lit(1)).alias(span)).agg(F.count("*").alias(into))
+
+
 def value_state(rows: DataFrame, cell: Sequence[str | Column], value: str, sums: dict[str, Column] | None = None, most: dict[str, Column] | None = None) -> DataFrame:
     """How often each value occurs in each cell (_n), with further sums and maxima per cell and value; nulls of value are left out."""
     further = [F.sum(c).alias(k) for k, c in (sums or {}).items()] + [F.max(c).alias(k) for k, c in (most or {}).items()]

@@ -104,9 +104,9 @@ def quote_conversion(quotes: DataFrame, products: DataFrame) -> DataFrame:
     )
 
 
-def policies_on_risk(earned: DataFrame, number: str | Column = "policy_id") -> DataFrame:
-    """State of the policies on risk per month and cell, to be rolled up to any span (`rollup.distinct_counts`)."""
-    return rollup.distinct_state(earned, ["month_start", *_CELL], number)
+def policies_on_risk(earned: DataFrame, number: str = "policy_id") -> DataFrame:
+    """State of the policies on risk per cell, by months, to be rolled up to any span (`rollup.span_counts`)."""
+    return rollup.span_state(earned, _CELL, number, "month_start")
 
 
 _LAG_CELL = ["loss_year_month", "country", "product_code"]
