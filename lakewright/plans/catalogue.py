@@ -442,6 +442,8 @@ def _policies(spark, sf_dir):
         F.col("o_orderkey").alias("policy_id"), day.alias("inception_date"), F.date_add(day, 365).alias("expiry_date"), F.col("o_totalprice").cast("decimal(18,2)").alias("written_premium_thb"), F.lit(365).alias("term_days")
     )
     back = read(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select("l_orderkey", F.col("l_shipdate").cast("date").alias("effective_date"))
+    tasks = _tasks(spark, sf_dir)
+    orders, back = _by_policy(orders, tasks, "policy_id"), _by_policy(back, tasks, "l_orderkey")
     paid = orders.select("policy_id", "inception_date").join(back, F.col("policy_id") == F.col("l_orderkey")).where("effective_date >= inception_date")
     paid = paid.select("policy_id", "effective_date", F.lit(True).alias("is_refund"))
     refunded = paid.select(F.col("policy_id").alias("_p")).distinct()
@@ -467,9 +469,9 @@ from c group by month_start
 """)
 def earned_monthly(spark, sf_dir):
     policies, paid = _policies(spark, sf_dir)
-    cells = exposure.earned_premium(policies, paid, AS_OF)
+    cells = exposure.earned_cells(exposure.with_first_months(exposure.at_risk(policies, paid, AS_OF)))
     return cells.groupBy("month_start").agg(
-        F.count_distinct("policy_id").alias("policies"), F.sum("days_on_risk").cast("bigint").alias("days_on_risk"), F.sum((F.col("earned_premium_thb") * 100).cast("bigint")).alias("earned_cents")
+        F.count_if(exposure.is_first()).alias("policies"), F.sum("days_on_risk").cast("bigint").alias("days_on_risk"), F.sum((F.col("earned_premium_thb") * 100).cast("bigint")).alias("earned_cents")
     )
 
 

@@ -1,13 +1,18 @@
 """What a task holds follows neither the input nor the number of cells."""
 
 import datetime as dt
+import os
 import random
+import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from lakewright.operators import exposure, rollup
 from lakewright.plans import catalogue, marts
 
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
 
 def test_policies_on_risk_state_is_narrow_and_rolls_up(spark):
     rng = random.Random(5)
@@ -32,3 +37,23 @@ def test_orders_are_dealt_to_tasks_by_their_number(spark, tmp_path, monkeypatch)
     spark.range(1000).withColumnRenamed("id", "o_orderkey").write.parquet(str(tmp_path / "orders.parquet"))
     monkeypatch.setattr(catalogue, "POLICIES_A_TASK", 300)
     assert catalogue._tasks(spark, str(tmp_path)) == 4
+
+
+def test_policies_of_a_month_are_counted_without_holding_them_by_month(spark):
+    rng = random.Random(6)
+    day = lambda: dt.date(2020, 1, 1) + dt.timedelta(rng.randint(0, 500))
+    rows = [(rng.choice([None, *range(40)]), d, d + dt.timedelta(rng.choice([0, 1, 20, 31, 200, 400]))) for d in (day() for _ in range(200))]
+    policies = spark.createDataFrame(rows + rows[:9], "policy_id long, inception_date date, expiry_date date")
+    policies = policies.withColumns({"term_days": F.lit(200), "policy_status": F.when(F.col("policy_id") % 3 == 0, "CANCELLED").otherwise("ACTIVE"), "written_premium_thb": F.lit(1).cast("decimal(18,2)")})
+    paid = spark.createDataFrame([(3, dt.date(2020, 9, 9), True), (6, dt.date(2021, 1, 1), True)], "policy_id long, effective_date date, is_refund boolean")
+    risk = exposure.at_risk(policies, paid, dt.date(2021, 3, 15))
+    want = {r["month_start"]: r["n"] for r in exposure.earned_cells(risk).groupBy("month_start").agg(F.count_distinct("policy_id").alias("n")).collect()}
+    got = {r["month_start"]: r["n"] for r in exposure.earned_cells(exposure.with_first_months(risk)).groupBy("month_start").agg(F.count_if(exposure.is_first()).alias("n")).collect()}
+    assert got == want and len(got) > 12
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not found")
+def test_earned_monthly_aggregates_by_month_only(spark):
+    plan = catalogue.earned_monthly(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    keys = re.findall(r"keys=\[([^\]]*)\]", plan)
+    assert keys and not [k for k in keys if "month_start" in k and "policy_id" in k]
