@@ -40,7 +40,8 @@ KEYED = {
 
 @dataclass(frozen=True)
 class Touched:
-    keys: dict[str, DataFrame]
+    #: How many keys of each name.
+    keys: dict[str, int]
     #: Files of history read, and files there are.
     files_read: int
     files: int
@@ -50,36 +51,26 @@ def _values(rows: DataFrame, raw: str, name: str) -> DataFrame:
     return rows.select(clean_code(F.col(raw)).alias(name)).where(F.col(name).isNotNull())
 
 
-def touched_keys(landing: Callable[[str], Table], keyed: Keyed, since: dt.date) -> dict[str, DataFrame]:
+def touched_keys(landing: Callable[[str], Table], keyed: Keyed, since: dt.date, keep: Callable[[DataFrame], DataFrame]) -> dict[str, DataFrame]:
     """The keys in batches since a date, with all that they are tied to: where a feed has two kinds of key in a row, each
-    leads to the other, until nothing more is found."""
+    leads to the other, until nothing more is found.  `keep` stores what later steps read several times: the keys and
+    the tied columns, which are thus read and cleaned once.  Each step follows the keys that the step before found."""
     there = {f: landing(f) for f in keyed.feeds if landing(f).exists()}
     found: dict[str, DataFrame] = {}
     for name in keyed.names:
         parts = [_values(there[f].since("_batch_date", since), raws[name], name) for f, raws in keyed.feeds.items() if f in there and name in raws]
         if parts:
-            found[name] = reduce(DataFrame.union, parts).distinct()
-    # Kept while the ties are followed; refresh() lets them go.
-    found = {n: df.persist() for n, df in found.items()}
-    ties = {f: raws for f, raws in keyed.feeds.items() if f in there and len(raws) > 1}
-    sizes = {n: df.count() for n, df in found.items()} if ties else {}
-    grown = set(found)
-    while grown and ties:
-        wider = dict(found)
-        for f, raws in ties.items():
-            rows = there[f].read().select(*[clean_code(F.col(raw)).alias(n) for n, raw in raws.items()])
-            hit: Column = F.lit(False)
-            for n in raws:
-                known = found[n].select(F.col(n).alias(f"_{n}"))
-                rows = rows.join(known, F.col(n) == F.col(f"_{n}"), "left")
-                hit = hit | F.col(f"_{n}").isNotNull()
-            rows = rows.where(hit)
-            wider |= {n: wider[n].union(rows.select(n).where(F.col(n).isNotNull())).distinct() for n in raws}
-        wider = {n: df.persist() for n, df in wider.items()}
-        now = {n: df.count() for n, df in wider.items()}
-        for df in found.values():
-            df.unpersist()
-        found, grown, sizes = wider, {n for n in now if now[n] > sizes[n]}, now
+            found[name] = keep(reduce(DataFrame.union, parts).distinct())
+    ties = [keep(there[f].read().select(*[clean_code(F.col(raw)).alias(n) for n, raw in raws.items()])) for f, raws in keyed.feeds.items() if f in there and len(raws) > 1]
+    fresh = dict(found) if ties else {}
+    while fresh:
+        led: dict[str, list[DataFrame]] = {}
+        for rows in ties:
+            for n in rows.columns:
+                led.setdefault(n, []).extend(rows.join(fresh[other], other, "left_semi").select(n) for other in rows.columns if other != n and other in fresh)
+        new = {n: keep(reduce(DataFrame.union, parts).where(F.col(n).isNotNull()).distinct().join(found[n], n, "left_anti")) for n, parts in led.items() if parts}
+        fresh = {n: df for n, df in new.items() if not df.isEmpty()}
+        found |= {n: found[n].union(df) for n, df in fresh.items()}
     return found
 
 
@@ -88,27 +79,28 @@ def refresh(run: models.Run, name: str, landing: Callable[[str], Table], staged:
     m, keyed, table = models.MODELS[name], KEYED[name], run.table(name)
     high = table.read().agg(F.max("batch_date")).first()[0]
     since = (high or dt.date(1, 1, 1)) - dt.timedelta(days=run.lookback_days)
-    keys = touched_keys(landing, keyed, since)
-    read, files, inputs = 0, 0, []
-    for stage in m.inputs:
-        feeds = models.MODELS[stage].inputs
-        if not set(feeds) <= set(keyed.feeds):
-            inputs.append(staged[stage])
-            continue
-        frames = []
-        for f in feeds:
-            if not landing(f).exists():
-                frames.append(run.bronze(f))
+    with table.scratch() as keep:
+        keys = touched_keys(landing, keyed, since, keep)
+        read, files, inputs = 0, 0, []
+        for stage in m.inputs:
+            feeds = models.MODELS[stage].inputs
+            if not set(feeds) <= set(keyed.feeds):
+                inputs.append(staged[stage])
                 continue
-            rows, n = landing(f).holding({k: (clean_code(F.col(raw)), keys[k]) for k, raw in keyed.feeds[f].items() if k in keys})
-            frames.append(rows)
-            read, files = read + n, files + len(landing(f).read().inputFiles())
-        inputs.append(models.MODELS[stage].build(run, *frames))
-    rows = m.build(run, *inputs)
-    if "op" in rows.columns:
-        rows = rows.where(~F.coalesce(F.col("op") == "D", F.lit(False)))
-    affected = reduce(DataFrame.union, [keys[k].select(F.col(k).alias("key")) for k in keyed.names if k in keys])
-    table.replace_keys(rows, keyed.target, affected)
-    for df in keys.values():
-        df.unpersist()
-    return Touched(keys, read, files)
+            frames = []
+            for f in feeds:
+                if not landing(f).exists():
+                    frames.append(run.bronze(f))
+                    continue
+                # A feed's first key is its stage's, rows without which are left out there; the others lead to it.
+                k, raw = next(iter(keyed.feeds[f].items()))
+                rows, n = landing(f).holding({k: (clean_code(F.col(raw)), keys[k])})
+                frames.append(rows)
+                read, files = read + n, files + len(landing(f).read().inputFiles())
+            inputs.append(models.MODELS[stage].build(run, *frames))
+        rows = m.build(run, *inputs)
+        if "op" in rows.columns:
+            rows = rows.where(~F.coalesce(F.col("op") == "D", F.lit(False)))
+        affected = keep(reduce(DataFrame.union, [keys[k].select(F.col(k).alias("key")) for k in keyed.names if k in keys]).distinct())
+        table.replace_keys(rows, keyed.target, affected)
+        return Touched({k: df.count() for k, df in keys.items()}, read, files)

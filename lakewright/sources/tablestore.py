@@ -21,7 +21,8 @@ from __future__ import annotations
 import datetime as dt
 import json
 import uuid
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from functools import reduce
 from urllib.parse import unquote
@@ -233,6 +234,9 @@ class Table:
         schema = T.StructType.fromJson(json.loads(v.schema))
 
         def wanted(df: DataFrame) -> DataFrame:
+            if len(keys) == 1:
+                ((value, known),) = keys.values()
+                return df.join(known.select(F.col(known.columns[0]).alias("_known")), value == F.col("_known"), "left_semi")
             for name, (value, known) in keys.items():
                 df = df.withColumn(f"_is_{name}", value)
                 df = df.join(known.select(F.col(known.columns[0]).alias(f"_known_{name}")).distinct(), F.col(f"_is_{name}") == F.col(f"_known_{name}"), "left")
@@ -251,6 +255,22 @@ class Table:
 
     # ------------------------------------------------------------ writing
 
+    @contextmanager
+    def scratch(self) -> Iterator[Callable[[DataFrame], DataFrame]]:
+        """Gives a function that stores a frame as files beside the table and reads it from there, so that it is made once
+        however often it is used and whichever executor is lost.  The files go at the end."""
+        folder = f"{self.path}/_scratch/{uuid.uuid4().hex}"
+
+        def keep(df: DataFrame) -> DataFrame:
+            path = f"{folder}/{uuid.uuid4().hex}"
+            df.write.parquet(path)
+            return self.spark.read.schema(df.schema).parquet(path)
+
+        try:
+            yield keep
+        finally:
+            self._fs.delete(self._Path(folder), True)
+
     def marked(self, writer: str) -> int | None:
         """The number of the last committed write of a marked writer."""
         return self.version().marks.get(writer) if self.exists() else None

@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakewright.operators import exposure, rollup
-from lakewright.plans import catalogue, marts
+from lakewright.plans import catalogue, incremental, marts
+from lakewright.sources.tablestore import Table
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -57,3 +58,19 @@ def test_earned_monthly_aggregates_by_month_only(spark):
     plan = catalogue.earned_monthly(spark, SF)._jdf.queryExecution().executedPlan().toString()
     keys = re.findall(r"keys=\[([^\]]*)\]", plan)
     assert keys and not [k for k in keys if "month_start" in k and "policy_id" in k]
+
+
+def test_touched_keys_are_made_once_and_follow_chains(spark, tmp_path):
+    """Ties read their feed once, whatever the number of steps; the keys that later steps join are files, not plans made again."""
+    table, links = Table(spark, str(tmp_path / "t")), 5
+    day, late = dt.date(2024, 1, 1), dt.date(2024, 6, 1)
+    rows = [(f"i{k}", f"n{k + d}", day) for k in range(links) for d in (0, 1)] + [("i90", "n90", day), (None, "n1", day), ("i91", None, day), ("i0", "n0", late)]
+    table.append(spark.createDataFrame(rows, "a string, b string, _batch_date date"), ["_batch_date"])
+    keyed = incremental.Keyed({"f": {"claim_id": "a", "claim_no": "b"}}, "claim_id", ("claim_id", "claim_no"))
+    kept = []
+    with table.scratch() as keep:
+        found = incremental.touched_keys(lambda f: table, keyed, late, lambda df: kept.append(df) or keep(df))
+        assert {n: sorted(r[0] for r in df.collect()) for n, df in found.items()} == {"claim_id": [f"I{k}" for k in range(links)], "claim_no": [f"N{k}" for k in range(links + 1)]}
+        assert sum(any("/data/_commit" in f for f in df.inputFiles()) for df in kept) == 3  # two kinds of key and the ties
+        assert all("/_scratch/" in f for df in found.values() for f in df.inputFiles())
+    assert not any((tmp_path / "t" / "_scratch").iterdir())
