@@ -23,8 +23,7 @@ from 8 words on; substitutions of every fifth character, which spoil every windo
 outputs the short items reach 0.83 to 1, at 2.7 times the candidates.  Items under ``TINY`` bytes are cut into one more
 piece than edits are allowed, so that one occurs unedited, and all pieces' places are verified: complete.
 
-Windows walk by look-ups, one for each byte they pass (two bytes at once from an index of many windows), from states that those
-of the same first bytes share; the look-ups take at most 180 MB, whatever the items and texts.
+Windows walk by look-ups, one for each byte they pass, from states that those of the same first bytes share.
 The index is built in arrays, all items at once, and kept in the Python worker from task to task.
 The benchmark is a stated query set: it is taken in blocks of at most ``BLOCK_BYTES`` on
 average, each broadcast and held against all rows, so its size is bounded whatever the
@@ -95,8 +94,8 @@ def window_starts(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
 #: A window's state in one number: from the lowest bit 16 bits of the step in rows of 256 bytes, 8 bits of the bytes it has passed,
 #: 40 bits of the hash of its sampled outputs.
 _STEP, _PASSED, _HASH = U(0xFFFF), U(16), U(24)
-#: Bytes of a window's beginning, and pairs of bytes after it that most windows need.
-_BEGIN, _TWOS = 4, 5
+#: Bytes of a window's beginning, and bytes after it that are fetched once for all walks.
+_BEGIN, _SHARED = 4, 12
 
 
 def _codes(walk) -> np.ndarray:
@@ -159,26 +158,11 @@ def _passes(walk, begin: int, end: int) -> np.ndarray:
     return table.ravel()
 
 
-def _pairs_of(table: np.ndarray, walk) -> np.ndarray:
-    """As `_passes` from step 0 on, for two bytes one after the other."""
-    mul, add, _ = walk
-    codes, byte, one = _codes(walk), np.arange(256, dtype=np.uint8), table.reshape(-1, 256)
-    out = np.zeros((len(one), 256, 256), dtype=U)
-    for j in range(len(one) - 2, -1, -1):
-        move = ((byte * mul[j] + add[j]) >> np.uint8(7)).astype(bool)
-        out[j, move] = one[j + 1] + (U(1) << _PASSED)
-        out[j, ~move] = out[j + 1, ~move]
-        out[j] += codes[j][:, None] + U(256)
-    return out.ravel()
-
-
-def _pass(table: np.ndarray, state: np.ndarray, columns, pairs: bool = False) -> None:
-    """Take states over columns of bytes, or of pairs of bytes, in place.  States at the table's last step stay."""
+def _pass(table: np.ndarray, state: np.ndarray, columns) -> None:
+    """Take states over columns of bytes, in place.  States at the table's last step stay."""
     at, more = np.empty(len(state), dtype=U), np.empty(len(state), dtype=U)
     for column in columns:
         np.bitwise_and(state, _STEP, out=at)
-        if pairs:
-            at <<= U(8)
         at += column
         np.take(table, at.view(np.int64), out=more, mode="wrap")
         state += more
@@ -226,8 +210,6 @@ class _Keys:
             seen[(state[whole] >> U(46)).view(np.int64)] = True
             self.stages.append((begin, end, _passes(walk, begin, end), seen))
             begin = end
-        # Of many windows' beginnings most texts have most, and the next bytes go by twos: half a megabyte a step to the first stop.
-        self.pairs = _pairs_of(self.stages[0][2], walk) if many else None
 
     def beginnings(self, bytes_: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """The states of windows that begin with such bytes, once those are passed, and whether items can have such windows."""
@@ -235,12 +217,12 @@ class _Keys:
         _pass(self.stages[0][2], state, bytes_)
         return state, None if self.begun is None else self.begun.take(_begun(state), mode="clip")
 
-    def hits(self, padded: np.ndarray, starts: np.ndarray, twos: list[np.ndarray], which: np.ndarray, begun: tuple) -> tuple[np.ndarray, np.ndarray]:
-        """(index into starts, index into places) of windows with equal keys; which are their beginnings, twos the pairs of bytes
+    def hits(self, padded: np.ndarray, starts: np.ndarray, columns: list[np.ndarray], which: np.ndarray, begun: tuple) -> tuple[np.ndarray, np.ndarray]:
+        """(index into starts, index into places) of windows with equal keys; which are their beginnings, columns the bytes
         after those.  Windows whose first outputs no item has are dropped on the way."""
-        if self.pairs is not None:
+        if self.begun is None:
             left, state = np.arange(len(starts)), begun[0].take(which, mode="clip")
-            _pass(self.pairs, state, twos, pairs=True)
+            _pass(self.stages[0][2], state, columns[: -(-2 * self.stages[0][1] // 3) - _BEGIN])
         else:
             left = np.flatnonzero(begun[1].take(which, mode="clip"))
             state = begun[0].take(which.take(left, mode="clip"), mode="clip")
@@ -401,7 +383,7 @@ class Items:
         """Distinct (row, item, code point where the item would begin), counted over all rows;
         before counts the code points before each byte."""
         starts = window_starts(offsets, data)
-        padded = np.concatenate([data, np.zeros(max((len(t.walk[0]) for t in self.tables), default=0) + _BEGIN + 2 * _TWOS, dtype=np.uint8)])
+        padded = np.concatenate([data, np.zeros(max((len(t.walk[0]) for t in self.tables), default=0) + _BEGIN + _SHARED, dtype=np.uint8)])
         # Texts have few different beginnings of windows: each is walked once.
         four = np.ndarray((len(data) + 1,), dtype="<u4", buffer=padded, strides=(1,))[starts] if len(starts) else np.zeros(0, dtype=np.uint32)
         four, which = np.unique(four, return_inverse=True)
@@ -410,9 +392,9 @@ class Items:
         found = []
         for lo in range(0, len(starts), _TILE):
             tile, part = starts[lo : lo + _TILE], which[lo : lo + _TILE]
-            twos = [(padded[tile + i].astype(U) << U(8)) | padded[tile + i + 1] for i in range(_BEGIN, _BEGIN + 2 * _TWOS, 2)]
+            columns = [padded[tile + i].astype(U) for i in range(_BEGIN, _BEGIN + _SHARED)]
             for table, those in zip(self.tables, begun, strict=True):
-                at, place = table.hits(padded, tile, twos, part, those)
+                at, place = table.hits(padded, tile, columns, part, those)
                 if len(at):
                     found.append(np.stack([tile[at], table.places[place, 0], before[tile[at]] - table.places[place, 1]], axis=1))
         if not found:
